@@ -25,6 +25,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def salt(k: int) -> np.uint64:
+    """A 64-bit constant for a small number."""
+    return U64(k * int(GOLDEN) & 0xFFFFFFFFFFFFFFFF)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Hashes as uniform numbers in (0, 1)."""
     return ((x >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
