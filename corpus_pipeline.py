@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage calls one training-data operator and its decisions take effect."""
+"""The corpus pipeline: each stage calls one training-data operator and its decisions take effect.
+
+Toxic documents go, of equal texts and of near-duplicates one document stays, the sources are mixed to
+target weights (documents repeat as often as the mix takes them), and the mix is encoded.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +10,40 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glosswork.llm import exact_dedup
+from glosswork.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from glosswork.llm.common import shared_dir
 
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_duplicates(docs)
 
 
-STAGES = [("exact_dedup", dedup_stage)]
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian uint32) of each document of the mix."""
+    return bpe.encode_documents(docs, bpe.default_tokenizer(), decode=False).select("doc_id", "n_tokens", "ids")
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("mixing", mixing_stage),
+    ("bpe", bpe_stage),
+]
 
+# A trained classifier and sketches are not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -23,7 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages one after another; each result is written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
