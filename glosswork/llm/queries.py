@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from glosswork.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
+from glosswork.llm import bpe, chat, exact_dedup, mixing, near_dedup, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_chat": chat.op3_chat,
     "op4_mixing": mixing.op4_mixing,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_bpe": bpe.op7_bpe,
@@ -14,5 +15,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op3_chat": chat.ORACLE_SQL,
     "op4_mixing": mixing.ORACLE_SQL,
 }
