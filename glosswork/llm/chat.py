@@ -142,7 +142,7 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), n AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS at,
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos,
     coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), 'start') AS before FROM c
 ), o AS (
   SELECT *, (before || '>' || role) IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AS fits,
@@ -150,10 +150,10 @@ WITH c AS (
       ELSE '?' || replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\t'), ':', '\c') END || ': '
       || replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\t') || ' </turn>' || chr(10)) AS chars FROM n
 ), g AS (
-  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
     coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS loss_chars,
-    sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-    sum(chars) AS formatted_chars, min(at) FILTER (WHERE NOT fits) AS bad, arg_max(role, at) AS final FROM o GROUP BY conv_id
+    sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sum(chars) AS formatted_chars, min(pos) FILTER (WHERE NOT fits) AS bad, arg_max(role, pos) AS final FROM o GROUP BY conv_id
 )
 SELECT conv_id, n_turns, turns_sha256, CAST(loss_chars AS BIGINT) AS loss_chars, loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars,
   bad IS NULL AND final = 'assistant' AS valid, CAST(coalesce(bad, CASE WHEN final <> 'assistant' THEN n_turns END) AS INTEGER) AS violation
