@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glosswork.llm import bpe, chat, exact_dedup, mixing, near_dedup, toxicity
+from glosswork.llm import bpe, chat, exact_dedup, mixing, near_dedup, secrets, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_bpe": bpe.op7_bpe,
+    "op8_secrets": secrets.op8_secrets,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 

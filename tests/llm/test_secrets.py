@@ -1,0 +1,70 @@
+import base64
+import gzip
+import hashlib
+import random
+import re
+import zlib
+from urllib.parse import quote
+
+import pytest
+
+from glosswork.llm import secrets as sc
+
+PATTERNS = [
+    (re.compile("((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)"), 2, 6),
+    (re.compile("AKIA[A-Z0-9]+"), 0, 20),
+    (re.compile("[0-9a-f]+"), 0, 24),
+]
+
+
+def brute(text):
+    return sorted((m.start(), k, m.end()) for k, (p, group, least) in enumerate(PATTERNS) for m in p.finditer(text) if len(m[group]) >= least)
+
+
+def test_base_finds():
+    rng = random.Random(4)
+    pieces = ["token", "API_KEY", "apikey", "Password", "paſſword", "toKen", " ", "=", ": ", '"', "'", "abc", "012345", "deadbeef", "AKIA", "QWERTY123456", "é", "\n", "K", "secret"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(0, 14)))
+        assert sc.scan(text)[0] == brute(text)
+
+
+SECRET = "password = hunter2hunter2"
+b64 = lambda s: base64.b64encode(s if isinstance(s, bytes) else s.encode()).decode()
+
+
+@pytest.mark.parametrize("wrap", [
+    b64, lambda s: b64(b64(s)), lambda s: b64(gzip.compress(s.encode())), lambda s: b64(zlib.compress(b64(s).encode())),
+    lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: "".join(f"%{ord(c):02x}" for c in s), lambda s: quote(quote("".join(f"\\u{ord(c):04x}" for c in s))),
+    lambda s: base64.urlsafe_b64encode(("é~~?>" + s).encode()).decode().rstrip("="),
+])
+def test_layers(wrap):
+    inner = wrap(SECRET)
+    text = f"Ünder 😀 cover: {inner} and on"
+    base, every = sc.scan(text)
+    new = [x for x in every if x not in base and x[1] == 0]
+    assert new and all(text.index(inner) <= start < end <= text.index(inner) + len(inner) for start, _, end in new)
+
+
+def test_exact_places():
+    text = "x token%3D%22abcdefgh%22 y"
+    assert sc.scan(text)[1] == [(2, 0, 21)]  # up to the encoded quote that ends it
+    text = "k\\u0065y token\\u003dabcdefgh"
+    assert sc.scan(text)[1] == [(9, 0, 28)]
+
+
+def test_ends():
+    for text in ("%25" * 400, "\\u005c" * 50 + "u0041", b64(b64(b64(b64("x" * 40)))), "A" * 100_000, b64(zlib.compress(b"a" * 5_000_000))):
+        sc.scan(text, 1 << 16)
+
+
+def test_rows(spark, sf):
+    df = spark.createDataFrame([(1, None, ""), (2, "", ""), (3, SECRET, ""), (3, SECRET, ""), (None, "a" * 30, "")], "doc_id long, text string, spans string")
+    out = sc.scan_documents(df).collect()
+    assert sorted((r.doc_id or 0, r.spans) for r in out) == [(0, "hex:0:30"), (1, ""), (2, ""), (3, "assign:0:25"), (3, "assign:0:25")]
+    assert sc.scan_documents(df.limit(0)).count() == 0
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in sc.op8_secrets(spark, sf).collect():
+        spans = brute(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(sc.joined(spans).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == kind for _, k, _ in spans) for kind in range(3)]
