@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from glosswork.llm import bpe, chat, exact_dedup, mixing, near_dedup, secrets, toxicity
+from glosswork.llm import ann, bpe, chat, exact_dedup, mixing, near_dedup, secrets, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_chat": chat.op3_chat,
     "op4_mixing": mixing.op4_mixing,
+    "op5_ann": ann.op5_ann,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_secrets": secrets.op8_secrets,
