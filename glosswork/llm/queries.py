@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from glosswork.llm import ann, bpe, chat, exact_dedup, mixing, near_dedup, secrets, toxicity
+from glosswork.llm import ann, bpe, chat, exact_dedup, mixing, near_dedup, packing, secrets, toxicity
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_chat": chat.op3_chat,
     "op4_mixing": mixing.op4_mixing,
