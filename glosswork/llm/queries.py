@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glosswork.llm import ann, bpe, chat, exact_dedup, mixing, near_dedup, packing, secrets, toxicity
+from glosswork.llm import ann, bpe, chat, exact_dedup, mixing, near_dedup, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_secrets": secrets.op8_secrets,
+    "op9_quality": quality.op9_quality,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
