@@ -9,10 +9,12 @@ time and only up to the time by which all registers are filled, so the work is a
 and m (ln m + 3) a text.
 
 Rows of one multiset are one node. Nodes that share a band form buckets. A bucket is not expanded into
-all its pairs: first its members are verified against one pivot; then, as long as a bucket still holds
-several components, up to `pivots` of its members outside its largest component are verified against
-all members of other components. When no such member is left, every pair of a bucket is either
-connected or verified, so no link is lost and no size of bucket is cut off. Verification is exact:
+all its pairs: first its members are verified against one pivot, the member whose bands are shared most;
+then, as long as a bucket still holds several components, up to `pivots` of its members outside its
+largest component are verified against members of other components. Two bounds that lose nothing keep
+these pairs few: sizes alone limit the similarity, and so do shingles that occur in one node only, which no
+other node can share. When no member is left to try, every pair of a bucket is connected, verified or
+excluded by a bound, so no link is lost and no size of bucket is cut off. Verification is exact:
 5 * overlap >= 4 * union over shingle counts.
 
 Defined results: null text is the empty text; words are runs of letters, digits and non-ASCII
@@ -183,6 +185,22 @@ def verify(pairs: DataFrame, texts: DataFrame, group: int = 200) -> DataFrame:
     return leads.union(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_verified, "a long, b long").distinct()
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        body, offsets = lowered(batch.column(1))
+        for i, j in slices(offsets, SLICE):
+            hashes, counts, bounds = multisets(body[offsets[i] : offsets[j]], offsets[i : j + 1])
+            node = np.repeat(batch.column(0).slice(i, j - i).to_numpy(), np.diff(bounds))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(node), pa.array(counts)], ["shingle", "node", "w"])
+
+
+def _unshared(texts: DataFrame) -> DataFrame:
+    """node, unshared: how much of each node's multiset occurs in no other of these nodes."""
+    rows = texts.mapInArrow(_shingle_rows, "shingle long, node long, w long")
+    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.max("w").alias("w")).filter("node = last")
+    return alone.groupBy("node").agg(F.sum("w").alias("unshared"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (its component's smallest node) of the nodes of edges (a, b): smallest labels of neighbours, then of labels."""
     both = stable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -206,21 +224,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = signed.join(groups.select("node"), F.col("rid") == F.col("node"), "left_semi")
 
     keyed = nodes.select(F.explode("bands").alias("key"), F.col("rid").alias("node"), "n")
-    full = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min_by("node", F.xxhash64("node")).alias("pivot"), F.min_by("n", F.xxhash64("node")).alias("pivot_n")).filter("members > 1").drop("members")
-    buckets = stable(keyed.join(full, "key"))
+    full = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = stable(keyed.join(full, "key"))
+    central = shared.groupBy("node").agg(F.sum("members").alias("weight"))
+    ranked = shared.join(central, "node")
+    heads = ranked.groupBy("key").agg(F.max("weight").alias("weight")).join(ranked.select("key", "node", "weight"), ["key", "weight"]).groupBy("key").agg(F.min("node").alias("pivot"))
+    buckets = stable(shared.join(heads, "key").select("key", "node", "n", "pivot"))
     texts = groups.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "f1", "f2", F.col("lead.doc_id").alias("doc_id"))
     texts = stable(rows.join(texts, rows.doc_id.eqNullSafe(texts.doc_id)).select("node", "text", "f1", "f2").mapInArrow(_own_texts, "node long, text string"))
 
-    fits = lambda x, y: F.expr(f"5 * least({x}, {y}) >= 4 * greatest({x}, {y})")  # noqa: E731  else the overlap can't do
-    pairs = buckets.filter("node <> pivot").filter(fits("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tested = stable(pairs)
+    sizes = groups.select("node", "n")
+    pairs = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("n").alias("b_n")).distinct()
+    pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("a_n")), "a")
+    tested = stable(pairs.filter("5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)").select("a", "b"))
     labels = components(verify(tested, texts))
-    used = None
+    used = own = None
     while True:
         seen = stable(buckets.select("key", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
         parts = seen.groupBy("key", "comp").agg(F.count("*").alias("k"))
-        largest = parts.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-        outside = seen.join(largest, "key").filter("comp <> main").select("key", "node", "n", "comp")
+        most = parts.groupBy("key").agg(F.max("k").alias("k"), F.count("*").alias("comps")).filter("comps > 1")
+        largest = stable(parts.join(most, ["key", "k"]).groupBy("key").agg(F.min("comp").alias("main")))
+        open_ = seen.join(largest, "key")
+        if own is None:
+            own = stable(_unshared(texts.join(open_.select("node").distinct(), "node", "left_semi")))
+        open_ = open_.join(own, "node", "left").withColumn("free", F.col("n") - F.coalesce("unshared", F.lit(0)))
+        outside = open_.filter("comp <> main and 5 * free >= 4 * n").select("key", "node", "n", "comp", "free")
         if used is not None:
             outside = outside.join(used, ["key", "node"], "left_anti")
         # Up to `pivots` a bucket and round; the next rounds take the rest.
@@ -228,16 +256,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if chosen.isEmpty():
             break
         used = stable(chosen.select("key", "node") if used is None else used.union(chosen.select("key", "node")))
-        left, right = chosen.alias("l"), seen.alias("r")
-        crossing = left.join(right, F.col("l.key") == F.col("r.key")).filter("l.comp <> r.comp").filter(fits("l.n", "r.n"))
+        left, right = chosen.alias("l"), open_.alias("r")
+        # overlap <= least(free) and 5 * overlap >= 4 * union, which is 9 * overlap >= 4 * (n + n)
+        crossing = left.join(right, F.expr("l.key = r.key and l.comp <> r.comp and 9 * least(l.free, r.free) >= 4 * (l.n + r.n)"))
         fresh = crossing.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
         known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = stable(fresh.join(known, ["a", "b"], "left_anti"))
         tested = stable(tested.union(fresh))
         links = verify(fresh, texts)
-        # New links join components; their components are found on the much smaller graph of components.
-        of = lambda name: F.coalesce(F.col(f"{name}.comp"), F.col(name.replace("of_", "e.")))
-        lifted = stable(links.alias("e").join(labels.alias("of_a"), F.col("e.a") == F.col("of_a.node"), "left").join(labels.alias("of_b"), F.col("e.b") == F.col("of_b.node"), "left").select(of("of_a").alias("a"), of("of_b").alias("b")).filter("a <> b"))
+        # New links join components, which are found on the much smaller graph of components.
+        ends = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("a_comp")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("b_comp")), "b", "left")
+        lifted = stable(ends.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).filter("a <> b"))
         if lifted.isEmpty():
             continue
         merged = components(lifted).select(F.col("node").alias("from"), F.col("comp").alias("to"))
