@@ -12,8 +12,8 @@ Rows of one multiset are one node. Nodes that share a band form buckets. A bucke
 all its pairs: first its members are verified against one pivot, the member whose bands are shared most;
 then, as long as a bucket still holds several components, up to `pivots` of its members outside its
 largest component are verified against members of other components. Two bounds that lose nothing keep
-these pairs few: sizes alone limit the similarity, and so do shingles that occur in one node only, which no
-other node can share. When no member is left to try, every pair of a bucket is connected, verified or
+these pairs few: sizes alone limit the similarity, and so do sketches, the counts of shingles by class
+without those that occur in one node only, which no other node can share. When no member is left to try, every pair of a bucket is connected, verified or
 excluded by a bound, so no link is lost and no size of bucket is cut off. Verification is exact:
 5 * overlap >= 4 * union over shingle counts.
 
@@ -40,6 +40,7 @@ WORDS = 5
 BANDS, ROWS = 25, 5  # a pair of similarity 0.8 shares a band with probability 1 - 5e-5
 REGISTERS = BANDS * ROWS
 SLICE = 4 << 20  # bytes of text at once
+CLASSES = 64  # of shingles, in the sketches that bound overlaps
 
 
 def multisets(body: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,11 +195,25 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(node), pa.array(counts)], ["shingle", "node", "w"])
 
 
-def _unshared(texts: DataFrame) -> DataFrame:
-    """node, unshared: how much of each node's multiset occurs in no other of these nodes."""
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        body, offsets = lowered(batch.column(1))
+        for i, j in slices(offsets, SLICE):
+            hashes, counts, bounds = multisets(body[offsets[i] : offsets[j]], offsets[i : j + 1])
+            place = np.repeat(np.arange(j - i), np.diff(bounds)) * CLASSES + (hashes % U64(CLASSES)).astype(np.int64)
+            totals = np.bincount(place, counts, CLASSES * (j - i)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.arange(0, CLASSES * (j - i) + 1, CLASSES, dtype=np.int32)), pa.array(totals))], ["node", "totals"])
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """node, sketch: how much of each node's multiset other nodes of these may share, by class of shingle."""
     rows = texts.mapInArrow(_shingle_rows, "shingle long, node long, w long")
     alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.max("w").alias("w")).filter("node = last")
-    return alone.groupBy("node").agg(F.sum("w").alias("unshared"))
+    unshared = alone.groupBy("node", F.pmod("shingle", F.lit(CLASSES)).cast("int").alias("class")).agg(F.sum("w").cast("int").alias("w"))
+    unshared = unshared.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("class", "w"))).alias("unshared"))
+    totals = texts.mapInArrow(_class_counts, "node long, totals array<int>")
+    rest = F.transform("totals", lambda t, k: t - F.coalesce(F.try_element_at("unshared", k), F.lit(0)))
+    return totals.join(unshared, "node", "left").select("node", F.when(F.col("unshared").isNull(), F.col("totals")).otherwise(rest).alias("sketch"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -246,9 +261,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         largest = stable(parts.join(most, ["key", "k"]).groupBy("key").agg(F.min("comp").alias("main")))
         open_ = seen.join(largest, "key")
         if own is None:
-            own = stable(_unshared(texts.join(open_.select("node").distinct(), "node", "left_semi")))
-        open_ = open_.join(own, "node", "left").withColumn("free", F.col("n") - F.coalesce("unshared", F.lit(0)))
-        outside = open_.filter("comp <> main and 5 * free >= 4 * n").select("key", "node", "n", "comp", "free")
+            own = stable(_sketches(texts.join(open_.select("node").distinct(), "node", "left_semi")).withColumn("free", F.aggregate("sketch", F.lit(0), lambda s, x: s + x)))
+        open_ = open_.join(own, "node")
+        outside = open_.filter("comp <> main and 5 * free >= 4 * n").select("key", "node", "n", "comp", "free", "sketch")
         if used is not None:
             outside = outside.join(used, ["key", "node"], "left_anti")
         # Up to `pivots` a bucket and round; the next rounds take the rest.
@@ -257,8 +272,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             break
         used = stable(chosen.select("key", "node") if used is None else used.union(chosen.select("key", "node")))
         left, right = chosen.alias("l"), open_.alias("r")
-        # overlap <= least(free) and 5 * overlap >= 4 * union, which is 9 * overlap >= 4 * (n + n)
-        crossing = left.join(right, F.expr("l.key = r.key and l.comp <> r.comp and 9 * least(l.free, r.free) >= 4 * (l.n + r.n)"))
+        # The overlap is at most what the sketches allow, class by class; 5 * overlap >= 4 * union is 9 * overlap >= 4 * (n + n).
+        most_shared = "aggregate(zip_with(l.sketch, r.sketch, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
+        crossing = left.join(right, F.expr(f"l.key = r.key and l.comp <> r.comp and 9 * least(l.free, r.free) >= 4 * (l.n + r.n) and 9 * {most_shared} >= 4 * (l.n + r.n)"))
         fresh = crossing.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
         known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = stable(fresh.join(known, ["a", "b"], "left_anti"))
