@@ -28,6 +28,7 @@ from glosswork.llm.common import documents, stable, text_buffers
 
 BLOCK_BITS = 8  # the filters are merged in 2**8 blocks of quotients
 QUOTIENT_BITS = 20
+HOT = 1000  # a group of over 1 / HOT of all rows is hot
 ROUTE_BITS = 18  # of a block's routing bitmap: 2**18 bits for each of 2**8 blocks, 8 MB in all
 
 
@@ -157,9 +158,13 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     classes = texts.mapInArrow(suspects, "body binary").groupBy("body").count().filter("count > 1").select(F.unhex(F.sha2("body", 256)).alias("sha"))
     # One text to a digest, or no result.
     verified = classes.groupBy("sha").agg(F.when(F.count("*") == 1, True).otherwise(F.raise_error(F.lit("two texts with one SHA-256"))).alias("one")).filter("one").select("sha")
-    members = keys.join(verified, "sha", "left_semi")
-    groups = members.groupBy("sha").agg(F.max(F.struct("doc_id", "rid")).alias("last"), F.count("*").alias("n"))
-    joined = keys.join(groups, "sha", "left")
+    # Counted map-side, so a hot group sends a row a task; the verified groups then are few.
+    counted = keys.groupBy("sha").agg(F.max(F.struct("doc_id", "rid")).alias("last"), F.count("*").alias("n")).filter("n > 1")
+    groups = stable(counted.join(verified, "sha", "left_semi"))
+    # Groups of over a thousandth of all rows are a thousand at most: they are broadcast, and no key left to shuffle is hot.
+    hot = F.broadcast(groups.filter(F.col("n") * HOT > keys.count()))
+    cold = groups.filter(F.col("n") * HOT <= keys.count())
+    joined = keys.join(hot, "sha").unionByName(keys.join(hot, "sha", "left_anti").join(cold, "sha", "left"))
     single = F.col("n").isNull()
     return joined.select(
         "doc_id",
