@@ -216,21 +216,45 @@ def _sketches(texts: DataFrame) -> DataFrame:
     return totals.join(unshared, "node", "left").select("node", F.when(F.col("unshared").isNull(), F.col("totals")).otherwise(rest).alias("sketch"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp (its component's smallest node) of the nodes of edges (a, b): smallest labels of neighbours, then of labels."""
-    both = stable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stable(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("comp")))
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("further"))
-        new = stable(step.join(jump, "to").select("node", "was", F.least("to", "further").alias("comp")))
-        labels = new.select("node", "comp")
-        if new.filter("was <> comp").isEmpty():
-            return labels
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest node that each node of a partition's edges is connected with in that partition."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
 
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    if parent:
+        nodes = np.fromiter(parent, np.int64, len(parent))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([find(x) for x in nodes.tolist()], pa.int64())], ["node", "root"])
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pivots: int = 64) -> DataFrame:
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, comp (its component's smallest node) of the nodes of edges (a, b).
+
+    Each partition reduces its edges to trees. A node in trees of several partitions links their roots; these
+    links are a graph of fewer nodes, whose components are found in the same way until there are none.
+    """
+    trees = stable(edges.select("a", "b").mapInArrow(_forest, "node long, root long"))
+    # A node is in one tree of a partition at most, so no node is hot.
+    placed = trees.withColumn("comp", F.min("root").over(Window.partitionBy("node")))
+    labels = placed.select("node", "comp").dropDuplicates(["node"])
+    links = stable(placed.filter("root <> comp").select(F.col("root").alias("a"), F.col("comp").alias("b")).distinct())
+    if links.isEmpty():
+        return stable(labels)
+    merged = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return stable(labels.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pivots: int = 512) -> DataFrame:
     """doc_id, class_id, class_size, kept for each row of docs; rid tells repeated rows apart."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     signed = stable(rows.mapInArrow(_signed, "doc_id long, n long, f1 long, f2 long, bands array<long>").withColumn("rid", F.monotonically_increasing_id()))

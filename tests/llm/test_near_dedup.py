@@ -94,3 +94,21 @@ def test_query_against_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted((r.doc_id, r.class_id) for r in nd.op6_near_dedup(spark, sf).collect()) == brute(rows)
     assert np.unique([k for _, k in brute(rows)]).size < len(rows)
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    for n, m, parts in ((60, 40, 5), (300, 290, 7), (5, 0, 2), (500, 499, 9)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] if m != 499 else [(i, i + 1) for i in range(499)]
+        parent = list(range(n))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        df = spark.createDataFrame(edges, "a long, b long").repartition(parts)
+        assert {r.node: r.comp for r in nd.components(df).collect()} == {x: find(x) for e in edges for x in e}
