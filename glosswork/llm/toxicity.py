@@ -36,15 +36,16 @@ class Settings:
     bits: int = 24  # of the hash that names a word
     dim: int = 8
     filters: int = 8  # of each width
-    epochs: int = 12
+    epochs: int = 8
     batch: int = 64
-    rate: float = 0.02
+    rate: float = 0.003
     prefix: int = 4  # bytes
     min_docs: int = 3  # training rows that a word occurs in, to have an embedding of its own
     max_positive: int = 2_500
     max_negative: int = 6_000
     max_words: int = 20_000
     min_positive: int = 20
+    most_false: float = 0.01  # share of calibration rows of label 0 that may be above a threshold
     seed: int = 7
 
 
@@ -142,10 +143,17 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], se
         return np.where((at < n) & (names[np.minimum(at, max(n - 1, 0))] == x), at + 1, 0).astype(np.int32) if n else np.zeros(x.shape, np.int32)
 
     coded = [rows_of(x) for x in texts]
-    E = rng.normal(0, 0.1, (n + 1, d)).astype(np.float32)
+    # The first dimension starts from how surely a word goes with label 1 (a z-score, so rare words start near 0); half of
+    # the filters start by reading it. With few labels training hardly moves far from there, with many it does.
+    E = rng.normal(0, 0.02, (n + 1, d)).astype(np.float32)
+    E[1:, 0] = _association(names, unique, labels[train]) / 4
     E[0] = 0
-    W = [rng.normal(0, 0.5 / np.sqrt(w), (w, d, k)).astype(np.float32) for w in WIDTHS]
-    params = [E, *W, np.zeros(k * len(WIDTHS), np.float32), np.append(rng.normal(0, 0.3, k * len(WIDTHS)), 0).astype(np.float32)]
+    W = [rng.normal(0, 0.1 / np.sqrt(w), (w, d, k)).astype(np.float32) for w in WIDTHS]
+    out = np.zeros(k * len(WIDTHS) + 1)
+    for f, w in enumerate(WIDTHS):
+        W[f][:, 0, : k // 2] = 1 / w
+        out[f * k : f * k + k // 2] = 1 / (w * k)
+    params = [E, *W, np.zeros(k * len(WIDTHS), np.float32), (out + rng.normal(0, 0.02, len(out))).astype(np.float32)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     weight = np.where(labels == 1, 0.5 / positives, 0.5 / (len(labels) - positives)) * len(labels)
     step = 0
@@ -194,25 +202,38 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], se
     rest = np.flatnonzero(held) if 0 < labels[held].sum() < held.sum() else np.arange(len(texts))
     rows, bounds = _padded(np.concatenate([coded[i] for i in rest]), np.concatenate([[0], np.cumsum([len(coded[i]) for i in rest])]))
     logits, truth = model.logits(rows, bounds).astype(np.float64), labels[rest]
-    model.shift = _cut(logits, truth)
+    model.shift = _cut(logits, truth, settings.most_false)
     of_lang = np.array([langs[i] or "" for i in rest])
     for lang in set(of_lang.tolist()) - {""}:
         own = of_lang == lang
         if truth[own].sum() >= settings.min_positive and (1 - truth[own]).sum() >= settings.min_positive:
-            model.thresholds[lang] = float(1 / (1 + np.exp(-np.clip(_cut(logits[own], truth[own]) - model.shift, -500, 500))))
+            model.thresholds[lang] = float(1 / (1 + np.exp(-np.clip(_cut(logits[own], truth[own], settings.most_false) - model.shift, -500, 500))))
     del model.products
     return model
 
 
-def _cut(logits: np.ndarray, truth: np.ndarray) -> float:
-    """The middle of the cuts of the largest F1."""
+def _association(names: np.ndarray, texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """z-scores of the difference of the shares of texts of either label that hold a word; texts are sets of names."""
+    counts = np.zeros((2, len(names)))
+    for x, y in zip(texts, labels, strict=True):
+        at = np.searchsorted(names, x)
+        at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == x)] if len(names) else at[:0]
+        counts[y, at] += 1
+    n = np.bincount(labels, minlength=2)
+    pooled = (counts.sum(0) + 0.5) / (n.sum() + 1)
+    return (counts[1] / n[1] - counts[0] / n[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
+
+
+def _cut(logits: np.ndarray, truth: np.ndarray, most_false: float) -> float:
+    """The middle of the cuts of the largest F1, but not so low that more than a share of label 0 is above it."""
+    floor = float(np.nextafter(np.quantile(logits[truth == 0], 1 - most_false, method="higher"), np.inf))
     order = np.argsort(-logits, kind="stable")
     hits = np.cumsum(truth[order])
     f1 = 2 * hits / (np.arange(1, len(order) + 1) + truth.sum())
     f1[:-1][logits[order][:-1] == logits[order][1:]] = -1  # a cut can't part equal scores
     at = int(np.argmax(f1))
     lower = logits[order][at + 1] if at + 1 < len(order) else logits[order][at] - 2
-    return float((logits[order][at] + lower) / 2)
+    return max(floor, float((logits[order][at] + lower) / 2))
 
 
 def held_out(doc_id: Column) -> Column:
