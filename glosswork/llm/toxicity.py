@@ -38,7 +38,7 @@ class Settings:
     filters: int = 8  # of each width
     epochs: int = 8
     batch: int = 64
-    rate: float = 0.003
+    rate: float = 0.01
     prefix: int = 4  # bytes
     min_docs: int = 3  # training rows that a word occurs in, to have an embedding of its own
     max_positive: int = 2_500
