@@ -41,8 +41,8 @@ class Settings:
     rate: float = 0.01
     prefix: int = 4  # bytes
     min_docs: int = 3  # training rows that a word occurs in, to have an embedding of its own
-    max_positive: int = 2_500
-    max_negative: int = 6_000
+    max_positive: int = 2_000
+    max_negative: int = 4_000
     max_words: int = 20_000
     min_positive: int = 20
     most_false: float = 0.01  # share of calibration rows of label 0 that may be above a threshold
@@ -134,7 +134,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], se
         held[of[: len(of) // 5]] = True
     train = np.flatnonzero(~held)
     unique = [np.unique(texts[i]) for i in train]
-    names, docs = np.unique(np.concatenate([*unique, np.empty(0, np.int64)]).astype(np.int64), return_counts=True)
+    names, docs = np.unique(np.concatenate([*unique, np.empty(0, texts[0].dtype)]), return_counts=True)
     names = names[docs >= settings.min_docs]
     n, d, k = len(names), settings.dim, settings.filters
 
@@ -200,8 +200,10 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], se
     model = Model(names, params[0], params[1:-2], params[-2], params[-1], 0.0, bits=settings.bits, prefix=settings.prefix)
     model.products = _products(model.embedding, model.filters)
     rest = np.flatnonzero(held) if 0 < labels[held].sum() < held.sum() else np.arange(len(texts))
-    rows, bounds = _padded(np.concatenate([coded[i] for i in rest]), np.concatenate([[0], np.cumsum([len(coded[i]) for i in rest])]))
-    logits, truth = model.logits(rows, bounds).astype(np.float64), labels[rest]
+    parts = []
+    for some in np.array_split(rest, -(-len(rest) // 64)):  # a few texts at once, to bound memory
+        parts.append(model.logits(*_padded(np.concatenate([coded[i] for i in some]), np.concatenate([[0], np.cumsum([len(coded[i]) for i in some])]))))
+    logits, truth = np.concatenate(parts).astype(np.float64), labels[rest]
     model.shift = _cut(logits, truth, settings.most_false)
     of_lang = np.array([langs[i] or "" for i in rest])
     for lang in set(of_lang.tolist()) - {""}:
@@ -260,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), d
 
     pdf = rows.mapInArrow(code, "id long, toxic int, lang string, words binary").filter("words is not null").toPandas()
     pdf = pdf.sort_values(["id", "words"]).drop_duplicates(["id"])
-    return fit([np.frombuffer(x, "<u4").astype(np.int64).reshape(-1, 2) for x in pdf["words"]], pdf["toxic"].to_numpy(np.int64), [x if isinstance(x, str) else None for x in pdf["lang"]], settings)
+    return fit([np.frombuffer(x, "<u4").reshape(-1, 2) for x in pdf["words"]], pdf["toxic"].to_numpy(np.int64), [x if isinstance(x, str) else None for x in pdf["lang"]], settings)
 
 
 def scorer(spark: SparkSession, model: Model):
