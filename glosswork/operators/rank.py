@@ -57,7 +57,9 @@ def blend_documents(rows: DataFrame, neural: DataFrame | None = None) -> DataFra
     rows = rows.withColumn("neural_score", F.lit(None).cast("double")) if neural is None else usable_neural(rows, neural, "doc_id", "id")
     final = S.document_blend(F.col("h"), F.col("lexical_score"), F.col("neural_score"), S.alignment_bonus(F.col("reason"), F.col("section_kind")))
     rows = rows.withColumn("final_score", final).filter(F.col("final_score") >= config.DOCUMENT_THRESHOLD)
-    order = Window.partitionBy("doc_id").orderBy(F.desc("final_score"), F.desc("heuristic_score"), F.desc("lexical_score"), "page_index", "start")
+    # Sums may differ in their last bits by the order of partitions; ranks must not.
+    even = lambda c: F.desc(F.round(c, 12))
+    order = Window.partitionBy("doc_id").orderBy(even("final_score"), F.desc("heuristic_score"), even("lexical_score"), "page_index", "start")
     return rows.drop("rank").withColumn("rank", F.row_number().over(order))
 
 
@@ -74,5 +76,5 @@ def rank_selections(cands: DataFrame, queries: DataFrame, method: str = "bm25",
     rows = rows.withColumn("h", lexical.normalised(F.col("heuristic_score"), key))
     rows = rows.withColumn("neural_score", F.lit(None).cast("double")) if neural is None else usable_neural(rows, neural, key, "id")
     rows = rows.withColumn("final_score", S.selection_blend(F.col("h"), F.col("lexical_score"), F.col("neural_score"))).filter(F.col("final_score") >= config.SELECTION_THRESHOLD)
-    order = Window.partitionBy(key).orderBy(F.desc("final_score"), F.desc("heuristic_score"), "start")
+    order = Window.partitionBy(key).orderBy(F.desc(F.round("final_score", 12)), F.desc("heuristic_score"), "start")
     return rows.withColumn("confidence", S.clamp01(F.col("final_score"))).withColumn("rank", F.row_number().over(order))

@@ -223,7 +223,7 @@ def ranked(method: str, neural: bool = False) -> str:
 ), ranked AS (
   SELECT *, {final} AS final_score FROM blended
 ), ordered AS (
-  SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY doc_id ORDER BY final_score DESC, heuristic_score DESC, lexical_score DESC, page_index, start) AS rank FROM ranked WHERE final_score >= 0.24
+  SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY doc_id ORDER BY round(final_score, 12) DESC, heuristic_score DESC, round(lexical_score, 12) DESC, page_index, start) AS rank FROM ranked WHERE final_score >= 0.24
 )"""
 
 
