@@ -2,11 +2,13 @@
 
 A text is scanned as it is; then its encoded parts are unwrapped, layer after layer, and each layer is
 scanned again until nothing new appears: percent-encoding and Unicode escapes are decoded in the place
-where they stand (so a secret may reach across decoded and plain parts), runs of base64 become layers of
-their own, and a layer that is gzip or zlib data is inflated. Layers seen before in the text are not
+where they stand (so a secret may reach across decoded and plain parts), runs of base64, joined over line
+breaks, become layers of their own at each alignment, with undecodable bytes replaced, and gzip or zlib
+data anywhere in one are inflated. Layers seen before in the text are not
 visited again. Each character of a layer knows the range of the original text that it comes from, so
 every find is a span of the original: exactly its characters under percent and Unicode decoding, the
-whole encoded run under base64 and compression.
+whole encoded line or lines that hold it under base64, and under compression all from the beginning of
+the compressed data to the end of the run.
 
 Base finds, those of the text as it is, always stay. Defined results: null text is the empty text,
 which has no finds; spans are code points, end exclusive, ordered by start, kind, end; equal spans count
@@ -17,7 +19,6 @@ part. Inflated data are read up to `most_inflated` bytes a layer, a bound on mem
 from __future__ import annotations
 
 import base64
-import binascii
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,7 +40,13 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+_GAP, _CLASS = r"[ \t]*(?:\r\n?|\n|\\r\\n|\\n)[ \t]*", "[A-Za-z0-9+/_-]"
+GAP = re.compile(_GAP)
+# A run with the lines that it may go on in, of any width; escaped line breaks, as in JSON, count too.
+BASE64 = re.compile(rf"(?<!{_CLASS})(?:{_CLASS}{{16,}}+|{_CLASS}++(?={_GAP}{_CLASS}))(?:{_GAP}{_CLASS}++)*+")
+_INDENT = re.compile(rf"{_CLASS}[ \t]*[\r\n]+[ \t]+{_CLASS}|{_CLASS}[ \t]+[\r\n]")
+GZIP = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
+ZLIB = re.compile(b"|".join(re.escape(bytes([a])) + b"[" + b"".join(re.escape(bytes([b])) for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32) + b"]" for a in range(8, 128, 16)))
 _HEX_MAP = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
 _BASE64_MAP = bytes(49 if chr(b).isalnum() and b < 128 or chr(b) in "+/_-" else 48 for b in range(256))
 HEX_RUN, BASE64_RUN = b"1" * 24, b"1" * 16
@@ -120,48 +127,72 @@ def _unicode(layer: Layer) -> Layer | None:
     return layer.replaced(parts) if parts else None
 
 
-def _inflated(data: bytes, most: int) -> bytes | None:
-    if not (data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
+def _streams(data: bytes) -> Iterator[tuple[int, bool]]:
+    """Where gzip or zlib data may begin, and whether the header is long enough to be no accident."""
+    yield from ((m.start(), True) for m in GZIP.finditer(data))
+    yield from ((m.start(), m.start() == 0) for m in ZLIB.finditer(data))
+
+
+def _inflated(data: bytes, sure: bool, most: int) -> bytes | None:
+    """What data inflates to; where the header may be an accident, only if the checksum at the end is right."""
     try:
-        return zlib.decompressobj(47).decompress(data, most)
+        out = (stream := zlib.decompressobj(47)).decompress(data, most)
     except zlib.error:
         return None
+    return out if sure or stream.eof else None
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.9 * len(text) else None
+def _characters(data: bytes) -> tuple[str, np.ndarray]:
+    """Text of data, with a replacement for each byte that isn't UTF-8, and the byte at which each character begins."""
+    text = data.decode("utf-8", "surrogateescape")
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    lost = (codes >= 0xDC80) & (codes < 0xDD00)
+    widths = np.where(lost, 1, 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))
+    codes[lost] = 0xFFFD
+    return codes.tobytes().decode("utf-32-le") if lost.any() else text, np.cumsum(widths) - widths
 
 
 def _base64(layer: Layer, most: int) -> Iterator[Layer]:
+    """Each alignment of a run, wherever in it the encoded part begins: what stands before or after spoils only itself."""
     for m in BASE64.finditer(layer.text):
-        run = m[0].replace("-", "+").replace("_", "/")
-        for skip in range(4):  # the run may begin with characters of what stands before
+        gaps = [(m.start() + g.start(), m.start() + g.end()) for g in GAP.finditer(m[0])]
+        lines = list(zip([m.start(), *(b for _, b in gaps)], [*(a for a, _ in gaps), m.end()], strict=True))
+        run = "".join(layer.text[a:b] for a, b in lines).replace("-", "+").replace("_", "/")
+        after = np.cumsum([b - a for a, b in lines])  # characters of the run up to the end of each line
+        for skip in range(4):
             body = run[skip:]
             if len(body) < 16:
                 break
             cut = len(body) - (len(body) % 4 == 1)
-            try:
-                data = base64.b64decode(body[:cut] + "=" * (-cut % 4))
-            except (ValueError, binascii.Error):
-                continue
-            while (more := _inflated(data, most)) is not None:
-                data = more
-            if (text := _readable(data)) is not None:
-                begin, end = layer.source(m.start() + skip, m.end())
-                yield Layer(text, np.full(len(text), begin), np.full(len(text), end))
-                break
+            data = base64.b64decode(body[:cut] + "=" * (-cut % 4))
+            sources = [layer.source(a, b) for a, b in lines]
+            if skip < lines[0][1] - lines[0][0]:
+                sources[0] = layer.source(lines[0][0] + skip, lines[0][1])
+            begins, ends = np.array(sources).T
+            text, at = _characters(data)
+            if len(lines) == 1:
+                yield Layer(text, np.full(len(text), begins[0]), np.full(len(text), ends[0]))
+            else:  # from the beginning of the line of a character's first bits to the end of that of its last
+                last = np.append(at[1:], len(data)) - 1
+                first_line, last_line = (np.searchsorted(after, np.minimum(skip + k // 3 * 4 + k % 3 + more, len(run) - 1), "right") for k, more in ((at, 0), (last, 1)))
+                yield Layer(text, begins[first_line], ends[last_line])
+            for k, sure in _streams(data):
+                at_line = int(np.searchsorted(after, place := skip + k // 3 * 4 + k % 3, "right"))
+                start = lines[at_line][1] - int(after[at_line]) + place
+                span = layer.source(start, start + 1)[0], int(ends[-1])
+                work = [(data[k:], sure)]
+                while work:
+                    if (more := _inflated(*work.pop(), most)) is not None:
+                        text = _characters(more)[0]
+                        yield Layer(text, np.full(len(text), span[0]), np.full(len(text), span[1]))
+                        work += [(more[j:], known) for j, known in _streams(more)]
 
 
 def scan(text: str, most_inflated: int = MOST_INFLATED) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base finds and all finds, as (start, kind, end) of the text."""
     data = text.encode("utf-8", "surrogatepass")
     base = find(text, data)
-    if "%" not in text and "\\" not in text and BASE64_RUN not in data.translate(_BASE64_MAP):
+    if "%" not in text and "\\" not in text and BASE64_RUN not in data.translate(_BASE64_MAP, b"\r\n") and not _INDENT.search(text):
         return base, base
     found, seen, work = set(base), {(text, 0)}, [Layer(text)]
     while work:

@@ -1,8 +1,10 @@
 import base64
 import gzip
 import hashlib
+import io
 import random
 import re
+import tarfile
 import zlib
 from urllib.parse import quote
 
@@ -68,3 +70,31 @@ def test_rows(spark, sf):
         spans = brute(texts[r.doc_id] or "")
         assert r.base_sha256 == hashlib.sha256(sc.joined(spans).encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == kind for _, k, _ in spans) for kind in range(3)]
+
+
+def tar(s):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as f:
+        info = tarfile.TarInfo("a")
+        info.size = len(s)
+        f.addfile(info, io.BytesIO(s.encode()))
+    return out.getvalue()
+
+
+def wrapped(x, width=76, end="\n"):
+    return end.join(x[i : i + width] for i in range(0, len(x), width))
+
+
+NOISE = " ".join(hashlib.sha256(bytes([i])).hexdigest()[:9] + "," for i in range(60))
+
+
+@pytest.mark.parametrize("inner", [
+    wrapped(b64(gzip.compress((NOISE + SECRET).encode()))), wrapped(b64("x, " * 15 + SECRET)), wrapped(b64("x, " * 15 + SECRET), 64, "\r\n  "), wrapped(b64(SECRET), 10), wrapped(b64("x, " * 15 + SECRET), 64, "\\n"),
+    "prod-key-" + b64(SECRET), "blob/" + b64(SECRET), b64(SECRET).rstrip("=") + "/raw/file", b64(SECRET).rstrip("=") + "-end", "blob/" + b64(gzip.compress(SECRET.encode())), "ab_" + b64(zlib.compress(SECRET.encode())) + "-end",
+    b64(b"caf\xe9 " + SECRET.encode()), b64(tar(SECRET)), "word\n" + b64(gzip.compress(SECRET.encode())),
+])
+def test_wrapped_glued_and_binary_layers(inner):
+    text = f"Cover: {inner} and on"
+    base, every = sc.scan(text)
+    new = [x for x in every if x not in base and x[1] == 0]
+    assert len(new) == 1 and text.index(inner) <= new[0][0] < new[0][2] <= text.index(inner) + len(inner)
