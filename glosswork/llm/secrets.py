@@ -13,13 +13,18 @@ the compressed data to the end of the run.
 Base finds, those of the text as it is, always stay. Defined results: null text is the empty text,
 which has no finds; spans are code points, end exclusive, ordered by start, kind, end; equal spans count
 once in `spans`; repeated rows get equal results; an empty table gives no rows; other columns take no
-part. Inflated data are read up to `most_inflated` bytes a layer, a bound on memory against archive bombs.
+part. Inflated data are read to their end, member after member, in chunks of `most_inflated` bytes, so
+archive bombs cost time but not memory.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
+import copy
+import itertools
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -50,7 +55,12 @@ ZLIB = re.compile(b"|".join(re.escape(bytes([a])) + b"[" + b"".join(re.escape(by
 _HEX_MAP = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
 _BASE64_MAP = bytes(49 if chr(b).isalnum() and b < 128 or chr(b) in "+/_-" else 48 for b in range(256))
 HEX_RUN, BASE64_RUN = b"1" * 24, b"1" * 16
-MOST_INFLATED = 32 << 20
+MOST_INFLATED = 1 << 20
+# Of texts in parts: blanks that are shortened, ends that wait for the next part, the rest of an open run, runs.
+BLANKS = re.compile(r"[ \t]{17,}")
+HELD = re.compile(r"(?:[ \t]*(?:\r\n?|\n|\\r\\n|\\n|\\r\\?|\\)?[ \t]*|%[0-9A-Fa-f]?|\\(?:u\{?[0-9A-Fa-f]{0,7}|U[0-9A-Fa-f]{0,7}|x[0-9A-Fa-f]?))\Z")
+MORE = re.compile(rf"{_CLASS}*+(?:{_GAP}{_CLASS}++)*+")
+PART = re.compile(rf"(?<!{_CLASS})(?:{_CLASS}{{16,}}+|{_CLASS}++(?={_GAP}{_CLASS}|\Z))(?:{_GAP}{_CLASS}++)*+")
 
 
 def find(text: str, data: bytes | None = None) -> list[tuple[int, int, int]]:
@@ -127,19 +137,203 @@ def _unicode(layer: Layer) -> Layer | None:
     return layer.replaced(parts) if parts else None
 
 
-def _streams(data: bytes) -> Iterator[tuple[int, bool]]:
-    """Where gzip or zlib data may begin, and whether the header is long enough to be no accident."""
-    yield from ((m.start(), True) for m in GZIP.finditer(data))
-    yield from ((m.start(), m.start() == 0) for m in ZLIB.finditer(data))
-
-
-def _inflated(data: bytes, sure: bool, most: int) -> bytes | None:
-    """What data inflates to; where the header may be an accident, only if the checksum at the end is right."""
+def _streams(data: bytes) -> Iterator[tuple[int, int]]:
+    """Where gzip or zlib data may begin, and how sure that is: 2 a long header, 1 a short one at the start, 0 perhaps an accident."""
+    yield from ((m.start(), 2) for m in GZIP.finditer(data))
+    yield from ((m.start(), int(m.start() == 0)) for m in ZLIB.finditer(data))
+
+
+class _Inflating:
+    """Compressed data that come in parts; what they inflate to is read in chunks, and the kinds found go to `kinds`.
+
+    Where the header is short, finds count if nothing is wrong up to the end of the input, or, within other data, if
+    the checksum at the end of the stream is right. A stream that begins like one that it is in is not read: it is
+    one that inflates to itself.
+    """
+
+    def __init__(self, kinds: set[int], sure: int, chunk: int, around: tuple[bytes, ...]):
+        self.kinds, self.sure, self.chunk, self.around = kinds, sure, chunk, around
+        self.own: set[int] = set()
+        self.first, self.inside, self.done = b"", None, False
+
+    def feed(self, data: bytes | memoryview) -> None:
+        if self.inside is None and not self.done:
+            rest = 4096 - len(self.first)
+            self.first += bytes(data[:rest])
+            data = data[rest:]
+            if len(self.first) == 4096:
+                self._start()
+        for i in range(0, len(data), 1 << 16):
+            if not self.done:
+                self._inflate(data[i : i + (1 << 16)])
+
+    def _start(self) -> None:
+        self.done = self.first in self.around
+        if not self.done:
+            self.stream = zlib.decompressobj(47)
+            self.inside = _Bytes(self.own, self.chunk, (*self.around, self.first))
+            self._inflate(self.first)
+
+    def _inflate(self, data: bytes | memoryview) -> None:
+        while True:
+            try:
+                out = self.stream.decompress(data, self.chunk)
+            except zlib.error:
+                self._end(self.sure == 2)
+                return
+            self.inside.feed(out)
+            data = self.stream.unconsumed_tail
+            if self.stream.eof:
+                self._end(True)
+                return
+            if not data and len(out) < self.chunk:
+                return
+
+    def _end(self, counts: bool) -> None:
+        self.done = True
+        if counts:
+            self.inside.close()
+            self.kinds |= self.own
+        self.inside = None
+
+    def close(self) -> None:
+        if self.inside is None and not self.done:
+            self._start()
+        if not self.done:
+            self._end(self.sure > 0)
+
+
+class _Bytes:
+    """Data that come in parts: their text, and compressed data anywhere in them, one member after another."""
+
+    def __init__(self, kinds: set[int], chunk: int, around: tuple[bytes, ...]):
+        self.kinds, self.chunk, self.around = kinds, chunk, around
+        self.decoder, self.text = codecs.getincrementaldecoder("utf-8")("replace"), _Text(kinds, chunk, around)
+        self.tail, self.open, self.begun = b"", [], False
+
+    def feed(self, data: bytes) -> None:
+        if not data:
+            return
+        for x in self.open:
+            x.feed(data)
+        both = self.tail + data
+        for k, sure in _streams(both):
+            if k + (4 if sure == 2 else 2) > len(self.tail):
+                self.open.append(_Inflating(self.kinds, 0 if sure == 1 and self.begun else sure, self.chunk, self.around))
+                self.open[-1].feed(memoryview(both)[k:])
+                if self.open[-1].done:
+                    self.open.pop()
+        self.open = [x for x in self.open if not x.done]
+        self.tail, self.begun = both[-3:], True
+        self.text.feed(self.decoder.decode(data))
+
+    def close(self) -> None:
+        for x in self.open:
+            x.close()
+        self.text.feed(self.decoder.decode(b"", True))
+        self.text.close()
+
+
+class _Run:
+    """A base64 run that comes in parts, at each alignment."""
+
+    def __init__(self, kinds: set[int], chunk: int, around: tuple[bytes, ...]):
+        self.ways = [[skip, "", _Bytes(kinds, chunk, around)] for skip in range(4)]
+
+    def feed(self, run: str) -> None:
+        for way in self.ways:
+            body = way[1] + run[way[0] :]
+            way[0] = max(0, way[0] - len(run))
+            whole = len(body) // 4 * 4
+            way[1] = body[whole:]
+            way[2].feed(base64.b64decode(body[:whole]))
+
+    def close(self) -> None:
+        for _, rest, inside in self.ways:
+            if len(rest) > 1:
+                inside.feed(base64.b64decode(rest + "=" * (4 - len(rest))))
+            inside.close()
+
+
+class _Text:
+    """Text that comes in parts. Of finds only their kinds count, so the last characters are all that has to be carried."""
+
+    def __init__(self, kinds: set[int], chunk: int, around: tuple[bytes, ...]):
+        self.kinds, self.chunk, self.around = kinds, chunk, around
+        self.tail = self.held = ""
+        self.run: _Run | None = None
+        self.children: list[_Text | None] = [None, None]
+
+    def feed(self, text: str, last: bool = False) -> None:
+        # Long blanks count as shorter ones; what may be half an escape or line break waits for the rest.
+        text = BLANKS.sub(lambda m: ("\t" if "\t" in m[0] else " ") * 16, self.held + text)
+        at = len(text) if last else max(0, len(text) - 80) + HELD.search(text[-80:]).start()
+        text, self.held = text[:at], text[at:]
+        if not text:
+            return
+        both = self.tail + text
+        self.kinds.update(kind for _, kind, _ in find(both))
+        for k, (sign, pattern, decoded) in enumerate((("%", PERCENT, _percent_decoded), ("\\", ESCAPE, _unicode_decoded))):
+            if self.children[k] is None and sign in text and pattern.search(text):
+                child = self.children[k] = _Text(self.kinds, self.chunk, self.around)
+                child.tail, child.run = self.tail, copy.deepcopy(self.run, {id(self.kinds): self.kinds})
+            if self.children[k] is not None:
+                self.children[k].feed(pattern.sub(decoded, text))
+        self._runs(text)
+        self.tail = both[-96:]
+
+    def _runs(self, text: str) -> None:
+        at = 0
+        if self.run is not None:
+            at = MORE.match(text).end()
+            self.run.feed(_bare(text[:at]))
+            if at == len(text):
+                return
+            self.run.close()
+            self.run = None
+        for m in PART.finditer(text, at):
+            run = _bare(m[0])
+            if m.end() == len(text) or len(run) >= 16:
+                self.run = _Run(self.kinds, self.chunk, self.around)
+                self.run.feed(run)
+                if m.end() < len(text):
+                    self.run.close()
+                    self.run = None
+
+    def close(self) -> None:
+        self.feed("", True)
+        if self.run is not None:
+            self.run.close()
+        for child in self.children:
+            if child is not None:
+                child.close()
+
+
+def _bare(run: str) -> str:
+    return GAP.sub("", run).replace("-", "+").replace("_", "/")
+
+
+def _percent_decoded(m: re.Match) -> str:
+    return bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")
+
+
+def _unicode_decoded(m: re.Match) -> str:
+    code = int(next(filter(None, m.groups())), 16)
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
+
+
+def _kinds_inflated(data: memoryview, sure: int, chunk: int) -> set[int]:
+    """The kinds found in what data inflate to, at any depth, with some chunks in memory at once."""
+    kinds: set[int] = set()
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 1_000_000))  # layers in layers; only Python frames, which are not on the C stack
     try:
-        out = (stream := zlib.decompressobj(47)).decompress(data, most)
-    except zlib.error:
-        return None
-    return out if sure or stream.eof else None
+        stream = _Inflating(kinds, sure, chunk, ())
+        stream.feed(data)
+        stream.close()
+    finally:
+        sys.setrecursionlimit(limit)
+    return kinds
 
 
 def _characters(data: bytes) -> tuple[str, np.ndarray]:
@@ -152,8 +346,11 @@ def _characters(data: bytes) -> tuple[str, np.ndarray]:
     return codes.tobytes().decode("utf-32-le") if lost.any() else text, np.cumsum(widths) - widths
 
 
-def _base64(layer: Layer, most: int) -> Iterator[Layer]:
-    """Each alignment of a run, wherever in it the encoded part begins: what stands before or after spoils only itself."""
+def _base64(layer: Layer, chunk: int, known: dict[bytes, set[int]]) -> Iterator[Layer | tuple[int, int, set[int]]]:
+    """Each alignment of a run, wherever in it the encoded part begins: what stands before or after spoils only itself.
+
+    Compressed data in one give their range and the kinds found.
+    """
     for m in BASE64.finditer(layer.text):
         gaps = [(m.start() + g.start(), m.start() + g.end()) for g in GAP.finditer(m[0])]
         lines = list(zip([m.start(), *(b for _, b in gaps)], [*(a for a, _ in gaps), m.end()], strict=True))
@@ -179,13 +376,14 @@ def _base64(layer: Layer, most: int) -> Iterator[Layer]:
             for k, sure in _streams(data):
                 at_line = int(np.searchsorted(after, place := skip + k // 3 * 4 + k % 3, "right"))
                 start = lines[at_line][1] - int(after[at_line]) + place
-                span = layer.source(start, start + 1)[0], int(ends[-1])
-                work = [(data[k:], sure)]
-                while work:
-                    if (more := _inflated(*work.pop(), most)) is not None:
-                        text = _characters(more)[0]
-                        yield Layer(text, np.full(len(text), span[0]), np.full(len(text), span[1]))
-                        work += [(more[j:], known) for j, known in _streams(more)]
+                if sure:
+                    if (key := data[k:]) not in known:
+                        known[key] = _kinds_inflated(memoryview(key), sure, chunk)
+                    kinds = known[key]
+                else:
+                    kinds = _kinds_inflated(memoryview(data)[k:], sure, chunk)
+                if kinds:
+                    yield layer.source(start, start + 1)[0], int(ends[-1]), kinds
 
 
 def scan(text: str, most_inflated: int = MOST_INFLATED) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -195,10 +393,14 @@ def scan(text: str, most_inflated: int = MOST_INFLATED) -> tuple[list[tuple[int,
     if "%" not in text and "\\" not in text and BASE64_RUN not in data.translate(_BASE64_MAP, b"\r\n") and not _INDENT.search(text):
         return base, base
     found, seen, work = set(base), {(text, 0)}, [Layer(text)]
+    known: dict[bytes, set[int]] = {}
     while work:
         layer = work.pop()
         children = [x for x in (_percent(layer) if "%" in layer.text else None, _unicode(layer) if "\\" in layer.text else None) if x is not None]
-        for child in [*children, *_base64(layer, most_inflated)]:
+        for child in itertools.chain(children, _base64(layer, most_inflated, known)):
+            if isinstance(child, tuple):
+                found.update((child[0], kind, child[1]) for kind in child[2])
+                continue
             key = (child.text, int(child.begin[0]) if len(child.text) else 0)
             if key in seen:
                 continue

@@ -98,3 +98,24 @@ def test_wrapped_glued_and_binary_layers(inner):
     base, every = sc.scan(text)
     new = [x for x in every if x not in base and x[1] == 0]
     assert len(new) == 1 and text.index(inner) <= new[0][0] < new[0][2] <= text.index(inner) + len(inner)
+
+
+PAD = b"one, two; " * 3_500_000
+
+
+@pytest.mark.parametrize("data", [
+    gzip.compress(PAD + SECRET.encode()), gzip.compress("é".encode() * 17_000_000 + SECRET.encode() + b" x"), gzip.compress(b"x" + "é".encode() * 17_000_000 + SECRET.encode()),
+    gzip.compress(b"a,") + gzip.compress(b"b,") + gzip.compress(SECRET.encode()), gzip.compress(gzip.compress(PAD) + gzip.compress(SECRET.encode())),
+])
+def test_inflated_to_the_end(data):
+    inner = b64(data)
+    assert 0 in [k for _, k, _ in sc.scan(f"Cover: {inner} and on")[1]]
+
+
+def test_chunks_lose_nothing():
+    rng = random.Random(5)
+    inner = [SECRET, quote("".join(f"\\u{ord(c):04x}" for c in SECRET)), "password" + " " * 300 + "=" + " " * 300 + "hunter2hunter2", wrapped(b64(gzip.compress(SECRET.encode()))), wrapped(b64(b64(SECRET))), "%2B" + b64(gzip.compress(SECRET.encode()))[:20] + "%" + b64(gzip.compress(SECRET.encode()))[20:21].encode().hex() + b64(gzip.compress(SECRET.encode()))[21:]]
+    for x in inner:
+        for chunk in (16, 17, 64, 1000):
+            data = gzip.compress(("x, " * rng.randrange(40) + x + " y" * rng.randrange(40)).encode())
+            assert [k for _, k, _ in sc.scan("Cover: " + b64(data), chunk)[1]] == [0], (x, chunk)
