@@ -3,10 +3,11 @@
 Hashed embeddings of words and of their first bytes (stems of inflected insults), filters over one, two and three words, max pooling over the whole text and a
 logistic layer. Training reads at most `max_positive` + `max_negative` labelled rows (those of the
 smallest hashes of their doc_id; rows of more than `max_words` words are left out of training), so
-it fits the driver at any corpus size. Scoring reads every whole text. A part of the sample, held out
-of training, calibrates: one logit shift for all, so that 0.5 is the global threshold, and a threshold
-for each language that has at least `min_positive` positive rows in that part. The language chooses
-the threshold only; it is no input of a score.
+it fits the driver at any corpus size. Scoring reads every whole text. All labelled rows but those held
+out and the four fifths of the sample that the fit reads calibrate, by histograms of their logits: one
+logit shift for all, so that 0.5 is the global threshold, and a threshold for each language that has at
+least `min_positive` positive rows among them, and negative ones enough for the share `most_false` to be
+one row. The language chooses the threshold only; it is no input of a score.
 
 Defined results: null text is the empty text and is scored; null or unknown languages take the
 global threshold; labels other than 0 and 1 are ignored; without labels of both kinds the score is
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import U64, documents, slices
+from glosswork.llm.common import U64, documents, slices, stable
 from glosswork.llm.words import lowered, word_hashes
 
 WIDTHS = (1, 2, 3)
+# Of the histograms of logits: bins a unit, and the largest logit told from larger ones.
+BINS, MOST_LOGIT = 512, 128
 
 
 @dataclass(frozen=True)
@@ -75,16 +78,18 @@ class Model:
         pooled = _pool(rows, bounds, self.products)[0]
         return np.maximum(pooled + self.bias, 0) @ self.dense[:-1] + self.dense[-1]
 
-    def score(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        if self.prior is not None:
-            return np.full(len(offsets) - 1, self.prior)
+    def raw(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = []
         for i, j in slices(offsets, 1 << 20):
             names, bounds = named(body[offsets[i] : offsets[j]], offsets[i : j + 1], self.bits, self.prefix)
             rows, padded = _padded(self.table[names], bounds)
             out.append(self.logits(rows, padded))
-        logits = np.concatenate(out) if out else np.empty(0)
-        return 1 / (1 + np.exp(-np.clip(self.scale * (logits.astype(np.float64) - self.shift), -500, 500)))
+        return np.concatenate(out).astype(np.float64) if out else np.empty(0)
+
+    def score(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if self.prior is not None:
+            return np.full(len(offsets) - 1, self.prior)
+        return 1 / (1 + np.exp(-np.clip(self.scale * (self.raw(body, offsets) - self.shift), -500, 500)))
 
 
 def named(body: np.ndarray, offsets: np.ndarray, bits: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,11 +126,11 @@ def _pool(rows: np.ndarray, bounds: np.ndarray, products: list[list[np.ndarray]]
     return np.concatenate(pooled, axis=1), answers
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], settings: Settings = Settings()) -> Model:
-    """A model of texts given as rows of two names, as named() gives them, and labels 0 and 1."""
+def fit(texts: list[np.ndarray], labels: np.ndarray, settings: Settings = Settings()) -> tuple[Model, np.ndarray]:
+    """A model of texts given as rows of two names, as named() gives them, and labels 0 and 1; the places of the texts it is fitted on."""
     positives = int(labels.sum())
     if not 0 < positives < len(labels):
-        return Model(np.empty(0, np.int64), np.zeros((1, settings.dim), np.float32), [], np.empty(0), np.zeros(1), 0.0, prior=(positives + 1) / (len(labels) + 2) if len(labels) else 0.0)
+        return Model(np.empty(0, np.int64), np.zeros((1, settings.dim), np.float32), [], np.empty(0), np.zeros(1), 0.0, prior=(positives + 1) / (len(labels) + 2) if len(labels) else 0.0), np.arange(len(texts))
     rng = np.random.default_rng(settings.seed)
     order = rng.permutation(len(texts))
     held = np.zeros(len(texts), bool)
@@ -197,21 +202,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], se
             m2[used] += 0.001 * (gE * gE - m2[used])
             E[used] -= settings.rate * m1[used] / (1 - 0.9**step) / (np.sqrt(m2[used] / (1 - 0.999**step)) + 1e-8)
             E[0] = 0
-    model = Model(names, params[0], params[1:-2], params[-2], params[-1], 0.0, bits=settings.bits, prefix=settings.prefix)
-    model.products = _products(model.embedding, model.filters)
-    rest = np.flatnonzero(held) if 0 < labels[held].sum() < held.sum() else np.arange(len(texts))
-    parts = []
-    for some in np.array_split(rest, -(-len(rest) // 64)):  # a few texts at once, to bound memory
-        parts.append(model.logits(*_padded(np.concatenate([coded[i] for i in some]), np.concatenate([[0], np.cumsum([len(coded[i]) for i in some])]))))
-    logits, truth = np.concatenate(parts).astype(np.float64), labels[rest]
-    model.shift = _cut(logits, truth, settings.most_false)
-    of_lang = np.array([langs[i] or "" for i in rest])
-    for lang in set(of_lang.tolist()) - {""}:
-        own = of_lang == lang
-        if truth[own].sum() >= settings.min_positive and (1 - truth[own]).sum() >= settings.min_positive:
-            model.thresholds[lang] = float(1 / (1 + np.exp(-np.clip(_cut(logits[own], truth[own], settings.most_false) - model.shift, -500, 500))))
-    del model.products
-    return model
+    return Model(names, params[0], params[1:-2], params[-2], params[-1], 0.0, bits=settings.bits, prefix=settings.prefix), train
 
 
 def _association(names: np.ndarray, texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
@@ -226,16 +217,50 @@ def _association(names: np.ndarray, texts: list[np.ndarray], labels: np.ndarray)
     return (counts[1] / n[1] - counts[0] / n[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
 
 
-def _cut(logits: np.ndarray, truth: np.ndarray, most_false: float) -> float:
-    """The middle of the cuts of the largest F1, but not so low that more than a share of label 0 is above it."""
-    floor = float(np.nextafter(np.quantile(logits[truth == 0], 1 - most_false, method="higher"), np.inf))
-    order = np.argsort(-logits, kind="stable")
-    hits = np.cumsum(truth[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + truth.sum())
-    f1[:-1][logits[order][:-1] == logits[order][1:]] = -1  # a cut can't part equal scores
-    at = int(np.argmax(f1))
-    lower = logits[order][at + 1] if at + 1 < len(order) else logits[order][at] - 2
-    return max(floor, float((logits[order][at] + lower) / 2))
+def _cut(bins: np.ndarray, positive: np.ndarray, negative: np.ndarray, most_false: float) -> float:
+    """The middle of the cuts of the largest F1, but not so low that more than a share of label 0 is above it. Cuts part bins."""
+    order = np.argsort(-bins)
+    bins, hits, false = bins[order], np.cumsum(positive[order]), np.cumsum(negative[order])
+    at = int(np.argmax(2 * hits / (hits + false + hits[-1])))
+    lower = bins[at + 1] + 1 if at + 1 < len(bins) else bins[at] - 2 * BINS
+    many = np.flatnonzero(false > int(most_false * (false[-1] - 1)))
+    floor = bins[many[0]] + 1 if len(many) else -np.inf
+    return float(max(floor, (bins[at] + lower) / 2) / BINS)
+
+
+def calibrate(model: Model, docs: DataFrame, known: DataFrame, fitted: np.ndarray, settings: Settings, doc_id: str, text: str, lang: str) -> None:
+    """Sets the model's shift and thresholds from all rows of known (__id, toxic) that it is not fitted on."""
+    sent = docs.sparkSession.sparkContext.broadcast((model, fitted))
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, ids = sent.value
+        if not hasattr(own, "table"):
+            own.prepare()
+        for b in batches:
+            logits = np.clip(own.raw(*lowered(b.column(2))), -MOST_LOGIT, MOST_LOGIT)
+            seen = np.isin(b.column(0).to_numpy(zero_copy_only=False), ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.floor(logits * BINS).astype(np.int32)), pa.array(seen)], ["id", "lang", "bin", "fitted"])
+
+    rows = docs.filter(F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(doc_id).cast("long").alias("__id"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    scored = rows.mapInArrow(bins, "id long, lang string, bin int, fitted boolean").join(known, F.col("id") == F.col("__id"))
+    one, zero = F.sum("toxic").alias("positive"), F.sum(1 - F.col("toxic")).alias("negative")
+    cells = stable(scored.groupBy("lang", "bin", "fitted").agg(one, zero))
+    sums = F.sum("positive").alias("positive"), F.sum("negative").alias("negative")
+    rest = cells.filter("not fitted")
+    every = rest.groupBy("bin").agg(*sums).toPandas()
+    if not (len(every) and every["positive"].sum() and every["negative"].sum()):
+        rest = cells
+        every = rest.groupBy("bin").agg(*sums).toPandas()
+
+    def cut(x: pd.DataFrame) -> float:
+        return _cut(*(x[c].to_numpy(np.int64) for c in ("bin", "positive", "negative")), settings.most_false)
+
+    model.shift = cut(every)
+    least = max(settings.min_positive, int(np.ceil(1 / settings.most_false)) + 1)
+    enough = rest.filter("lang <> ''").groupBy("lang").agg(*sums).filter((F.col("positive") >= settings.min_positive) & (F.col("negative") >= least)).select("lang")
+    for name, own in rest.join(enough, "lang").groupBy("lang", "bin").agg(*sums).toPandas().groupby("lang"):
+        model.thresholds[name] = float(1 / (1 + np.exp(-np.clip(cut(own) - model.shift, -500, 500))))
+    sent.unpersist()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -243,11 +268,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fits on labelled rows whose crc32(doc_id as text) mod 5 is not 0."""
+    """Fits and calibrates on labelled rows whose crc32(doc_id as text) mod 5 is not 0."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("__id")))
     order = F.xxhash64("__id"), F.col("__id")
     chosen = known.filter("toxic = 1").orderBy(*order).limit(settings.max_positive).union(known.filter("toxic = 0").orderBy(*order).limit(settings.max_negative))
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).join(F.broadcast(chosen), "__id")  # at most max_positive + max_negative ids
+    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id")  # at most max_positive + max_negative ids
     bits, prefix, most = settings.bits, settings.prefix, settings.max_words
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,11 +283,14 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), d
                 names, bounds = named(body[offsets[i] : offsets[j]], offsets[i : j + 1], bits, prefix)
                 names = names.astype("<u4")
                 coded += [names[m:n].tobytes() if n - m <= most else None for m, n in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(2), pa.array(coded, pa.binary())], ["id", "toxic", "lang", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(coded, pa.binary())], ["id", "toxic", "words"])
 
-    pdf = rows.mapInArrow(code, "id long, toxic int, lang string, words binary").filter("words is not null").toPandas()
+    pdf = rows.mapInArrow(code, "id long, toxic int, words binary").filter("words is not null").toPandas()
     pdf = pdf.sort_values(["id", "words"]).drop_duplicates(["id"])
-    return fit([np.frombuffer(x, "<u4").reshape(-1, 2) for x in pdf["words"]], pdf["toxic"].to_numpy(np.int64), [x if isinstance(x, str) else None for x in pdf["lang"]], settings)
+    model, fitted = fit([np.frombuffer(x, "<u4").reshape(-1, 2) for x in pdf["words"]], pdf["toxic"].to_numpy(np.int64), settings)
+    if model.prior is None:
+        calibrate(model, docs, known, pdf["id"].to_numpy(np.int64)[fitted], settings, doc_id, text, lang)
+    return model
 
 
 def scorer(spark: SparkSession, model: Model):

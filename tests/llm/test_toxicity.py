@@ -52,3 +52,22 @@ def test_query_on_held_out_rows(spark):
     hits = np.mean([r.predicted for r in rows if labels[r.doc_id] == 1])
     false = np.mean([r.predicted for r in rows if labels[r.doc_id] == 0])
     assert hits > 0.8 and false < 0.01
+
+
+def test_thresholds_are_of_all_labelled_rows(spark):
+    # A language of 3 % of the labels, with a word of the others' toxic rows in its clean ones.
+    rows = [(i, t.replace("w1 ", "vile ") if i % 33 == 0 else t, "xx" if i % 33 == 0 else lang, y) for i, t, lang, y in texts(10_000, 1)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = tox.train(docs, labels, tox.Settings(max_positive=300, max_negative=600, epochs=2, min_positive=20))
+    assert set(model.thresholds) == {"en", "fr", "xx"}
+    own = {r.doc_id: r.s for r in docs.select("doc_id", tox.scorer(spark, model)("text").alias("s")).collect()}
+    for lang in (None, *model.thresholds):  # the false share is bounded on all of them, not on some of a sample
+        clean = [own[i] >= model.thresholds.get(lang, 0.5) for i, _, x, y in rows if y == 0 and zlib.crc32(str(i).encode()) % 5 and lang in (None, x)]
+        assert sum(clean) <= 0.02 * len(clean)
+
+
+def test_cut():
+    bins, positive, negative = np.array([5, 9, -3, 7]), np.array([3, 5, 0, 1]), np.array([1, 0, 999, 0])
+    assert tox._cut(bins, positive, negative, 0.01) == (5 - 2) / 2 / tox.BINS
+    assert tox._cut(bins, positive, negative, 0.0) == 6 / tox.BINS
