@@ -129,7 +129,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.add.reduceat(np.append(sets[1], 0), sets[2][:-1]) * (np.diff(sets[2]) > 0)
             keys, marks = band_keys(bag_minhash(*sets)), digests(*sets)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (j - i) + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(marks[:, 0]), pa.array(marks[:, 1]), bands], ["doc_id", "n", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(marks[:, 0]), pa.array(marks[:, 1]), bands], ["doc_id", "sha", "n", "f1", "f2", "bands"])
 
 
 def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,10 +254,11 @@ def components(edges: DataFrame) -> DataFrame:
     return stable(labels.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pivots: int = 512) -> DataFrame:
-    """doc_id, class_id, class_size, kept for each row of docs; rid tells repeated rows apart."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pivots: int = 512, digest: bool = False) -> DataFrame:
+    """doc_id, class_id, class_size, kept and sha, with digest the SHA-256 of the text, for each row of docs; rid tells repeated rows apart."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    signed = stable(rows.mapInArrow(_signed, "doc_id long, n long, f1 long, f2 long, bands array<long>").withColumn("rid", F.monotonically_increasing_id()))
+    sha = F.unhex(F.sha2("text", 256)) if digest else F.lit(None).cast("binary")
+    signed = stable(rows.withColumn("sha", sha).mapInArrow(_signed, "doc_id long, sha binary, n long, f1 long, f2 long, bands array<long>").withColumn("rid", F.monotonically_increasing_id()))
     content = ["f1", "f2", "n"]
     groups = stable(signed.filter("n > 0").groupBy(*content).agg(F.min(F.struct("doc_id", "rid")).alias("lead"), F.count("*").alias("size")).withColumn("node", F.col("lead.rid")))
     nodes = signed.join(groups.select("node"), F.col("rid") == F.col("node"), "left_semi")
@@ -322,18 +323,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         F.coalesce(F.col("rid") == F.col("first.rid"), F.lit(True)).alias("kept"),
-        "f1", "f2", "n",
+        "f1", "f2", "n", "sha",
     )
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns: one of each class."""
-    gone = near_duplicates(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("class_id").alias("__class"))
-    # Rows that repeat an id are parted from the one that stays by counting; other rows only need their id looked up.
-    gone = stable(gone)
-    alone = docs.join(gone.select("__id").distinct(), docs[doc_id].eqNullSafe(F.col("__id")), "left_anti")
-    again = gone.filter(F.col("__id").eqNullSafe(F.col("__class"))).select("__id").distinct()
-    return alone.unionByName(docs.join(again, docs[doc_id].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([doc_id]))
+    rows = near_duplicates(docs, doc_id, text, digest=True).filter("class_size > 1").select(F.col("doc_id").alias("__id"), F.col("class_id").alias("__class"), F.col("sha").alias("__sha"), "kept")
+    # Ids may be of several texts, so rows are told apart by both. Equal rows are parted from the one that stays by counting.
+    rows = stable(rows)
+    docs = docs.withColumn("__row_sha", F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)))
+    same = docs[doc_id].cast("long").eqNullSafe(F.col("__id")) & (F.col("__row_sha") == F.col("__sha"))
+    gone = rows.filter("not kept").select("__id", "__sha", "__class").distinct()
+    alone = docs.join(gone.select("__id", "__sha"), same, "left_anti")
+    firsts = rows.filter("kept").select(F.col("__id").alias("__first"), F.col("__sha").alias("__first_sha"))
+    again = gone.filter(F.col("__id").eqNullSafe(F.col("__class"))).join(firsts, F.col("__id").eqNullSafe(F.col("__first")) & (F.col("__sha") == F.col("__first_sha")), "left_semi").select("__id", "__sha")
+    return alone.unionByName(docs.join(again, same, "left_semi").dropDuplicates([doc_id, "__row_sha"])).drop("__row_sha")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

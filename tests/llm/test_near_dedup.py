@@ -112,3 +112,15 @@ def test_components(spark):
             parent[max(a, b)] = min(a, b)
         df = spark.createDataFrame(edges, "a long, b long").repartition(parts)
         assert {r.node: r.comp for r in nd.components(df).collect()} == {x: find(x) for e in edges for x in e}
+
+
+def test_dropping_tells_texts_of_an_id_apart(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    near, other, third = long + " end", " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    rows = [(2, long), (5, other), (5, near), (None, third), (None, third + " end"), (None, "a b c d e f"), (7, third), (8, ""), (8, ""), (9, other + " 9 9"), (9, other + " 9 9")]
+    left = nd.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted(((r.doc_id or 0), r.text) for r in left)
+    assert len(found) == 6 and {(0, "a b c d e f"), (2, long), (5, other), (8, "")} <= set(found) and found.count((8, "")) == 2
+    assert [t in (third, third + " end") for i, t in found if i == 0].count(True) == 1
+    same = spark.createDataFrame([(3, long), (3, long), (3, other), (4, near)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in nd.drop_near_duplicates(same).collect()) == sorted([(3, long), (3, other)])
