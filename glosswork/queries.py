@@ -408,7 +408,7 @@ def pair_encoding(spark, sf_dir):
     """Benchmark passages encoded as pairs with a small vocabulary of letters."""
     names = [neural.PAD, neural.UNKNOWN, neural.START, neural.SEPARATOR, *"abcdefghijklmnopqrstuvwxyz", *("##" + c for c in "abcdefghijklmnopqrstuvwxyz"), ".", ","]
     rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    pair = neural.encode_pairs(F.lit("the results"), F.col("text"), {t: i for i, t in enumerate(names)}, 128)
+    pair = neural.encode_pairs(F.lit("the results"), F.col("text"), {t: i for i, t in enumerate(names)})
     return rows.select("item_id", pair.alias("x")).select("item_id", "x.*")
 
 

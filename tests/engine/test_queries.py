@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from glosswork import queries as engine
+from glosswork.operators import neural
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -49,3 +50,16 @@ names = e.queries()
 assert names and not any(n.startswith('op') or n == 'pipeline' for n in names) and set(e.oracle_sql()) <= set(names)
 """
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_pairs_hold_whole_passages(spark, size):
+    letters = [*"abcdefghijklmnopqrstuvwxyz.,"]
+    vocabulary = {t: 4 + i for i, t in enumerate([*letters[:26], *("##" + c for c in letters[:26]), *letters[26:]])} | {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3}
+    sf_dir = f"/root/testdata/{size}"
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    rows = engine.pair_encoding(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        whole = [p for w in neural.basic_tokens(texts[r.item_id] or "") for p in neural.pieces(w, vocabulary)]
+        assert len(r.input_ids) == 512 and sum(r.token_type_ids) == len(whole) + 1
