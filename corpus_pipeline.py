@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage calls one training-data operator and its decisions take effect.
 
 Toxic documents go, of equal texts and of near-duplicates one document stays, the sources are mixed to
-target weights (documents repeat as often as the mix takes them), and the mix is encoded.
+target weights (documents repeat as often as the mix takes them), and the mix is encoded and decoded.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glosswork.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from glosswork.llm.common import shared_dir
@@ -31,8 +32,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian uint32) of each document of the mix."""
-    return bpe.encode_documents(docs, bpe.default_tokenizer(), decode=False).select("doc_id", "n_tokens", "ids")
+    """doc_id, n_tokens, ids (little-endian uint32) and the SHA-256 of the text that they decode to, of each document of the mix."""
+    return bpe.encode_documents(docs, bpe.default_tokenizer()).select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -1,5 +1,7 @@
 """The pipeline's stages take effect, keep the columns of documents, and hold against plain versions."""
 
+import hashlib
+
 import corpus_pipeline
 import numpy as np
 import pytest
@@ -37,3 +39,9 @@ def test_encoding_is_of_whole_texts(stages):
     text = {r.doc_id: r.text for r in stages[4].collect()}
     for r in stages[5].collect():
         assert codec.decode(np.frombuffer(r.ids, "<u4")) == (text[r.doc_id] or "") and r.n_tokens * 4 == len(r.ids)
+
+
+def test_stage_decodes(stages):
+    text = {r.doc_id: r.text for r in stages[4].collect()}
+    rows = stages[5].collect()
+    assert rows and all(r.decoded_sha256 == hashlib.sha256((text[r.doc_id] or "").encode()).hexdigest() for r in rows)
