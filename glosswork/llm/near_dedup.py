@@ -39,7 +39,7 @@ from glosswork.llm.words import lowered, shingles, word_hashes
 WORDS = 5
 BANDS, ROWS = 25, 5  # a pair of similarity 0.8 shares a band with probability 1 - 5e-5
 REGISTERS = BANDS * ROWS
-SLICE = 4 << 20  # bytes of text at once
+SLICE = 1 << 19  # bytes of text at once; a worker's temporaries are some 60 times that
 CLASSES = 64  # of shingles, in the sketches that bound overlaps
 
 

@@ -32,6 +32,7 @@ from glosswork.llm.words import lowered, word_hashes
 WIDTHS = (1, 2, 3)
 # Of the histograms of logits: bins a unit, and the largest logit told from larger ones.
 BINS, MOST_LOGIT = 512, 128
+INDEX_BITS = 18
 
 
 @dataclass(frozen=True)
@@ -69,10 +70,26 @@ class Model:
     thresholds: dict[str, float] = field(default_factory=dict)
 
     def prepare(self) -> None:
-        self.table = np.zeros(1 << self.bits, np.int32)
-        self.table[self.words] = np.arange(1, len(self.words) + 1)
+        # Words by their top bits: a name is looked for among the few words that share them.
+        self.coarse = max(0, self.bits - INDEX_BITS)
+        self.starts = np.searchsorted(self.words >> self.coarse, np.arange((1 << (self.bits - self.coarse)) + 1)).astype(np.int32)
+        self.deepest = int(np.diff(self.starts).max())
         self.products = _products(self.embedding, self.filters)
 
+    def rows(self, names: np.ndarray) -> np.ndarray:
+        """The row of the embedding of each name, 0 for names that are no words of the model."""
+        flat = names.ravel()
+        at = flat >> self.coarse
+        low, high = self.starts[at], self.starts[at + 1]
+        out = np.zeros(len(flat), np.int32)
+        left = np.flatnonzero(low < high)
+        for k in range(self.deepest):
+            place = low[left] + k
+            hit = self.words[place] == flat[left]
+            out[left[hit]] = place[hit] + 1
+            left = left[~hit & (place + 1 < high[left])]
+        return out.reshape(names.shape)
+
     def logits(self, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Of texts given as rows of the embedding, one after another, each followed by two zero rows."""
         pooled = _pool(rows, bounds, self.products)[0]
@@ -80,9 +97,9 @@ class Model:
 
     def raw(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = []
-        for i, j in slices(offsets, 1 << 20):
+        for i, j in slices(offsets, 1 << 19):
             names, bounds = named(body[offsets[i] : offsets[j]], offsets[i : j + 1], self.bits, self.prefix)
-            rows, padded = _padded(self.table[names], bounds)
+            rows, padded = _padded(self.rows(names), bounds)
             out.append(self.logits(rows, padded))
         return np.concatenate(out).astype(np.float64) if out else np.empty(0)
 
@@ -234,7 +251,7 @@ def calibrate(model: Model, docs: DataFrame, known: DataFrame, fitted: np.ndarra
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ids = sent.value
-        if not hasattr(own, "table"):
+        if not hasattr(own, "starts"):
             own.prepare()
         for b in batches:
             logits = np.clip(own.raw(*lowered(b.column(2))), -MOST_LOGIT, MOST_LOGIT)
@@ -269,10 +286,11 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fits and calibrates on labelled rows whose crc32(doc_id as text) mod 5 is not 0."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("__id")))
+    marks = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("double").alias("toxic")).filter(F.col("__id").isNotNull() & F.col("toxic").isin(0.0, 1.0))
+    known = marks.groupBy("__id").agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("__id")))
     order = F.xxhash64("__id"), F.col("__id")
     chosen = known.filter("toxic = 1").orderBy(*order).limit(settings.max_positive).union(known.filter("toxic = 0").orderBy(*order).limit(settings.max_negative))
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id")  # at most max_positive + max_negative ids
+    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "__id")  # at most max_positive + max_negative ids
     bits, prefix, most = settings.bits, settings.prefix, settings.max_words
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,13 +315,13 @@ def scorer(spark: SparkSession, model: Model):
     """A vectorised function from a text column to scores. The model is bounded by the training sample."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = sent.value
-        if own.prior is None and not hasattr(own, "table"):
+        if own.prior is None and not hasattr(own, "starts"):
             own.prepare()
         for texts in batches:
-            yield pd.Series(own.score(*lowered(pa.array(texts, pa.string()))))
+            yield pa.array(own.score(*lowered(texts)))
 
     return score
 

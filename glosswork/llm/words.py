@@ -14,18 +14,40 @@ from glosswork.llm.common import GOLDEN, U64, mix, text_buffers
 _BASE = 0x5851F42D4C957F2D
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+BLOCK = 1 << 16
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and their inverses."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+def _ladder(base: int, n: int) -> np.ndarray:
+    """The first n powers of base modulo 2**64."""
+    steps = np.full(n, base, U64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
+
+
+_UP, _DOWN = _ladder(_BASE, BLOCK), _ladder(pow(_BASE, -1, 1 << 64), BLOCK)
+_UP_BLOCK, _DOWN_BLOCK = (pow(b, BLOCK, 1 << 64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def prefix_sums(body: np.ndarray) -> np.ndarray:
+    """n + 1 sums of (byte + 1) * base**place modulo 2**64, block by block, so that no table grows with the text."""
+    sums = np.zeros(len(body) + 1, U64)
+    carry, lift = U64(0), 1
+    for i in range(0, len(body), BLOCK):
+        part = body[i : i + BLOCK].astype(U64)
+        part += U64(1)
+        part *= _UP[: len(part)]
+        part *= U64(lift)
+        own = sums[i + 1 : i + 1 + len(part)]
+        np.cumsum(part, out=own)
+        own += carry
+        carry, lift = own[-1], lift * _UP_BLOCK & 0xFFFFFFFFFFFFFFFF
+    return sums
+
+
+def inverse_powers(places: np.ndarray, n: int) -> np.ndarray:
+    """base**-place modulo 2**64 of places below n."""
+    blocks = _ladder(_DOWN_BLOCK, n // BLOCK + 1)
+    return _DOWN[places % BLOCK] * blocks[places // BLOCK]
 
 
 def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -48,14 +70,12 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray, prefix: int = 0) -> tuple
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:n]
     ends = np.flatnonzero(last) + 1
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum((body.astype(U64) + U64(1)) * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * GOLDEN)
+    sums, down = prefix_sums(body), inverse_powers(starts, n)
+    hashes = mix((sums[ends] - sums[starts]) * down + (ends - starts).astype(U64) * GOLDEN)
     bounds = np.searchsorted(starts, offsets)
     if prefix:
         cut = np.minimum(starts + prefix, ends)
-        return hashes, bounds, mix((sums[cut] - sums[starts]) * down[starts] - (cut - starts).astype(U64) * GOLDEN)
+        return hashes, bounds, mix((sums[cut] - sums[starts]) * down - (cut - starts).astype(U64) * GOLDEN)
     return hashes, bounds
 
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glosswork.llm import toxicity as tox
 
@@ -71,3 +72,13 @@ def test_cut():
     bins, positive, negative = np.array([5, 9, -3, 7]), np.array([3, 5, 0, 1]), np.array([1, 0, 999, 0])
     assert tox._cut(bins, positive, negative, 0.01) == (5 - 2) / 2 / tox.BINS
     assert tox._cut(bins, positive, negative, 0.0) == 6 / tox.BINS
+
+
+def test_labels_of_any_number_type(spark):
+    rows = texts(300)
+    docs = spark.createDataFrame([(str(r[0]), *r[1:3]) for r in rows], "doc_id string, text string, lang string")
+    scores = []
+    for kind in ("bigint", "double", "tinyint"):
+        labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int").withColumn("toxic", F.col("toxic").cast(kind))
+        scores.append({r.doc_id: r.score for r in tox.score_documents(docs, labels, tox.Settings(epochs=1)).collect()})
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == 300
