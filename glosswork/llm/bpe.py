@@ -1,12 +1,16 @@
-"""Byte-level BPE encoding and decoding, with tree concatenation for long unsplit texts.
+"""Byte-level BPE encoding and decoding by tree concatenation.
 
-The vocabulary is read from a tokenizers JSON file named by a parameter. Ordinary text is cut into
-pieces by the file's pre-tokenizer and each piece is merged by rank. A piece with more than
-`long_bytes` bytes (a long run without a cut) is encoded as a tree: its halves are encoded in
-parallel, down to leaves, and at each join growing windows of tokens around the join are encoded
-again until the new tokens agree with the old ones at both ends of the window. Neighbouring tokens
-then are everywhere pairs of a valid encoding, and a sequence of tokens whose neighbours all are such
-pairs is the encoding of the whole, so the ids equal those of one pass.
+The vocabulary is read from a tokenizers JSON file named by a parameter. A text is cut in halves, whatever
+stands there, down to leaves of at most `leaf_chars` characters; the leaves are encoded, in parallel in long
+texts, and joined level by level. At each join a growing window of text around it is encoded again
+until the new tokens agree exactly with the old ones at both ends of the window. A window begins and ends
+where a blank follows another character, which is a cut in any context; the tokens within it then depend on
+nothing outside it, and those outside are cut off from what changed, so the ids equal those of one pass.
+
+A piece with more than `long_bytes` bytes (a run that the pre-tokenizer does not cut) holds no such places and
+is joined by bytes instead: windows of tokens around the join grow until the new tokens agree with the old ones
+at both ends. Neighbouring tokens then are everywhere pairs of a valid encoding, and a sequence of tokens
+whose neighbours all are such pairs is the encoding of the whole.
 
 Defined results: null text is the empty text, which has no ids and decodes to the empty text; strings
 of special tokens in a text become their ids, as the tokenizers library does by default; repeated rows
@@ -16,8 +20,9 @@ get equal results; an empty table gives no rows; other columns take no part.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +35,10 @@ from glosswork.llm.common import documents
 
 # Fixed: the pattern of the byte-level pre-tokenizer with use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONG_BYTES = 16_384
-LEAF_BYTES = 4_096
+LEAF_CHARS = 512
+LONG_BYTES = 4_096
+LEAF_BYTES = 1_024
+PARALLEL = 64  # leaves from which on they are encoded by several threads
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -44,7 +51,7 @@ def _byte_of_char() -> dict[str, int]:
 class Codec:
     """Encoder and decoder of a byte-level BPE vocabulary given as the text of its JSON file."""
 
-    def __init__(self, definition: str, long_bytes: int = LONG_BYTES, leaf_bytes: int = LEAF_BYTES, threads: int = 2):
+    def __init__(self, definition: str, leaf_chars: int = LEAF_CHARS, long_bytes: int = LONG_BYTES, leaf_bytes: int = LEAF_BYTES, threads: int = 2):
         spec = json.loads(definition)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if spec.get("normalizer") or spec["model"]["type"] != "BPE" or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
@@ -53,21 +60,89 @@ class Codec:
         # Merges make tokens in the order of their ids, so an id serves as its rank.
         ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.core = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.special = frozenset(special)
-        self.long_bytes, self.leaf_bytes = long_bytes, max(1, leaf_bytes)
+        self.special = special
+        self.leaf_chars, self.long_bytes, self.leaf_bytes = max(1, leaf_chars), long_bytes, max(1, leaf_bytes)
         self.threads = threads
-        self.size = {i: len(b) for b, i in ranks.items()}
+        self.sizes = {i: len(b) for b, i in ranks.items()}
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.run = regex.compile(r"\s{%d}" % max(1, long_bytes // 4))
 
-    def encode(self, text: str) -> np.ndarray:
-        if len(text) * 4 > self.long_bytes and self._unsplit(text):
-            return self._encode_long(text)
-        return self.core.encode_to_numpy(text, allowed_special=self.special, disallowed_special=())
+    def encode(self, text: str) -> list[int]:
+        if self.cut is None or not any(x in text for x in self.special):
+            return self._part(text)
+        out: list[int] = []
+        for part in self.cut.split(text):
+            out += [self.special[part]] if part in self.special else self._part(part)
+        return out
+
+    def _part(self, text: str) -> list[int]:
+        """The ids of a text without special tokens."""
+        return self._with_long_pieces(text) if len(text) * 4 > self.long_bytes and self._unsplit(text) else self.tree(text)
+
+    def _unsplit(self, text: str) -> bool:
+        """Whether a piece may be longer than long_bytes: a character has four bytes at most."""
+        least = self.long_bytes // 4
+        return max(map(len, text.split()), default=0) >= least or self.run.search(text) is not None
+
+    def _with_long_pieces(self, text: str) -> list[int]:
+        out: list[int] = []
+        done, blank = 0, []  # where the open part begins, and its last pieces if they are blank
+        for m in self.pattern.finditer(text):
+            piece = m[0]
+            if len(piece) * 4 > self.long_bytes and len(data := piece.encode()) > self.long_bytes:
+                # Blanks before the piece were cut with it in sight, so they are not cut again without it.
+                out += self.tree(text[done : m.start() - sum(map(len, blank))])
+                for b in blank:
+                    out += self.core._encode_single_piece(b.encode())
+                out += self.piece_tree(data)
+                done, blank = m.end(), []
+            else:
+                blank = [*blank, piece] if piece.isspace() else []
+        return out + self.tree(text[done:])
+
+    def _map(self, f, items: list, pool: ThreadPoolExecutor | None) -> list:
+        return list(map(f, items) if pool is None else pool.map(f, items))
+
+    def tree(self, text: str) -> list[int]:
+        """The ids of a text without special tokens: leaves, then joins, level by level."""
+        n = 1
+        while len(text) > n * self.leaf_chars:
+            n *= 2
+        if n == 1:
+            return self.core.encode_ordinary(text)
+        bounds = [len(text) * i // n for i in range(n + 1)]
+        with ThreadPoolExecutor(self.threads) if n >= PARALLEL else nullcontext() as pool:
+            parts = self._map(lambda i: self.core.encode_ordinary(text[bounds[i] : bounds[i + 1]]), range(n), pool)
+            while len(parts) > 1:
+                half = [(text, bounds[i], bounds[i + 1], bounds[i + 2], parts[i], parts[i + 1]) for i in range(0, len(parts), 2)]
+                parts, bounds = self._map(lambda x: self.join(*x), half, pool), bounds[::2]
+        return parts[0]
+
+    def join(self, text: str, start: int, cut: int, end: int, left: list[int], right: list[int]) -> list[int]:
+        """The ids of text[start:end] from those of its parts before and after cut."""
+        w = 8
+        while True:
+            a, b = _sure(text, start, cut - w, -1), _sure(text, cut + w, end, 1)
+            again = self.core.encode_ordinary(text[a:b])
+            k = len(left) - self._tokens(reversed(left), text[a:cut])
+            m = self._tokens(right, text[cut:b])
+            if (a == start or again[0] == left[k]) and (b == end or again[-1] == right[m - 1]):
+                return left[:k] + again + right[m:]
+            w *= 2
+
+    def _tokens(self, ids: Iterable[int], text: str) -> int:
+        """How many of the ids, from the first on, make up a text of which they hold the cut at its end."""
+        left, n = len(text.encode()), 0
+        for i in ids:
+            if left <= 0:
+                break
+            left -= self.sizes[i]
+            n += 1
+        return n
 
-    def decode(self, ids: np.ndarray) -> str:
-        return self.core.decode_bytes(ids.tolist()).decode("utf-8", errors="replace")
+    def decode(self, ids: list[int]) -> str:
+        return self.core.decode_bytes(ids).decode("utf-8", errors="replace")
 
     def _unsplit(self, text: str) -> bool:
         """Whether a piece may be longer than long_bytes: a character has four bytes at most."""
@@ -94,18 +169,18 @@ class Codec:
     def _ordinary(self, text: str) -> np.ndarray:
         return np.array(self.core.encode_ordinary(text), np.uint32)
 
-    def tree(self, data: bytes) -> list[int]:
-        """The ids of one piece: leaves in parallel, then joins, level by level."""
+    def piece_tree(self, data: bytes) -> list[int]:
+        """The ids of one piece."""
         n = max(1, -(-len(data) // self.leaf_bytes))
         bounds = [len(data) * i // n for i in range(n + 1)]
-        with ThreadPoolExecutor(self.threads) as pool:
-            parts = list(pool.map(lambda i: self.core._encode_single_piece(data[bounds[i] : bounds[i + 1]]), range(n)))
+        with ThreadPoolExecutor(self.threads) if n >= PARALLEL else nullcontext() as pool:
+            parts = self._map(lambda i: self.core._encode_single_piece(data[bounds[i] : bounds[i + 1]]), range(n), pool)
             while len(parts) > 1:
-                pairs = list(pool.map(lambda i: self.join(parts[i], parts[i + 1]), range(0, len(parts) - 1, 2)))
+                pairs = self._map(lambda i: self.join_pieces(parts[i], parts[i + 1]), range(0, len(parts) - 1, 2), pool)
                 parts = pairs + parts[2 * len(pairs) :]
         return parts[0]
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join_pieces(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two encoded byte strings, one after the other."""
         w = 2
         while True:
@@ -119,6 +194,19 @@ class Codec:
             w *= 2
 
 
+def _sure(text: str, low: int, high: int, way: int) -> int:
+    """The last (way -1) or first place from low to high where a blank follows a character that is none: the pre-tokenizer cuts there in any context. Else low or high."""
+    if way < 0:
+        at = max(low, high)
+        while at > low and not (text[at] in " \n" and not text[at - 1].isspace()):
+            at -= 1
+        return at
+    at = min(low, high)
+    while at < high and not (text[at] in " \n" and not text[at - 1].isspace()):
+        at += 1
+    return at
+
+
 _codecs: dict[tuple, Codec] = {}
 
 
@@ -130,7 +218,7 @@ def codec(definition: str, *options: int) -> Codec:
     return _codecs[key]
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", long_bytes: int = LONG_BYTES, leaf_bytes: int = LEAF_BYTES, decode: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", leaf_chars: int = LEAF_CHARS, long_bytes: int = LONG_BYTES, leaf_bytes: int = LEAF_BYTES, decode: bool = True) -> DataFrame:
     """doc_id, ids (little-endian uint32), n_tokens, decoded (if asked for) for each row of docs.
 
     The vocabulary file is read on the driver and broadcast: its size does not depend on the data.
@@ -139,12 +227,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary.value, long_bytes, leaf_bytes)
+        own = codec(vocabulary.value, leaf_chars, long_bytes, leaf_bytes)
         for batch in batches:
             ids, sizes, back = [], [], []
             for text in batch.column(1).to_pylist():
                 encoded = own.encode(text or "")
-                ids.append(encoded.astype("<u4").tobytes())
+                ids.append(np.array(encoded, "<u4").tobytes())
                 sizes.append(len(encoded))
                 back.append(own.decode(encoded) if decode else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(back, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -13,7 +14,7 @@ def both():
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    return bpe.Codec(open(path, encoding="utf-8").read(), long_bytes=64, leaf_bytes=16), library
+    return bpe.Codec(open(path, encoding="utf-8").read(), leaf_chars=5, long_bytes=64, leaf_bytes=16), library
 
 
 TEXTS = [
@@ -26,17 +27,17 @@ TEXTS = [
 def test_equal_to_library(both, text):
     codec, library = both
     ids = codec.encode(text)
-    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
-    assert codec.decode(ids) == library.decode(ids.tolist(), skip_special_tokens=False) == text
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False) == text
 
 
 def test_random_runs(both):
     codec, library = both
     rng = random.Random(3)
     for _ in range(150):
-        letters = rng.choice(["ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "éèàü", "0123456789", "  \n\t", "-=*'"])
+        letters = rng.choice(["ab", "a 'sl\n", "é \u00a0\x1c.l'", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "éèàü", "0123456789", "  \n\t", "-=*'"])
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 1500)))
-        assert codec.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
 def test_rows(spark):
@@ -46,3 +47,35 @@ def test_rows(spark):
     assert sorted((r.doc_id or 0, r.n_tokens, r.decoded) for r in out) == [(0, 1, "x"), (1, 0, ""), (2, 0, ""), (3, 2, "hello world"), (3, 2, "hello world")]
     assert np.frombuffer(out[2].ids, "<u4").tolist() == [31373, 995]
     assert bpe.encode_digests(df.limit(0), bpe.default_tokenizer()).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [1, 3, 64])
+def test_cuts_anywhere(both, leaf):
+    _, library = both
+    codec = bpe.Codec(open(bpe.default_tokenizer(), encoding="utf-8").read(), leaf_chars=leaf)
+    text = "It's what they'll've said:  \n\n we're (not) -- 3,14 %, d'accord?\tl'é\u00e9t\u0065\u0301 漢字 𝔸𝔹 " * 7 + "\n" * 9 + "'" * 5 + "ll" * 5
+    for k in range(40):
+        assert codec.encode(text[k:]) == library.encode(text[k:], add_special_tokens=False).ids
+
+
+def test_every_document_through_the_tree(spark, monkeypatch):
+    """The query's digests on all of sf0.01 are those of the library; each text above the size of a leaf is joined from parts."""
+    path, sf = bpe.default_tokenizer(), "/root/testdata/sf0.01"
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    texts = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = []
+    for i, t in texts:
+        ids = library.encode(t, add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    assert sorted(map(tuple, bpe.op7_bpe(spark, sf).collect())) == sorted(want)
+    codec, joins, join = bpe.Codec(open(path, encoding="utf-8").read()), [], bpe.Codec.join
+    monkeypatch.setattr(bpe.Codec, "join", lambda *x: joins.append(1) or join(*x))
+    long = [t for _, t in texts if len(t) > bpe.LEAF_CHARS]
+    for t in long:
+        before = len(joins)
+        codec.encode(t)
+        assert len(joins) > before
+    assert len(long) > 300

@@ -46,7 +46,7 @@ def check(rows, want, width, end):
 
 def test_query_is_lossless(spark, sf):
     codec = bpe.Codec(open(bpe.default_tokenizer(), encoding="utf-8").read())
-    want = {r.doc_id: [*codec.encode(r.text or "").tolist(), 50256] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = {r.doc_id: [*codec.encode(r.text or ""), 50256] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = packing.op1_packing(spark, sf).collect()
     check(rows, want, packing.WIDTH, 50256)
     assert sum(r.n_tokens for r in rows) > 0.97 * packing.WIDTH * (len(rows) - 4)
@@ -56,6 +56,6 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (None, "hello world " * 50, 0)], "doc_id long, text string, ids int").coalesce(1)
     rows = packing.pack_documents(df, bpe.default_tokenizer(), width=16, block_tokens=40).collect()
     codec = bpe.Codec(open(bpe.default_tokenizer(), encoding="utf-8").read())
-    check(rows, {1: [50256], 2: [50256], None: [*codec.encode("hello world " * 50).tolist(), 50256]}, 16, 50256)
+    check(rows, {1: [50256], 2: [50256], None: [*codec.encode("hello world " * 50), 50256]}, 16, 50256)
     assert len({r.pack_id for r in rows}) == len(rows)
     assert packing.pack_documents(df.limit(0), bpe.default_tokenizer()).count() == 0
