@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -67,6 +68,13 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows written as a table in the shared folder and read back, as DataFrame operations only; lineage ends there."""
+    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a temporary folder only where none is set and all runs in one process, as in tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -75,6 +83,21 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or tempfile.mkdtemp(prefix="checkpoints-")
 
 
+def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """df with, for each name, the sum of an expression over the rows before in the order, which must be total.
+
+    Rows are dealt by ranges of the order and each range is summed on its own; only the sums of whole ranges are
+    ordered in one task, one row a partition.
+    """
+    ranged = written(df.repartitionByRange(*order).withColumns({**{f"__{k}": x for k, x in sums.items()}, "__range": F.spark_partition_id()}))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    wholes = ranged.groupBy("__range").agg(*[F.sum(f"__{k}").alias(f"__all_{k}") for k in sums])
+    starts = wholes.select("__range", *[F.coalesce(F.sum(f"__all_{k}").over(before), F.lit(0)).alias(f"__from_{k}") for k in sums])
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.withColumns({f"__{k}": F.coalesce(F.sum(f"__{k}").over(within), F.lit(0)) for k in sums})
+    return rows.join(starts, "__range").select(*df.columns, *[(F.col(f"__{k}") + F.col(f"__from_{k}")).alias(k) for k in sums])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -14,16 +14,18 @@ spread over many tasks.
 
 Defined results: null text has size 0; sources go by code point, null last; rows of one id and size are
 taken in no particular order among themselves, as they are alike; sizes of 0 are taken with the
-epochs only; a weight that is null, not finite or below 1e-6 counts as 1e-6; an empty table gives no rows.
+epochs only; rows of one id, source and text share what is taken of them as evenly as it goes; a weight that is null, not finite or below 1e-6 counts as 1e-6; an empty table gives no rows.
 Other columns take no part.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import documents
+from glosswork.llm.common import documents, running, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -38,36 +40,39 @@ def word_count(text: Column) -> Column:
 
 
 def quality_weight(text: Column, size: Column) -> Column:
-    """A document's weight in sampling: from 0.5, for texts of characters other than words, to 1.5 for words of plausible length."""
-    mean = F.length(F.coalesce(text, F.lit(""))) / F.greatest(size, F.lit(1))
-    return F.lit(0.5) + F.when(mean.between(3, 12), 1.0).otherwise(1.0 / (1.0 + F.abs(mean - 7.5)))
+    """A document's weight in sampling, from 0.25 to 1.5: more for words of plausible length, and more the fewer of its lines repeat."""
+    whole = F.coalesce(text, F.lit(""))
+    mean = F.length(whole) / F.greatest(size, F.lit(1))
+    lines = F.split(whole, "\n", -1)
+    plausible = F.when(mean.between(3, 12), 1.0).otherwise(1.0 / (1.0 + F.abs(mean - 7.5)))
+    return F.lit(0.25) + plausible * (F.lit(0.25) + F.size(F.array_distinct(lines)) / F.size(lines))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Each source's size and target; one row a source.
 
     The level at which caps and budget meet is found by prefix sums over the sources in order of the
-    level at which each is full, so it needs no iteration.
+    level at which each is full, so it needs no iteration, and no task holds all sources.
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     # Strings compare by UTF-8 bytes, which is the order of code points.
-    ranked = sources.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    weighed = ranked.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("k") - 1, F.lit(len(weights))) + 1).cast("int")))
+    ranked = running(sources, [F.col("source").asc_nulls_last()], k=F.lit(1))
+    weighed = ranked.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("k"), F.lit(len(weights))) + 1).cast("int")))
     weighed = weighed.withColumn("cap", F.lit(float(most)) * F.col("source_size")).withColumn("full_at", F.col("cap") / F.col("w"))
-    before = Window.orderBy("full_at", "k").rowsBetween(Window.unboundedPreceding, -1)
-    onward = Window.orderBy("full_at", "k").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy()
+    filled = written(running(weighed, [F.col("full_at"), F.col("k")], caps=F.col("cap"), ws=F.col("w")))
     # If all sources before this one are full, the others share what is left at this level. The first that is not full
     # at its level settles it; from there on levels only fall.
-    level = weighed.withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(whole)).withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(onward))
-    settled = level.withColumn("at", F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(whole))
-    return settled.select("source", "source_size", F.least("cap", F.col("w") * F.coalesce("at", F.lit(float("inf")))).alias("target"))
+    whole = F.broadcast(filled.agg((F.lit(float(share)) * F.sum("source_size")).alias("budget"), F.sum("w").alias("all_w")))  # one row
+    level = filled.join(whole).withColumn("level", (F.col("budget") - F.col("caps")) / (F.col("all_w") - F.col("ws")))
+    settled = F.broadcast(level.agg(F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).alias("at")))  # one row
+    return filled.join(settled).select("source", "source_size", F.least("cap", F.col("w") * F.coalesce("at", F.lit(float("inf")))).alias("target"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for each row of docs."""
+    """doc_id, source, size, mark (a hash of the text), source_size, target, copies, taken for each row of docs."""
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), (F.col(weight).cast("double") if weight else F.lit(None).cast("double")).alias("weight")).withColumn("size", word_count(F.col("text")))
-    sized = sized.select("doc_id", "source", "size", F.col("weight") if weight else quality_weight(F.col("text"), F.col("size")).alias("weight"))
+    # Texts are read and counted once; from here on rows are narrow.
+    sized = written(sized.select("doc_id", "source", "size", F.xxhash64("text").alias("mark"), F.col("weight") if weight else quality_weight(F.col("text"), F.col("size")).alias("weight")))
     sized = sized.withColumn("weight", F.when(F.isnan("weight") | F.col("weight").isNull() | (F.col("weight") < 1e-6) | (F.col("weight") == float("inf")), F.lit(1e-6)).otherwise(F.col("weight")))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) * F.lit(2.0**-52)
@@ -75,29 +80,44 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     # Cells of the key: 1 - exp(-key) is uniform for weight 1.
     keyed = keyed.withColumn("cell", F.least(F.lit(buckets - 1), F.floor(F.lit(float(buckets)) * (1 - F.exp(-F.col("key"))))).cast("int"))
     cells = keyed.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
+    cells = written(cells)
     budget = targets(cells.select("source", F.col("cell_size").alias("size")), weights, share, most)
     starts = cells.withColumn("start", F.coalesce(F.sum("cell_size").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     starts = starts.join(budget, starts["source"].eqNullSafe(budget["source"])).select(starts["source"].alias("s"), F.col("cell").alias("c"), "start", "source_size", "target")
     rows = keyed.join(starts, keyed["source"].eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c")
-    order = Window.partitionBy("source", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source", "cell").orderBy("key", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     until = F.col("start") + F.sum("size").over(order)
     rows = rows.withColumn("epochs", epochs).withColumn("until", until)
     extra = (F.col("size") > 0) & (F.col("until") - rest <= F.col("size") / 2.0) & (rest > 0) & (F.col("epochs") < F.lit(float(most)))
-    return rows.withColumn("copies", (F.col("epochs") + extra.cast("long")).cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.withColumn("copies", (F.col("epochs") + extra.cast("long")).cast("long")).select("doc_id", "source", "size", "mark", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of docs as often as the mix takes them, with their columns."""
-    total = mix(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).filter("__copies > 0")
-    name = options.get("doc_id", "doc_id")
-    # Ids are keys; where rows repeat an id, each gets an equal share of its copies, rounded up.
-    return docs.join(total, docs[name].eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__copies") / F.col("__rows"))))).select(*docs.columns)
+    taken = mix(docs, doc_id, text, source, **options)
+    keys = ["doc_id", "source", "mark"]
+    total = written(taken.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("copies").alias("__copies"), F.col("rows").alias("__rows")).filter("__copies > 0"))
+    own = {"doc_id": docs[doc_id], "source": docs[source], "mark": F.xxhash64(docs[text])}
+    same = reduce(lambda a, b: a & b, [own[k].eqNullSafe(F.col(f"__{k}")) for k in keys])
+    many = total.filter("__rows > 1")
+
+    def copied(rows: DataFrame, n: Column) -> DataFrame:
+        return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*docs.columns)
+
+    alone = copied(docs.join(total.filter("__rows = 1"), same), F.col("__copies"))
+    if many.isEmpty():
+        return alone
+    # Rows alike in id, source and text share their copies: the first ones, in no particular order, get one more where they can't be parted evenly.
+    place = F.row_number().over(Window.partitionBy(*[f"__{k}" for k in keys]).orderBy(F.lit(0)))
+    share = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__place") <= F.col("__copies") % F.col("__rows")).cast("long")
+    shared = docs.join(many, same).withColumn("__place", place).withColumn("__n", share).filter("__n > 0")
+    return alone.unionByName(copied(shared, F.col("__n")))
 
 
 ORACLE_SQL = r"""
@@ -106,8 +126,9 @@ WITH d AS (
 ), k AS (
   SELECT doc_id, source, size,
     -ln((CAST(CAST('0x' || substr(md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) * pow(2::DOUBLE, -52))
-      / (0.5::DOUBLE + CASE WHEN length(t) / greatest(size, 1)::DOUBLE BETWEEN 3 AND 12 THEN 1::DOUBLE
-                            ELSE 1::DOUBLE / (1::DOUBLE + abs(length(t) / greatest(size, 1)::DOUBLE - 7.5::DOUBLE)) END) AS key
+      / (0.25::DOUBLE + CASE WHEN length(t) / greatest(size, 1)::DOUBLE BETWEEN 3 AND 12 THEN 1::DOUBLE
+                             ELSE 1::DOUBLE / (1::DOUBLE + abs(length(t) / greatest(size, 1)::DOUBLE - 7.5::DOUBLE)) END
+           * (0.25::DOUBLE + len(list_distinct(string_split(t, chr(10)))) / len(string_split(t, chr(10)))::DOUBLE)) AS key
   FROM d
 ), s AS (
   SELECT source, sum(size)::DOUBLE AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source

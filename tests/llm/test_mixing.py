@@ -54,3 +54,26 @@ def test_edges(spark):
 def test_native_plan(spark, sf):
     plan = mixing.op4_mixing(spark, sf)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD"))
+
+
+def test_rows_of_one_id(spark):
+    """Exact copies and other texts under one id: each text is given as often as the mix takes it, copies alike as evenly as it goes."""
+    rows = [(i % 7, " ".join(["w"] * (1 + i % 5)) + f" {i % 11}", f"s{i % 3}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row int")
+    want = {}
+    for r in mixing.mix(df).collect():
+        want[r.doc_id, r.source, r.mark] = want.get((r.doc_id, r.source, r.mark), 0) + r.copies
+    got, each = {}, {}
+    for r in mixing.mixed_documents(df).selectExpr("*", "xxhash64(text) AS mark").collect():
+        got[r.doc_id, r.source, r.mark] = got.get((r.doc_id, r.source, r.mark), 0) + 1
+        each[r.row] = each.get(r.row, 0) + 1
+    assert got == {k: n for k, n in want.items() if n} and max(each.values()) <= 2
+    assert sum(got.values()) != 400
+
+
+def test_many_sources_in_ranges(spark):
+    """The running sums of ranges are those of the whole order."""
+    sizes = [(i * 7919) % 1000 for i in range(3000)]
+    df = spark.createDataFrame([(f"s{i:05d}", n) for i, n in enumerate(sizes)], "source string, size long")
+    got = [r.target for r in mixing.targets(df).orderBy("source").collect()]
+    assert got == pytest.approx(fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))]))
