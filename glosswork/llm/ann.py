@@ -1,28 +1,32 @@
 """Approximate nearest neighbours by multi-index hashing of learned rotated binary codes.
 
-Codes: several rotations, each learned on a bounded sample by alternating between signs and the best
-orthogonal map to them (iterative quantisation), give 64 sign bits each at most. Index: every vector's
-code, cut into 16-bit substrings, each with its own bucket table. Search: by the pigeonhole principle a
-code within Hamming radius r of the query's agrees with it in some substring up to r // substrings bits,
-so probing each table at that small radius retrieves every code within r. The radius grows until more
-than k codes are certain to be within it, then by a slack learned on the sample; where a radius would
-need more probes than there are codes in a shard, all codes of the shard are compared, which
-retrieves the same set. What is retrieved is ranked by cosine on the original vectors.
+Codes: a rotation learned on a bounded sample by alternating between signs and the best orthogonal map to
+them (iterative quantisation) gives one sign bit a principal axis, several rotations together `tables` times 16
+bits. Index: every vector's code, cut into substrings of 16 bits, each with a bucket table of its own, dealt to
+cells by table and top bits of the substring. Search: by the pigeonhole principle a code within Hamming radius r
+of the query's agrees with it in some substring up to about r / tables bits, so a query goes to the cells whose top
+bits are that near, and there probes each bucket that is that near. All codes within the radius are found, each
+in the first table that gives it, and are ranked by the cosine of the original vectors where they are found.
+
+The radius follows the data. It begins at what the sample says of distances at this number of rows; a query is
+done when the radius covers its k-th smallest distance found and a slack, learned on the sample, by which nearest
+vectors have farther codes than others; the queries that are not done go on with a radius that covers what they
+have found, or, with too little found, a wider one.
 
 Equal vectors are one entry with their smallest ids, so a vector that many rows share makes no large
-bucket. The index is dealt into shards of bounded size and the query set into blocks; each block meets
-each shard once.
+bucket, and a cell with many entries is dealt in parts, each of which its queries visit.
 
 Defined results: vectors that are null, all zero, or hold null or non-finite components take no part,
-nor do rows without an id or vectors of another length than the most frequent one; rows that repeat an
+nor do rows without an id; vectors of different lengths are not compared; rows that repeat an
 id and a vector are one row; queries with fewer than k candidates get all of them; ties go to the
 smaller vec_id. An empty table gives no rows. Other columns take no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -31,27 +35,28 @@ from pyspark.sql import functions as F
 
 from glosswork.llm.common import stable
 
-SAMPLE = 8192  # rows that the rotations and the slack are learned on
-ROTATIONS = 4
-SHARD, BLOCK = 16_384, 1_024
-PROBES = 2  # substring radius up to which tables are probed: 137 of 65,536 buckets each
+SAMPLE = 8192  # rows that the rotations, the slack and the first radius are learned on
+TABLES, WIDTH = 4, 16
+CELL = 4096  # entries to a cell, about
+SURE = 0.97  # share of the sample's nearest vectors whose codes are within the slack
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 @dataclass
 class Coder:
     mean: np.ndarray
-    maps: list[np.ndarray]  # one for each 64-bit word of a code
+    maps: list[np.ndarray]  # one for each rotation; the last one may give fewer bits
+    bits: int
     slack: int = 0
+    near: int = 0  # the usual distance of a k-th nearest code at the number of rows
 
-    def codes(self, vectors: np.ndarray) -> np.ndarray:
+    def signs(self, vectors: np.ndarray) -> np.ndarray:
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        out = np.zeros((len(vectors), len(self.maps)), np.uint64)
-        for k, m in enumerate(self.maps):
-            bits = np.zeros((len(vectors), 64), np.uint8)
-            bits[:, : m.shape[1]] = (unit - self.mean) @ m > 0
-            out[:, k] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
-        return out
+        return np.concatenate([(unit - self.mean) @ m > 0 for m in self.maps], axis=1)
+
+    def codes(self, vectors: np.ndarray) -> np.ndarray:
+        """One 16-bit number for each table."""
+        return np.packbits(self.signs(vectors), axis=1, bitorder="little").view("<u2")
 
 
 def scaled(vectors: np.ndarray) -> np.ndarray:
@@ -60,21 +65,32 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
     return np.ldexp(vectors, -exponent)
 
 
-def fit(vectors: np.ndarray, k: int, rotations: int = ROTATIONS, seed: int = 3) -> Coder:
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all codes of a and all codes of b."""
+    out = np.zeros((len(a), len(b)), np.int32)
+    for j in range(a.shape[1]):
+        out += np.bitwise_count(a[:, None, j] ^ b[None, :, j])
+    return out
+
+
+def fit(vectors: np.ndarray, k: int, rows: int, tables: int = TABLES, seed: int = 3) -> Coder:
+    """Rotations, slack and the first distance for the k nearest of so many rows, from a sample."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     mean = unit.mean(0)
     rng = np.random.default_rng(seed)
     values, axes = np.linalg.eigh(np.cov((unit - mean).T).reshape(unit.shape[1], -1) if len(unit) > 1 else np.eye(unit.shape[1]))
-    axes = axes[:, np.argsort(-values)][:, :64]
+    bits = tables * WIDTH
+    axes = axes[:, np.argsort(-values)][:, :bits]
     projected = (unit - mean) @ axes
-    maps = []
-    for _ in range(rotations):
+    maps, missing = [], bits
+    while missing > 0:
         turn = np.linalg.qr(rng.normal(size=(axes.shape[1],) * 2))[0]
         for _ in range(20):
             u, _, vt = np.linalg.svd(np.sign(projected @ turn).T @ projected)
             turn = (u @ vt).T
-        maps.append(axes @ turn)
-    coder = Coder(mean, maps)
+        maps.append((axes @ turn)[:, :missing])
+        missing -= maps[-1].shape[1]
+    coder = Coder(mean, maps, bits)
     some = rng.permutation(len(unit))[:512]
     codes = coder.codes(vectors)
     far = hamming(codes[some], codes)
@@ -84,95 +100,75 @@ def fit(vectors: np.ndarray, k: int, rotations: int = ROTATIONS, seed: int = 3)
     k = min(k, len(unit) - 1)
     if k > 0:
         best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        reach = np.take_along_axis(far, best, 1) - np.partition(far, k - 1, axis=1)[:, k - 1 : k]
-        coder.slack = max(0, int(np.quantile(reach, 0.995)))
+        kth = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+        coder.slack = max(0, int(np.quantile(np.take_along_axis(far, best, 1) - kth, SURE)))
+        # Among more rows than the sample has, the k-th smallest distance is a smaller quantile of a vector's distances.
+        coder.near = int(np.median(np.quantile(far, min(1.0, k / rows), axis=1, method="lower")))
     return coder
 
 
-def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)), np.int32)
-    for w in range(a.shape[1]):
-        out += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
-    return out
+def budgets(radius: int, tables: int) -> list[int]:
+    """How far each table's substrings are probed, -1 for not at all: a code that is farther in all of them is beyond the radius."""
+    each, more = divmod(radius, tables)
+    return [each if j <= more else each - 1 for j in range(tables)]
 
 
 @lru_cache
-def masks(radius: int) -> np.ndarray:
-    every = np.arange(1 << 16, dtype=np.uint32)
+def masks(width: int, radius: int) -> np.ndarray:
+    """All numbers of so many bits with at most radius ones."""
+    every = np.arange(1 << width, dtype=np.uint32)
     return every[np.bitwise_count(every) <= radius]
 
 
-class MultiIndex:
-    """Bucket tables of the 16-bit substrings of codes."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.parts = codes.view(np.uint16)
-        self.orders = [np.argsort(self.parts[:, j], kind="stable").astype(np.int32) for j in range(self.parts.shape[1])]
-        self.starts = [np.concatenate([[0], np.cumsum(np.bincount(self.parts[:, j], minlength=1 << 16))]) for j in range(self.parts.shape[1])]
-
-    def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """All entries with a Hamming distance of at most radius, and their distances."""
-        sub = code.view(np.uint16)
-        each, more = divmod(radius, len(sub))
-        hits = []
-        for j, value in enumerate(sub):
-            # A code within the radius that is farther in every one of the first `more + 1` parts than `each`, and in the others than `each - 1`, can't be.
-            r = each if j <= more else each - 1
-            if r < 0:
-                continue
-            at = np.uint32(value) ^ masks(r)
-            low, high = self.starts[j][at], self.starts[j][at + 1]
-            full = np.flatnonzero(high > low)
-            hits += [self.orders[j][low[i] : high[i]] for i in full]
-        found = np.unique(np.concatenate(hits)) if hits else np.empty(0, np.int32)
-        far = hamming(code[None], self.codes[found])[0]
-        return found[far <= radius], far[far <= radius]
-
-    def candidates(self, codes: np.ndarray, k: int, slack: int) -> list[np.ndarray]:
-        """For each code all entries within its k-th smallest distance and the slack."""
-        out: list[np.ndarray | None] = [None] * len(codes)
-        n, m = len(self.codes), self.parts.shape[1]
-        if n > k:
-            for i, code in enumerate(codes):
-                for each in range(PROBES + 1):
-                    if m * len(masks(each)) > n:
-                        break
-                    found, far = self.within(code, m * (each + 1) - 1)
-                    if len(found) >= k:
-                        radius = int(np.partition(far, k - 1)[k - 1]) + slack
-                        if radius < m * (each + 1):
-                            out[i] = found[far <= radius]
-                        elif m * len(masks(radius // m)) <= n:
-                            out[i] = self.within(code, radius)[0]
-                        break
-        rest = [i for i, x in enumerate(out) if x is None]
-        for at in range(0, len(rest), 64):
-            some = rest[at : at + 64]
-            far = hamming(codes[some], self.codes)
-            radius = np.partition(far, k - 1, axis=1)[:, k - 1] + slack if n > k else np.full(len(some), 1 << 14)
-            for row, i in enumerate(some):
-                out[i] = np.flatnonzero(far[row] <= radius[row])
-        return out
-
-
-def _search(coder: Coder, k: int):
+class Cell:
+    """The entries of one table whose substrings share their top bits, by buckets of the other bits."""
+
+    def __init__(self, codes: np.ndarray, table: int, low: int):
+        self.codes, self.table, self.low = codes, table, low
+        self.rest = (codes[:, table] & np.uint16((1 << low) - 1)).astype(np.uint32)
+        self.order = np.argsort(self.rest, kind="stable")
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.rest, minlength=1 << low))])
+
+    def probe(self, code: np.ndarray, radius: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+        """The entries within the radius that this table gives and none before it, and their distances."""
+        own, each = int(code[self.table]), np.array(budgets(radius, self.codes.shape[1]))
+        left = int(each[self.table]) - ((own >> self.low) ^ prefix).bit_count()
+        if left < 0:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.uint32(own & ((1 << self.low) - 1)) ^ masks(self.low, min(left, self.low))
+        first, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
+        full = sizes > 0
+        first, sizes = first[full], sizes[full]
+        ends = np.cumsum(sizes)
+        found = self.order[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)]
+        apart = np.bitwise_count(self.codes[found] ^ code)
+        far = apart.sum(1, dtype=np.int64)
+        new = (far <= radius) & (apart[:, : self.table] > each[: self.table]).all(1)
+        return found[new], far[new]
+
+
+def _visited(coder: Coder, k: int, radius: int, top: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Of a cell's part and its queries: each query's best entries by score and by distance."""
+
     def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(index) or not len(queries):
-            return pd.DataFrame({"query": [], "score": [], "ids": []})
-        vectors = scaled(np.stack(index["vector"]).astype(np.float64))
-        asked = scaled(np.stack(queries["vector"]).astype(np.float64))
+            return pd.DataFrame({name: pd.Series([], dtype=object) for name in ("query", "score", "far", "ids")})
+        vectors, asked = (scaled(np.stack(x["vector"]).astype(np.float64)) for x in (index, queries))
         norms, asked_norms = np.linalg.norm(vectors, axis=1), np.linalg.norm(asked, axis=1)
         first = np.array([x[0] for x in index["ids"]], np.int64)
-        query, place, score = [], [], []
-        for i, found in enumerate(MultiIndex(coder.codes(vectors)).candidates(coder.codes(asked), k, coder.slack)):
+        table, prefix = int(index["table"].iloc[0]), int(index["prefix"].iloc[0])
+        cell = Cell(coder.codes(vectors), table, WIDTH - top)
+        query, place, score, distance = [], [], [], []
+        for i, code in enumerate(coder.codes(asked)):
+            found, far = cell.probe(code, radius, prefix)
             s = vectors[found] @ asked[i] / (norms[found] * asked_norms[i])
-            best = np.lexsort((first[found], -s))[:k]
-            query += [queries["query"].iloc[i]] * len(best)
-            place.append(found[best])
-            score.append(s[best])
+            keep = np.unique(np.concatenate([np.lexsort((first[found], -s))[:k], np.argsort(far, kind="stable")[:k]]))
+            query += [queries["query"].iloc[i]] * len(keep)
+            place.append(found[keep])
+            score.append(s[keep])
+            distance.append(far[keep])
         place = np.concatenate(place)
-        return pd.DataFrame({"query": query, "score": np.concatenate(score), "ids": index["ids"].to_numpy()[place]})
+        return pd.DataFrame({"query": pd.Series(query, dtype=object), "score": np.concatenate(score), "far": np.concatenate(distance), "ids": index["ids"].to_numpy()[place]})
 
     return run
 
@@ -182,31 +178,65 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", shard: int = SHARD, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+def _coded(rows: DataFrame, coder: Coder, columns: list[str]) -> DataFrame:
+    """The columns of rows, and for each table its substring of the vector's code."""
+
+    @F.pandas_udf("array<int>")
+    def code(vectors: pd.Series) -> pd.Series:
+        return pd.Series(list(coder.codes(scaled(np.stack(vectors).astype(np.float64))).astype(np.int32))) if len(vectors) else pd.Series([], dtype=object)
+
+    return rows.select(*columns, F.posexplode(code("vector")).alias("table", "sub"))
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", tables: int = TABLES, cell: int = CELL, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row for which is_query, an expression of vec_id, holds."""
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector")).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    if not lengths:
-        return spark.createDataFrame([], RESULT)
-    rows = rows.filter(F.size("vector") == lengths[0]["n"])
+    lengths = [r["n"] for r in rows.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()]  # of a table's vectors, one as a rule
+    found = [_nearest(rows.filter(F.size("vector") == n), is_query, k, tables, cell, sample) for n in lengths]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], RESULT)
+
+
+def _nearest(rows: DataFrame, is_query: Column, k: int, tables: int, size: int, sample: int) -> DataFrame:
     rows = rows.withColumn("key", F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(1), "vector").alias("b"))).dropDuplicates(["vec_id", "key"])
     learn = rows.select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
-    coder = fit(scaled(np.stack(learn["vector"]).astype(np.float64)), k + 1)
 
     # Of equal vectors the k + 1 smallest ids will do: one of them may be the query's own.
     smallest = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     entries = stable(smallest.groupBy("key").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("vector").alias("vector")))
-    asked = rows.filter(is_query)
-    queries = stable(asked.select("key", "vector").dropDuplicates(["key"]))
-    shards = max(1, -(-entries.count() // shard))
-    blocks = max(1, -(-queries.count() // block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = entries.select("ids", "vector", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
-    right = queries.select(F.col("key").alias("query"), "vector", F.pmod(F.xxhash64(F.lit(2), "key"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", every(shards)).withColumn("query", F.to_json("query"))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_search(coder, k + 1), "query string, score double, ids array<long>")
+    n = entries.count()
+    coder = fit(scaled(np.stack(learn["vector"]).astype(np.float64)), k + 1, n, tables)
+    top = min(WIDTH, max(0, (n // size).bit_length()))  # of a substring's bits, those that name its cell
+
+    prefix = F.shiftright("sub", WIDTH - top).alias("prefix")
+    index = _coded(entries, coder, ["ids", "vector"]).select("ids", "vector", "table", prefix)
+    parts = stable(index.groupBy("table", "prefix").agg(F.ceil(F.count("*") / size).cast("int").alias("parts")))  # at most tables * 2**top rows
+    index = stable(index.join(F.broadcast(parts), ["table", "prefix"]).withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int")).drop("parts"))
+
+    asked = stable(rows.filter(is_query).select("vec_id", "key"))
+    queries = stable(rows.filter(is_query).select(F.to_json("key").alias("query"), "vector").dropDuplicates(["query"]))
+    done, todo, radius = None, queries, min(coder.bits, coder.near + coder.slack)
+    while True:
+        probed = budgets(radius, tables)
+        flips = [F.filter(F.split(F.lit(",".join(map(str, masks(top, min(each, top)).tolist()))), ","), lambda x: x != "").cast("array<int>") for each in probed]
+        flips = F.element_at(F.array(*flips), F.col("table") + 1)
+        visits = _coded(todo, coder, ["query", "vector"]).select("query", "vector", "table", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.shiftright("sub", WIDTH - top)))).alias("prefix"))
+        visits = visits.join(F.broadcast(parts), ["table", "prefix"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        by = ["table", "prefix", "part"]
+        found = stable(index.groupBy(*by).cogroup(visits.groupBy(*by)).applyInPandas(_visited(coder, k + 1, radius, top), "query string, score double, far int, ids array<long>"))
+        # Bounded: k + 1 by score and k + 1 by distance from each cell that a query visits.
+        kth = found.groupBy("query").agg(F.array_sort(F.collect_list("far")).alias("far")).select("query", F.try_element_at("far", F.lit(min(k + 1, n))).alias("kth"))
+        ended = stable(kth.withColumn("needs", F.col("kth") + coder.slack))
+        over = F.lit(radius >= coder.bits) | (F.col("needs") <= radius)
+        mine = found.join(ended.filter(over).select("query"), "query", "left_semi").select("query", "score", "ids")
+        done = mine if done is None else done.unionByName(mine)
+        todo = stable(todo.join(ended.filter(over).select("query"), "query", "left_anti"))
+        if radius >= coder.bits or todo.isEmpty():
+            break
+        # The next radius ends what has found k; the others widen it further in the rounds after that.
+        needs = ended.filter(~over).agg(F.max("needs")).first()[0]
+        radius = min(coder.bits, max(radius + 1, needs if needs is not None else 0, radius + radius // 4 if needs is None else 0))
     by_rank = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0])
-    best = found.withColumn("n", F.row_number().over(by_rank)).filter(F.col("n") <= k + 1).select("query", "score", F.explode("ids").alias("vec_id"))
+    best = done.withColumn("n", F.row_number().over(by_rank)).filter(F.col("n") <= k + 1).select("query", "score", F.explode("ids").alias("vec_id"))
     by_id = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = best.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)
     lists = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
