@@ -79,6 +79,8 @@ _JOIN = r"\p{M}\u200c\u200d"
 _LETTER = rf"[\p{{L}}\p{{N}}&&[\u0000-\uFFFF]&&[^{_CJK}{_SEA}]]"
 #: A run of a script without blanks is one token; else letters and digits, with - and ' before a letter or digit.
 RUN = rf"[{_CJK}][{_CJK}{_JOIN}]*|[{_SEA}][{_SEA}{_JOIN}]*"
+#: The same in text of ASCII alone.
+ASCII_TOKEN = "[A-Za-z0-9](?:[A-Za-z0-9]|[-'](?=[A-Za-z0-9]))*"
 TOKEN = rf"{RUN}|{_LETTER}(?:{_LETTER}|[-'](?=[\p{{L}}\p{{N}}]))*"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork import config
@@ -24,23 +24,47 @@ def section_weight(kind: Column, focus: str = "balanced") -> Column:
     return _choose(kind, config.section_weights(focus), F.lit(None).cast("int"))
 
 
-def heuristic(text: Column, normal: Column, kind: Column, focus: str = "balanced") -> Column:
-    """Section weight, phrase scores and corrections of a candidate."""
+def phrase_score(text: Column, words: Column, citations: Column, reference: Column) -> Column:
+    """What phrases and corrections add to a candidate's score in sections other than the references."""
     hit = lambda test, delta: F.when(test, delta).otherwise(0)
-    words = X.word_count(normal)
-    parts = [section_weight(kind, focus)]
-    parts += [hit(X.matches(text, p), d) for p, d in (*P.POSITIVE, *P.NEGATIVE)]
+    parts = [hit(X.matches(text, p), d) for p, d in (*P.POSITIVE, *P.NEGATIVE)]
     parts += [
-        hit((kind == "references") | X.reference_like(text), -12),
+        hit(reference, -12),
         hit(words > 30, -3),
         hit(words > 22, -1),
         hit(X.matches(text, P.FIRST_PERSON), 1),
         hit(X.matches(text, P.NUMERIC), 1),
         hit(~text.rlike(r"[\p{L}\p{N}]"), -3),
-        hit(X.citations(text) >= 2, -3),
+        hit(citations >= 2, -3),
         hit(X.pronouns(text) >= 2, -2),
     ]
-    return reduce(lambda a, b: a + b, parts).cast("double")
+    return reduce(lambda a, b: a + b, parts)
+
+
+def section_score(kind: Column, reference: Column, focus: str = "balanced") -> Column:
+    """What the section adds; in the references each text counts as a reference, once."""
+    return section_weight(kind, focus) + F.when((kind == "references") & ~reference, -12).otherwise(0)
+
+
+def heuristic(text: Column, normal: Column, kind: Column, focus: str = "balanced") -> Column:
+    """Section weight, phrase scores and corrections of a candidate."""
+    found = X.citations(text)
+    reference = X.reference_like(text, found)
+    return (section_score(kind, reference, focus) + phrase_score(text, X.word_count(normal), found, reference)).cast("double")
+
+
+def with_phrases(rows: DataFrame) -> DataFrame:
+    """rows (text, normal) with phrases and reference, from which the score in any section follows; each measure is taken once."""
+    measured = [c for c in ("words", "citations") if c not in rows.columns]
+    of = {"words": lambda: X.word_count(F.col("normal")), "citations": lambda: X.citations(F.col("text"))}
+    rows = X.bound(rows, **{c: of[c]() for c in measured}) if measured else rows
+    rows = X.bound(rows, reference=X.reference_like(F.col("text"), F.col("citations")))
+    return X.bound(rows, phrases=phrase_score(F.col("text"), F.col("words"), F.col("citations"), F.col("reference")))
+
+
+def heuristic_of(kind: Column, focus: str = "balanced") -> Column:
+    """The score of rows of with_phrases()."""
+    return (section_score(kind, F.col("reference"), focus) + F.col("phrases")).cast("double")
 
 
 def reason(text: Column, kind: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,9 +27,20 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def ascii_only(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def bound(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once a row: the optimiser copies a projection's expressions into each use of them, but not through a generator."""
+    own = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.select(*kept, F.explode(F.array(own)).alias("__bound")).select(*kept, *[F.col(f"__bound.{name}").alias(name) for name in columns])
+
+
 def nfkc(text: Column) -> Column:
     """Compatibility normal form; stable text does not leave the JVM as more than a null."""
-    stable = text.rlike(STABLE)
+    stable = ascii_only(text) | text.rlike(STABLE)
     return F.when(stable, text).otherwise(_nfkc(F.when(~stable, text)))
 
 
@@ -47,14 +58,15 @@ def squeeze(text: Column) -> Column:
 
 def word_count(normal: Column) -> Column:
     """Of text in NFKC."""
-    return F.regexp_count(normal, F.lit(P.TOKEN))
+    return F.when(ascii_only(normal), F.regexp_count(normal, F.lit(P.ASCII_TOKEN))).otherwise(F.regexp_count(normal, F.lit(P.TOKEN)))
 
 
 def tokens(normal: Column) -> Column:
     """Terms of lower-cased NFKC text: runs of scripts without blanks as they are, words of two and more letters that are no stop words."""
-    every = F.regexp_extract_all(normal, F.lit(f"({P.TOKEN})"), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in P.STOPWORDS])
-    return F.filter(every, lambda t: t.rlike(f"^(?:{P.RUN})$") | ((F.length(t) > 1) & ~F.array_contains(stop, t)))
+    word = lambda t: (F.length(t) > 1) & ~t.isin(*P.STOPWORDS)
+    plain = F.filter(F.regexp_extract_all(normal, F.lit(f"({P.ASCII_TOKEN})"), F.lit(1)), word)
+    every = F.filter(F.regexp_extract_all(normal, F.lit(f"({P.TOKEN})"), F.lit(1)), lambda t: word(t) | (~ascii_only(t) & t.rlike(f"^(?:{P.RUN})$")))
+    return F.when(ascii_only(normal), plain).otherwise(every)
 
 
 def dedup_key(normal: Column) -> Column:
@@ -70,10 +82,11 @@ def pronouns(text: Column) -> Column:
     return F.regexp_count(text, F.lit(P.java(P.PRONOUNS)))
 
 
-def reference_like(text: Column) -> Column:
-    trimmed = trim(text)
+def reference_like(text: Column, found: Column | None = None) -> Column:
+    """Of text and its number of citations."""
+    trimmed, found = trim(text), citations(text) if found is None else found
     heading = trimmed.rlike("(?iu)" + P.REFERENCE_HEADING)
-    return heading | ((citations(text) >= 1) & (matches(trimmed, P.REFERENCE_ENTRY, False) | matches(text, P.REFERENCE_PAGES)))
+    return heading | ((found >= 1) & (matches(trimmed, P.REFERENCE_ENTRY, False) | matches(text, P.REFERENCE_PAGES)))
 
 
 def readable(text: Column, normal: Column, min_chars: int, max_chars: int, max_words: int) -> Column:
@@ -89,6 +102,41 @@ def readable(text: Column, normal: Column, min_chars: int, max_chars: int, max_w
     )
 
 
+def readable_rows(rows: DataFrame, min_chars: int, max_chars: int, max_words: int) -> DataFrame:
+    """The rows whose text passes the same filter, with normal, words and citations. Text is trimmed already, and each measure is taken once."""
+    text = F.col("text")
+    rows = rows.filter(F.length(text).between(max(1, min_chars), max_chars) & text.rlike(r"[\p{L}\p{N}]") & ~matches(text, P.CAPTION))
+    rows = bound(rows, citations=citations(text)).filter("citations < 2")
+    heading = F.length(text).between(2, 32) & text.rlike("(?iu)" + P.REFERENCE_HEADING)
+    rows = rows.filter(~heading & ~((F.col("citations") >= 1) & (matches(text, P.REFERENCE_ENTRY, False) | matches(text, P.REFERENCE_PAGES))))
+    rows = bound(rows, normal=nfkc(text))
+    return bound(rows, words=word_count(F.col("normal"))).filter(F.col("words") <= max_words)
+
+
+def trimmed_rows(rows: DataFrame) -> DataFrame:
+    """Ranges (piece, start) as text, start, end without outer blanks, quotes and brackets; opening ones in front, closing ones behind."""
+    rows = bound(rows, front=F.regexp_replace("piece", f"^[{P.SPACES}\"'(\\[{{]+", ""))
+    rows = bound(rows, text=F.regexp_replace("front", f"[{P.SPACES}\"')\\]}}]+$", "")).filter("text <> ''")
+    begin = F.col("start") + F.length("piece") - F.length("front")
+    kept = [c for c in rows.columns if c not in ("piece", "start", "end", "front", "text")]
+    return rows.select(*kept, "text", begin.cast("int").alias("start"), (begin + F.length("text")).cast("int").alias("end"))
+
+
+def prefix_sums(numbers: Column) -> Column:
+    """For each element of an array of integers the sum of those before it, in doubling steps; an array has up to 2**24 elements."""
+
+    def step(d: int):
+        def add(v: Column) -> Column:
+            return F.when(F.size(v) > d, F.transform(v, lambda x, i: x + F.when(i >= d, F.get(v, i - d)).otherwise(0))).otherwise(v)
+
+        return add
+
+    out = F.concat(F.array(F.lit(0)), F.slice(numbers, F.lit(1), F.greatest(F.size(numbers) - 1, F.lit(0))))
+    for k in range(24):
+        out = F.get(F.transform(F.array(out), step(1 << k)), 0)
+    return out
+
+
 def trimmed_range(text: Column, start: Column) -> tuple[Column, Column, Column]:
     """Text, start and end without outer blanks, quotes and brackets; opening ones in front, closing ones behind."""
     front = F.regexp_replace(text, f"^[{P.SPACES}\"'(\\[{{]+", "")

@@ -32,15 +32,13 @@ def _pieces(text: Column) -> Column:
 def ranges(pages: DataFrame, max_chars: int = 240) -> DataFrame:
     """The pages' columns but text, with piece, start, end of each sentence-like range."""
     keys = [c for c in pages.columns if c != "text"]
-    lengths = F.transform("pieces", lambda x: F.length(x))
-    out = pages.withColumn("pieces", _pieces(F.col("text"))).select(*keys, "pieces", lengths.alias("lengths"))
-    out = out.select(*keys, F.posexplode("pieces").alias("k", "piece"), "lengths")
-    before = F.aggregate(F.slice("lengths", F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + x)
-    dropped = F.startswith("piece", F.lit(DROP)).cast("int")
-    out = out.select(*keys, F.substr(F.col("piece"), dropped + 1).alias("piece"), (before + dropped).alias("start"), F.length(F.substr(F.col("piece"), dropped + 1)).alias("n"))
+    out = X.bound(pages, pieces=_pieces(F.col("text"))).drop("text")
+    out = out.select(*keys, F.explode(F.arrays_zip("pieces", X.prefix_sums(F.transform("pieces", lambda x: F.length(x))).alias("before"))).alias("x")).select(*keys, "x.pieces", "x.before")
+    dropped = F.startswith("pieces", F.lit(DROP)).cast("int")
+    out = X.bound(out.withColumn("start", F.col("before") + dropped), piece=F.substr(F.col("pieces"), dropped + 1)).select(*keys, "piece", "start", F.length("piece").alias("n")).filter("n > 0")
     long = F.col("n") > max_chars
     cuts = F.when(long, _long_split(max_chars)(F.when(long, F.col("piece")))).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))))
-    out = out.filter("n > 0").select(*keys, "piece", "start", F.explode(cuts).alias("cut"))
+    out = out.select(*keys, "piece", "start", F.explode(cuts).alias("cut"))
     return out.select(*keys, F.substr(F.col("piece"), F.col("cut.start") + 1, F.col("cut.end") - F.col("cut.start")).alias("piece"), (F.col("start") + F.col("cut.start")).alias("start"), (F.col("start") + F.col("cut.end")).alias("end"))
 
 
@@ -109,9 +107,11 @@ def looks_like_heading(line: Column, kind: Column) -> Column:
 def headings(pages: DataFrame) -> DataFrame:
     """The pages' keys with start, end, title, kind of each heading line."""
     keys = [c for c in pages.columns if c != "text"]
-    lines = pages.withColumn("lines", F.split("text", "\n", -1)).select(*keys, F.posexplode("lines").alias("k", "line"), F.transform("lines", lambda x: F.length(x) + 1).alias("lengths"))
-    start = F.aggregate(F.slice("lengths", F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + x)
-    lines = lines.select(*keys, start.alias("start"), (start + F.length("line")).alias("end"), X.trim(F.col("line")).alias("title"))
+    lines = X.bound(pages, lines=F.split("text", "\n", -1)).drop("text")
+    starts = X.prefix_sums(F.transform("lines", lambda x: F.length(x) + 1))
+    lines = lines.select(*keys, F.explode(F.arrays_zip("lines", starts.alias("start"))).alias("x")).select(*keys, "x.lines", "x.start")
+    lines = lines.select(*keys, "start", (F.col("start") + F.length("lines")).alias("end"), F.col("lines").alias("line"))
+    lines = X.bound(lines, title=X.trim(F.col("line"))).drop("line")
     # Most lines are ruled out before their kind is looked up.
     lines = lines.filter(F.length("title").between(1, 90) & ~F.col("title").rlike(f"[{P.ASCII_END}{P.CJK_END}]$") & F.col("title").rlike(P.java(P.HEADING_LINE, False)))
     return lines.withColumn("kind", section_kind(F.col("title"))).filter(looks_like_heading(F.col("title"), F.col("kind")))

@@ -1,8 +1,8 @@
 """Greedy selection: shortlist, final choice, span repair and validation.
 
 The folds depend on every earlier decision, so each document's ordered rows are one array, and a
-vectorised function over these arrays says which are taken. Arrays hold page numbers and keys only and
-are bounded by the sentences of one document.
+vectorised function over these arrays says which are taken. Arrays hold scores, places and hashes of keys,
+not texts, and are bounded by the sentences of one document; the rows taken are joined back by their places.
 """
 
 from __future__ import annotations
@@ -54,6 +54,12 @@ def _grouped(rows: DataFrame, order: list[Column], fields: list[str]) -> DataFra
 FIELDS = ["id", "page_index", "start", "end", "text", "normal", "section_title", "section_kind", "reason", "heuristic_score"]
 
 
+def _key_hash(normal: Column) -> Column:
+    """128 bits of a text's dedup key; null if the key is empty."""
+    key = X.dedup_key(normal)
+    return F.when(key != "", F.unhex(F.md5(key)))
+
+
 def shortlist(cands: DataFrame, density: str = "balanced") -> DataFrame:
     """The candidates taken, with rank from 1."""
     d = config.density(density)
@@ -62,10 +68,13 @@ def shortlist(cands: DataFrame, density: str = "balanced") -> DataFrame:
     def places(pages: pd.Series, keys: pd.Series) -> pd.Series:
         return pd.Series([shortlist_places(list(p), list(k), d.shortlist_size, d.shortlist_per_page) for p, k in zip(pages, keys, strict=True)])
 
-    rows = cands.filter("section_kind <> 'references'").withColumn("key", X.dedup_key(F.col("normal")))
-    grouped = _grouped(rows, [-F.col("heuristic_score"), F.col("page_index"), F.col("start")], [*FIELDS, "key"])
+    place = ["doc_id", "page_index", "start"]
+    rows = cands.filter("section_kind <> 'references'")
+    narrow = rows.select(*place, "heuristic_score", _key_hash(F.col("normal")).alias("key"))
+    grouped = _grouped(narrow, [-F.col("heuristic_score"), F.col("page_index"), F.col("start")], ["page_index", "start", "key"])
     taken = grouped.select("doc_id", "rows", F.posexplode(places(F.col("rows.page_index"), F.col("rows.key"))).alias("k", "place"))
-    return taken.select("doc_id", (F.col("k") + 1).alias("rank"), F.col("rows")[F.col("place")].alias("x")).select("doc_id", "rank", *[F.col(f"x.{f}").alias(f) for f in FIELDS])
+    taken = taken.select("doc_id", (F.col("k") + 1).alias("rank"), F.col("rows")[F.col("place")].alias("x")).select("doc_id", "rank", "x.page_index", "x.start")
+    return rows.join(taken, place).select("doc_id", "rank", *FIELDS)
 
 
 def least_score(min_confidence: float) -> int:
@@ -85,11 +94,12 @@ def finalise(short: DataFrame, selected: DataFrame, pages: DataFrame, density: s
 
     first = selected.groupBy("doc_id", "id").agg(F.min(F.struct("rank", F.col("reason").alias("why"))).alias("s")).select("doc_id", "id", F.col("s.rank").alias("order"), "s.why")
     rows = short.drop("rank").join(first, ["doc_id", "id"]).filter("section_kind <> 'references'").filter(F.col("heuristic_score") >= least_score(min_confidence) if min_confidence > 0 else F.lit(True))
-    rows = rows.join(pages, "doc_id").withColumn("budget", d.budget_column(F.col("pages"))).withColumn("key", X.dedup_key(F.col("normal"))).withColumn("cap", S.section_cap(F.col("section_kind"), F.col("budget")))
-    rows = rows.withColumn("reason", F.coalesce("why", "reason"))
-    grouped = _grouped(rows, [F.col("order")], [*FIELDS, "key", "cap", "budget"])
+    rows = rows.join(pages, "doc_id").withColumn("budget", d.budget_column(F.col("pages"))).withColumn("reason", F.coalesce("why", "reason"))
+    narrow = rows.select("doc_id", "order", "page_index", "start", "section_kind", "budget", _key_hash(F.col("normal")).alias("key")).withColumn("cap", S.section_cap(F.col("section_kind"), F.col("budget")))
+    grouped = _grouped(narrow, [F.col("order")], ["page_index", "start", "section_kind", "key", "cap", "budget"])
     taken = grouped.select("doc_id", "rows", F.explode(places(F.col("rows.page_index"), F.col("rows.section_kind"), F.col("rows.key"), F.col("rows.cap"), F.col("rows")[0]["budget"])).alias("place"))
-    return taken.select("doc_id", F.col("rows")[F.col("place")].alias("x")).select("doc_id", *[F.col(f"x.{f}").alias(f) for f in FIELDS])
+    taken = taken.select("doc_id", F.col("rows")[F.col("place")].alias("x")).select("doc_id", "x.page_index", "x.start")
+    return rows.join(taken, ["doc_id", "page_index", "start"]).select("doc_id", *FIELDS)
 
 
 def repaired(span_text: Column, start: Column, end: Column, source: Column) -> Column:

@@ -33,8 +33,8 @@ def selection_candidates(selections: DataFrame, density: str = "balanced") -> Da
     """selection_id, id, text, normal, start, end, section_kind, reason, heuristic_score of the selections' readable sentences."""
     d = config.density(density)
     rows = selections.filter(X.trim(F.col("selection_text")) != "").select("selection_id", F.col("selection_text").alias("text"), segment.section_kind(F.when(F.col("section_title") != "", F.col("section_title"))).alias("section_kind"))
-    rows = candidates.trimmed(segment.ranges(rows, d.quick_max_chars)).filter(X.readable(F.col("text"), F.col("normal"), d.quick_min_chars, d.quick_max_chars, d.quick_max_words))
-    rows = rows.withColumn("heuristic_score", S.heuristic(F.col("text"), F.col("normal"), F.col("section_kind"))).filter(F.col("heuristic_score") >= config.LEAST_HEURISTIC)
+    rows = X.readable_rows(X.trimmed_rows(segment.ranges(rows, d.quick_max_chars)), d.quick_min_chars, d.quick_max_chars, d.quick_max_words)
+    rows = S.with_phrases(rows).withColumn("heuristic_score", S.heuristic_of(F.col("section_kind"))).filter(F.col("heuristic_score") >= config.LEAST_HEURISTIC)
     return rows.withColumn("reason", S.reason(F.col("text"), F.col("section_kind"))).withColumn("id", F.col("start"))
 
 

@@ -97,8 +97,8 @@ def readable_candidates(spark, sf_dir):
 @query(f'WITH RECURSIVE {oracle.PAGES}, {oracle.ranges(D.max_chars)}, {oracle.trimmed()}, s AS (SELECT *, unnest({list(config.SECTIONS)}) AS kind FROM trimmed) SELECT doc_id, page_index, start, kind, {oracle.score("text", "kind", "methods-first")} AS score FROM s')
 def heuristic_scores(spark, sf_dir):
     """Scores of every sentence in every kind of section, methods first."""
-    rows = C.trimmed(segment.ranges(_pages(spark, sf_dir), D.max_chars)).withColumn("kind", F.explode(F.array(*map(F.lit, config.SECTIONS))))
-    return rows.select("doc_id", "page_index", "start", "kind", S.heuristic(F.col("text"), F.col("normal"), F.col("kind"), "methods-first").alias("score"))
+    rows = S.with_phrases(C.trimmed(segment.ranges(_pages(spark, sf_dir), D.max_chars))).select("doc_id", "page_index", "start", "phrases", "reference", F.explode(F.array(*map(F.lit, config.SECTIONS))).alias("kind"))
+    return rows.select("doc_id", "page_index", "start", "kind", S.heuristic_of(F.col("kind"), "methods-first").alias("score"))
 
 
 PHRASES = (

@@ -11,15 +11,25 @@ from glosswork.functions import text as X
 LINES = 20
 
 
+SMALL_SPLIT = 64 << 20  # bytes
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs dealt to all cores, if the input is too small to give each a split of its own: text costs far more to analyse than to move. A large input stays as its files are split."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(4 * cores) if size < cores * SMALL_SPLIT else docs
 
 
 def pages_of_documents(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """doc_id, page_index, text: pages of so many lines. Arrays are cut in place, so nothing is shuffled."""
-    split = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
-    page = F.explode(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / lines).cast("int")))
-    return split.select("doc_id", "lines", page.alias("page_index")).select("doc_id", "page_index", F.array_join(F.slice("lines", F.col("page_index") * lines + 1, F.lit(lines)), "\n").alias("text"))
+    split = X.bound(docs.select("doc_id", "text"), lines=F.split(F.coalesce("text", F.lit("")), "\n", -1)).drop("text")
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / lines).cast("int")), lambda k: F.array_join(F.slice("lines", k * lines + 1, F.lit(lines)), "\n"))
+    return split.select("doc_id", F.posexplode(pages).alias("page_index", "text"))
 
 
 def page_counts(pages: DataFrame) -> DataFrame:
