@@ -139,20 +139,23 @@ trimmed AS (
 )"""
 
 
-CANDIDATES = f"""
+def candidates(d: config.Density = D, focus: str = "balanced") -> str:
+    return f"""
 readable AS (
-  SELECT * FROM trimmed WHERE {readable('text', D.min_chars, D.max_chars, D.max_words)}
+  SELECT * FROM trimmed WHERE {readable('text', d.min_chars, d.max_chars, d.max_words)}
 ), sectioned AS (
   SELECT r.*, h.title AS section_title, coalesce(h.kind, 'other') AS section_kind
   FROM readable r LEFT JOIN heads h ON h.doc_id = r.doc_id AND h.page_index = r.page_index AND h.start <= r.start
   QUALIFY row_number() OVER (PARTITION BY r.doc_id, r.page_index, r.start ORDER BY h.start DESC NULLS LAST) = 1
 ), scored AS (
-  SELECT *, {score('text', 'section_kind')} AS heuristic_score FROM sectioned WHERE section_kind <> 'references'
+  SELECT *, {score('text', 'section_kind', focus)} AS heuristic_score FROM sectioned WHERE section_kind <> 'references'
 ), candidates AS (
   SELECT *, 'P' || (page_index + 1) || '-C' || row_number() OVER (PARTITION BY doc_id, page_index ORDER BY start) AS id, {reason('text', 'section_kind')} AS reason FROM scored WHERE heuristic_score >= 2
 )"""
 
-SHORTLIST = f"""
+
+def shortlist(d: config.Density = D) -> str:
+    return f"""
 keyed AS (
   SELECT *, {dedup('text')} AS key, row_number() OVER (PARTITION BY doc_id ORDER BY heuristic_score DESC, page_index, start) AS place FROM candidates
 ), walk AS (
@@ -160,11 +163,15 @@ keyed AS (
   UNION ALL
   SELECT k.doc_id, k.place, CASE WHEN t.ok THEN list_append(w.seen, k.key) ELSE w.seen END, CASE WHEN t.ok THEN list_append(w.used, k.page_index) ELSE w.used END, t.ok
   FROM walk w JOIN keyed k ON k.doc_id = w.doc_id AND k.place = w.place + 1,
-  LATERAL (SELECT len(w.seen) < {D.shortlist_size} AND k.key <> '' AND NOT list_contains(w.seen, k.key) AND len(list_filter(w.used, lambda p: p = k.page_index)) < {D.shortlist_per_page} AS ok) t
+  LATERAL (SELECT len(w.seen) < {d.shortlist_size} AND k.key <> '' AND NOT list_contains(w.seen, k.key) AND len(list_filter(w.used, lambda p: p = k.page_index)) < {d.shortlist_per_page} AS ok) t
 ), shortlist AS (
   SELECT k.*, row_number() OVER (PARTITION BY k.doc_id ORDER BY k.place) AS rank FROM keyed k JOIN walk w ON w.doc_id = k.doc_id AND w.place = k.place AND w.taken
 )"""
 
+
+CANDIDATES, SHORTLIST = candidates(), shortlist()
+
+
 def lexical(method: str, items: str, query: str, key: str = "doc_id", item: str = "id") -> str:
     """scores(key, item, lexical_score) of items (key, item, text) and query (key, term, qtf)."""
     if method == "bm25":
@@ -198,25 +205,43 @@ toks AS (
 )"""
 
 
-#: A document's query in the registered lexical queries: the most frequent terms of all its candidates, ties by code point.
-DOC_QUERY = f"""
+NO_PAPERS = "SELECT doc_id, NULL::VARCHAR AS title, NULL::VARCHAR[] AS keywords FROM pages WHERE false"
+
+
+def doc_query(papers: str = NO_PAPERS) -> str:
+    """queries(doc_id, query), each document's pseudo-query, and query(doc_id, term, qtf), its terms."""
+    return f"""
 cand_terms AS (
   SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({tokens('text')}) AS term FROM candidates) GROUP BY ALL
 ), top AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(term) DESC, term) AS rank FROM cand_terms
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(term) DESC, term COLLATE de, term) AS rank FROM cand_terms
+), top_lists AS (
+  SELECT doc_id, string_agg(term, ' ' ORDER BY rank) AS terms FROM top WHERE rank <= 24 GROUP BY 1
+), papers AS (
+  {papers}
+), title_lists AS (
+  SELECT doc_id, string_agg(title, ' ' ORDER BY k) AS titles FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, start) AS k FROM heads WHERE kind <> 'references') WHERE k <= 12 GROUP BY 1
+), lead_lists AS (
+  SELECT doc_id, string_agg(text, ' ' ORDER BY k) AS leads FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY heuristic_score DESC, page_index, start) AS k FROM candidates WHERE section_kind IN ('abstract', 'introduction')) WHERE k <= 6 GROUP BY 1
+), queries AS (
+  SELECT d.doc_id, array_to_string(list_filter([coalesce(array_to_string(keywords[1:10], ' '), ''), {trim("coalesce(title, '')")}, coalesce(titles, ''), coalesce(leads, ''), coalesce(terms, '')], lambda x: x <> ''), ' ') AS query
+  FROM (SELECT DISTINCT doc_id FROM candidates) d LEFT JOIN papers USING (doc_id) LEFT JOIN title_lists USING (doc_id) LEFT JOIN lead_lists USING (doc_id) LEFT JOIN top_lists USING (doc_id)
 ), query AS (
-  SELECT doc_id, term, 1 AS qtf FROM top WHERE rank <= 24
+  SELECT doc_id, term, count(*) AS qtf FROM (SELECT doc_id, unnest({tokens('query')}) AS term FROM queries) GROUP BY ALL
 )"""
 
+
+DOC_QUERY = doc_query()
+
 CHAIN = f"WITH RECURSIVE {PAGES}, {heads()}, {ranges(D.max_chars)}, {trimmed()}, {CANDIDATES}"
 SHORT = f"{CHAIN}, {SHORTLIST}"
 
 
-def ranked(method: str, neural: bool = False) -> str:
+def ranked(method: str, neural: bool = False, short: str = "", query: str = "") -> str:
     final = "h * 0.30::DOUBLE + lexical_score * 0.10::DOUBLE + neural_score * 0.60::DOUBLE + bonus" if neural else "h * 0.68::DOUBLE + lexical_score * 0.32::DOUBLE + bonus"
     extra = f", {NEURAL}" if neural else ""
     join = "JOIN neural USING (doc_id, id)" if neural else ""
-    return f"""{SHORT}, {DOC_QUERY}, {lexical(method, 'shortlist', 'query')}{extra}, blended AS (
+    return f"""{short or SHORT}, {query or DOC_QUERY}, {lexical(method, 'shortlist', 'query')}{extra}, blended AS (
   SELECT s.*, lexical_score, {bonus('s.reason', 's.section_kind')} AS bonus, {'neural_score, ' if neural else ''}
     CASE WHEN max(heuristic_score) OVER (PARTITION BY s.doc_id) > 0 THEN greatest(0, least(1, heuristic_score / max(heuristic_score) OVER (PARTITION BY s.doc_id))) ELSE 0 END AS h
   FROM shortlist s JOIN scores USING (doc_id, id) {join}
@@ -236,11 +261,12 @@ logits AS (
     ELSE (p - min(p) OVER (PARTITION BY doc_id)) / (max(p) OVER (PARTITION BY doc_id) - min(p) OVER (PARTITION BY doc_id)) END AS neural_score FROM logits
 )"""
 
-FINAL = f"""
+def final(d: config.Density = D, least: int = 0) -> str:
+    return f"""
 counts AS (
   SELECT doc_id, CAST(count(*) AS INTEGER) AS pages FROM pages WHERE {trim('text')} <> '' GROUP BY 1
 ), rows AS (
-  SELECT o.*, least(100, greatest(20, 6 * greatest(1, c.pages))) AS budget FROM ordered o JOIN counts c USING (doc_id) WHERE section_kind <> 'references'
+  SELECT o.*, least({d.most_budget}, greatest({d.least_budget}, {d.budget_per_page} * greatest(1, c.pages))) AS budget FROM ordered o JOIN counts c USING (doc_id) WHERE section_kind <> 'references' AND heuristic_score >= {least}
 ), capped AS (
   SELECT *, {cap('section_kind', 'budget')} AS cap, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS go FROM rows
 ), fold AS (
@@ -248,8 +274,48 @@ counts AS (
   UNION ALL
   SELECT c.doc_id, c.go, CASE WHEN t.ok THEN list_append(f.seen, c.key) ELSE f.seen END, CASE WHEN t.ok THEN list_append(f.used, c.page_index) ELSE f.used END, CASE WHEN t.ok THEN list_append(f.kinds, c.section_kind) ELSE f.kinds END, t.ok
   FROM fold f JOIN capped c ON c.doc_id = f.doc_id AND c.go = f.go + 1,
-  LATERAL (SELECT len(f.seen) < c.budget AND c.key <> '' AND NOT list_contains(f.seen, c.key) AND len(list_filter(f.used, lambda p: p = c.page_index)) < {D.max_per_page}
+  LATERAL (SELECT len(f.seen) < c.budget AND c.key <> '' AND NOT list_contains(f.seen, c.key) AND len(list_filter(f.used, lambda p: p = c.page_index)) < {d.max_per_page}
     AND len(list_filter(f.kinds, lambda s: s = c.section_kind)) < c.cap AS ok) t
 ), final AS (
   SELECT c.* FROM capped c JOIN fold f ON f.doc_id = c.doc_id AND f.go = c.go AND f.taken
 )"""
+
+
+FINAL = final()
+
+#: Pages with a heading and a telling sentence before the text of a document's page: all kinds of sections and phrases, on every document.
+HEADINGS = ("Abstract", "1 Introduction", "Related Work", "2 Methods", "3 Results", "Discussion", "Conclusion", "References", "Further Remarks")
+TELLING = (
+    "We propose a novel pipeline and show that accuracy improves by 5 % on this benchmark.", "However, the limitation remains unclear and these failures persist over time.",
+    "Prior work left a gap in evaluation that motivates the present problem.", "The architecture yields significant gains in recall, precision and training time.",
+    "Figure 3 shows what they, it and these such things mean to the former and the latter.", "As shown in [3] the method outperforms (Foo et al. 2020) by far.",
+    "Our work presents evidence, findings and results on a dataset of 12 k items.", "Despite the risk, a trade-off bounds the scope of the protocol.",
+)
+PAPER_PAGES = PAGES.replace("pages AS (", "plain AS (") + f""", pages AS (
+  SELECT doc_id, page_index, {listed(HEADINGS)}[(doc_id * 3 + page_index) % {len(HEADINGS)} + 1] || chr(10) || {listed(TELLING)}[(doc_id * 7 + page_index) % {len(TELLING)} + 1] || chr(10) || text AS text FROM plain
+)"""
+PAPERS = "SELECT doc_id, '  Notes on ' || (doc_id % 7) || ' things ' AS title, [coalesce(lang, ''), 'deep nets', 'x' || (doc_id % 5)] AS keywords FROM documents"
+DENSE = config.density("dense")
+PAPER_SHORT = f"WITH RECURSIVE {PAPER_PAGES}, {heads()}, {ranges(DENSE.max_chars)}, {trimmed()}, {candidates(DENSE, 'caveats-first')}, {shortlist(DENSE)}"
+
+#: Selections in the manner of documents: benchmark passages, their own sentences and queries.
+_KEYED = "item_id"
+QUICK = f"""WITH RECURSIVE sel AS (SELECT item_id, text FROM benchmark), {ranges(D.quick_max_chars, 'sel', _KEYED)}, {trimmed(_KEYED)}, cands AS (
+  SELECT *, start AS id, {score('text', q('other'))} AS h0, {reason('text', q('other'))} AS reason FROM trimmed WHERE {readable('text', D.quick_min_chars, D.quick_max_chars, D.quick_max_words)}
+), good AS (
+  SELECT * FROM cands WHERE h0 >= 2
+), own AS (
+  SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest({tokens('text')}) AS term FROM sel) GROUP BY ALL
+), tops AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, length(term) DESC, term COLLATE de, term) AS place FROM own
+), query AS (
+  SELECT item_id, term, 1 AS qtf FROM tops WHERE place <= 10
+), {lexical('bm25', 'good', 'query', _KEYED)}, blended AS (
+  SELECT g.*, greatest(0, least(1, h0 / max(h0) OVER (PARTITION BY item_id))) * 0.72::DOUBLE + lexical_score * 0.28::DOUBLE AS final FROM good g JOIN scores USING (item_id, id)
+), ordered AS (
+  SELECT *, greatest(0, least(1, final)) AS confidence, {dedup('text')} AS key, row_number() OVER (PARTITION BY item_id ORDER BY round(final, 12) DESC, h0 DESC, start) AS rank FROM blended WHERE final >= 0.22
+), firsts AS (
+  SELECT * FROM ordered WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY item_id, key ORDER BY rank) = 1
+), places AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS place FROM firsts
+)"""

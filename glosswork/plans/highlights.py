@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork import config
 from glosswork.functions import scoring as S
 from glosswork.functions import text as X
 from glosswork.operators import candidates, lexical, rank, segment, select
+from glosswork.session import kept
 from glosswork.sources.pages import page_counts
 
 
 def prepare(pages: DataFrame, density: str = "balanced", focus: str = "balanced", papers: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Candidates, shortlist, pseudo-queries and page counts of documents given as pages (doc_id, page_index, text)."""
     pages = pages.filter(X.trim(F.col("text")) != "")
-    # Both are read several times below; what does not fit memory goes to disk, what is lost is computed again.
-    cands = candidates.candidates(pages, density, focus).persist()
-    return cands, select.shortlist(cands, density).persist(), lexical.document_queries(cands, segment.headings(pages), papers), page_counts(pages)
+    cands = kept(candidates.candidates(pages, density, focus))
+    return cands, kept(select.shortlist(cands, density)), lexical.document_queries(cands, segment.headings(pages), papers), page_counts(pages)
 
 
 def highlight_documents(pages: DataFrame, density: str = "balanced", focus: str = "balanced", method: str = "bm25", min_confidence: float = 0.0, papers: DataFrame | None = None, neural: DataFrame | None = None, scorer: rank.Scorer | None = None) -> DataFrame:
@@ -29,6 +29,11 @@ def highlight_documents(pages: DataFrame, density: str = "balanced", focus: str
     return select.finalise(short, ranked.select("doc_id", "id", "rank", "reason"), counts, density, min_confidence)
 
 
+def reading_order(highlights: DataFrame) -> DataFrame:
+    """highlights with place, from 1, in the order of pages and offsets of each document."""
+    return highlights.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_index", "start")))
+
+
 def selection_candidates(selections: DataFrame, density: str = "balanced") -> DataFrame:
     """selection_id, id, text, normal, start, end, section_kind, reason, heuristic_score of the selections' readable sentences."""
     d = config.density(density)

@@ -17,6 +17,7 @@ from glosswork.functions import text as X
 from glosswork.operators import align, annotations, geometry, lexical, neural, prefs, rank, responses, segment, select
 from glosswork.operators import candidates as C
 from glosswork.plans import highlights as H
+from glosswork.session import kept
 from glosswork.sources import pages as G
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,11 +43,19 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.candidates(_pages(spark, sf_dir))
 
 
-def _query_terms(cands: DataFrame) -> DataFrame:
-    """doc_id, term, qtf: the 24 most frequent terms of a document's candidates, ties by code point."""
-    counts = lexical.with_tokens(cands).select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("n"), F.desc(F.length("term")), "term")
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 24).select("doc_id", "term", F.lit(1).alias("qtf"))
+def _paper_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of documents with a heading and a telling sentence in front, so that all kinds of sections and phrases occur."""
+    pick = lambda values, step: F.element_at(F.array(*map(F.lit, values)), ((F.col("doc_id") * step + F.col("page_index")) % len(values) + 1).cast("int"))
+    return _pages(spark, sf_dir).select("doc_id", "page_index", F.concat_ws("\n", pick(oracle.HEADINGS, 3), pick(oracle.TELLING, 7), "text").alias("text"))
+
+
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("paper_rows")
+    return spark.sql("SELECT doc_id, concat('  Notes on ', doc_id % 7, ' things ') AS title, array(coalesce(lang, ''), 'deep nets', concat('x', doc_id % 5)) AS keywords FROM paper_rows")
+
+
+def _queries(cands: DataFrame, pages: DataFrame) -> DataFrame:
+    return lexical.document_queries(cands, segment.headings(pages))
 
 
 def _inline(spark: SparkSession, rows: str, columns: str) -> DataFrame:
@@ -140,9 +149,10 @@ def doc_freq(spark, sf_dir):
 
 @query(f"{oracle.CHAIN}, {oracle.DOC_QUERY} SELECT doc_id, term, CAST(rank AS INTEGER) AS rank, n FROM top WHERE rank <= 24")
 def top_terms(spark, sf_dir):
-    counts = lexical.with_tokens(_candidates(spark, sf_dir)).select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("n"), F.desc(F.length("term")), "term")
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 24).select("doc_id", "term", "rank", "n")
+    """The 24 most frequent terms of each document's candidates, in their order."""
+    cands = lexical.with_tokens(_candidates(spark, sf_dir))
+    ranked = lexical.top_terms(cands, 24).select("doc_id", F.posexplode("terms").alias("k", "term")).select("doc_id", "term", (F.col("k") + 1).alias("rank"))
+    return ranked.join(lexical.term_counts(cands, ["doc_id"]).withColumnRenamed("tf", "n"), ["doc_id", "term"])
 
 
 @query(f'{oracle.SHORT} SELECT doc_id, CAST(rank AS INTEGER) AS rank, id, page_index, start, "end", text, section_kind, reason, heuristic_score FROM shortlist')
@@ -152,8 +162,9 @@ def shortlist_greedy(spark, sf_dir):
 
 def _lexical(method):
     def run(spark, sf_dir):
-        cands = _candidates(spark, sf_dir).persist()
-        rows = lexical.lexical_scores(lexical.with_tokens(select.shortlist(cands)), _query_terms(cands), method)
+        pages = _pages(spark, sf_dir)
+        cands = kept(C.candidates(pages))
+        rows = lexical.lexical_scores(lexical.with_tokens(select.shortlist(cands)), lexical.query_terms(_queries(cands, pages)), method)
         return rows.select("doc_id", "id", F.round("lexical_score", 9).alias("lexical_score"))
 
     run.__name__ = f"{method}_scores"
@@ -164,9 +175,8 @@ _lexical("bm25")
 _lexical("tfidf")
 
 
-def _ranked(cands: DataFrame, short: DataFrame, method: str = "bm25", scores: DataFrame | None = None) -> DataFrame:
-    rows = lexical.lexical_scores(lexical.with_tokens(short), _query_terms(cands), method).drop("tokens")
-    return rank.blend_documents(rows, scores)
+def _ranked(cands: DataFrame, short: DataFrame, pages: DataFrame, method: str = "bm25", scores: DataFrame | None = None) -> DataFrame:
+    return rank.rank_documents(short, _queries(cands, pages), method, scores)
 
 
 def _logits(short: DataFrame) -> DataFrame:
@@ -176,8 +186,9 @@ def _logits(short: DataFrame) -> DataFrame:
 
 @query(f"{oracle.ranked('bm25')} SELECT doc_id, id, CAST(rank AS INTEGER) AS rank, round(final_score, 6) AS final_score, reason FROM ordered")
 def blend_rank_global(spark, sf_dir):
-    cands = _candidates(spark, sf_dir).persist()
-    return _ranked(cands, select.shortlist(cands)).select("doc_id", "id", "rank", F.round("final_score", 6).alias("final_score"), "reason")
+    pages = _pages(spark, sf_dir)
+    cands = kept(C.candidates(pages))
+    return _ranked(cands, select.shortlist(cands), pages).select("doc_id", "id", "rank", F.round("final_score", 6).alias("final_score"), "reason")
 
 
 @query(f"{oracle.SHORT}, {oracle.NEURAL} SELECT doc_id, id, round(neural_score, 9) AS neural_score FROM neural")
@@ -187,33 +198,55 @@ def neural_norm(spark, sf_dir):
 
 @query(f"{oracle.ranked('tfidf', True)} SELECT doc_id, id, round(final_score, 6) AS final_score FROM ordered")
 def blend_rank_neural(spark, sf_dir):
-    cands = _candidates(spark, sf_dir).persist()
-    short = select.shortlist(cands).persist()
-    return _ranked(cands, short, "tfidf", _logits(short)).select("doc_id", "id", F.round("final_score", 6).alias("final_score"))
+    pages = _pages(spark, sf_dir)
+    cands = kept(C.candidates(pages))
+    short = kept(select.shortlist(cands))
+    return _ranked(cands, short, pages, "tfidf", _logits(short)).select("doc_id", "id", F.round("final_score", 6).alias("final_score"))
 
 
 @query(f'{oracle.ranked("bm25")}, {oracle.FINAL} SELECT doc_id, id, page_index, start, "end", text, section_kind, reason, heuristic_score FROM final')
 def finalize_greedy(spark, sf_dir):
     """Shortlist, ranking and the capped greedy choice."""
     pages = _pages(spark, sf_dir)
-    cands = C.candidates(pages).persist()
-    short = select.shortlist(cands).persist()
-    chosen = _ranked(cands, short).select("doc_id", "id", "rank", "reason")
+    cands = kept(C.candidates(pages))
+    short = kept(select.shortlist(cands))
+    chosen = _ranked(cands, short, pages).select("doc_id", "id", "rank", "reason")
     return select.finalise(short, chosen, G.page_counts(pages)).drop("normal", "section_title")
 
 
-@query()
+@query(f'{oracle.ranked("bm25")}, {oracle.FINAL} SELECT doc_id, id, page_index, start, "end", text, section_title, section_kind, reason, heuristic_score FROM final')
 def highlights_full(spark, sf_dir):
-    """The whole plan with its pseudo-queries; see the tests for a plain model of it."""
+    """The whole plan with its pseudo-queries."""
     return H.highlight_documents(_pages(spark, sf_dir)).drop("normal")
 
 
-@query()
+@query(f'{oracle.PAPER_SHORT} SELECT doc_id, page_index, id, start, "end", text, section_title, section_kind, reason, heuristic_score FROM candidates')
+def paper_candidates(spark, sf_dir):
+    """Candidates in sections of every kind, dense, caveats first; those of the references are left out."""
+    return C.candidates(_paper_pages(spark, sf_dir), "dense", "caveats-first").drop("normal")
+
+
+@query(f"{oracle.PAPER_SHORT}, {oracle.doc_query(oracle.PAPERS)} SELECT doc_id, query FROM queries")
+def document_queries(spark, sf_dir):
+    """Pseudo-queries of keywords, title, first headings, leads and top terms."""
+    pages = _paper_pages(spark, sf_dir)
+    return lexical.document_queries(C.candidates(pages, "dense", "caveats-first"), segment.headings(pages), _papers(spark, sf_dir))
+
+
+@query(f'{oracle.ranked("tfidf", short=oracle.PAPER_SHORT, query=oracle.doc_query(oracle.PAPERS))}, {oracle.final(oracle.DENSE, select.least_score(0.5))} SELECT doc_id, id, page_index, start, section_kind, reason, heuristic_score, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, start) AS place FROM final')
+def paper_highlights(spark, sf_dir):
+    """The whole plan on papers with titles and keywords: dense, caveats first, TF-IDF, the default confidence; in reading order."""
+    rows = H.highlight_documents(_paper_pages(spark, sf_dir), "dense", "caveats-first", "tfidf", 0.5, _papers(spark, sf_dir))
+    return H.reading_order(rows).select("doc_id", "id", "page_index", "start", "section_kind", "reason", "heuristic_score", "place")
+
+
+@query(f'{oracle.QUICK} SELECT item_id AS selection_id, place, text, start, "end", reason, round(confidence, 9) AS confidence FROM places WHERE place <= {D.quick_max_highlights}')
 def selection_highlights(spark, sf_dir):
     """Benchmark passages as selections."""
     rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     none = F.lit(None).cast("string")
-    return H.highlight_selections(rows.select(F.col("item_id").alias("selection_id"), F.col("text").alias("selection_text"), none.alias("paper_title"), none.alias("section_title"), none.alias("before_context"), none.alias("after_context"), F.lit(None).cast("array<string>").alias("author_keywords")))
+    found = H.highlight_selections(rows.select(F.col("item_id").alias("selection_id"), F.col("text").alias("selection_text"), none.alias("paper_title"), none.alias("section_title"), none.alias("before_context"), none.alias("after_context"), F.lit(None).cast("array<string>").alias("author_keywords")))
+    return found.withColumn("confidence", F.round("confidence", 9))
 
 
 SPANS = """
@@ -416,7 +449,7 @@ def pair_encoding(spark, sf_dir):
 def annotation_rows(spark, sf_dir):
     """Annotations of final highlights with rects from glyphs of 6 by 10 on lines of 80."""
     pages = _pages(spark, sf_dir)
-    rows = H.highlight_documents(pages).persist()
+    rows = kept(H.highlight_documents(pages))
     positions = pages.select("doc_id", "page_index", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("at", "c"))
     x, y = (F.col("at") % 80) * 6.0, 700.0 - F.floor(F.col("at") / 80) * 14.0
     positions = positions.select("doc_id", "page_index", "at", F.array(x, y, x + 6.0, y + 10.0).alias("rect"))

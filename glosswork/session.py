@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +26,15 @@ def ship(spark: SparkSession) -> None:
                     out.write(path, os.path.relpath(path, os.path.dirname(root)))
     sc.addPyFile(target)
     _shipped.add(sc.applicationId)
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """Rows that a plan reads several times: written to the cluster's spark.checkpoint.dir, where they outlive executors, or cached where none is set."""
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        return rows.persist()
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return rows.checkpoint()
