@@ -143,3 +143,8 @@ def trimmed_range(text: Column, start: Column) -> tuple[Column, Column, Column]:
     body = F.regexp_replace(front, f"[{P.SPACES}\"')\\]}}]+$", "")
     begin = start + F.length(text) - F.length(front)
     return body, begin.cast("int"), (begin + F.length(body)).cast("int")
+
+
+def sha256(text: Column) -> Column:
+    """Lower-case hex digest of a text in UTF-8."""
+    return F.sha2(text.cast("binary"), 256)

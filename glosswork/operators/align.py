@@ -223,3 +223,59 @@ def page_label_index(label: Column) -> Column:
 def page_of(page_index: Column, label: Column, reader_page: Column) -> Column:
     valid = lambda c: F.when(c >= 0, c)
     return F.coalesce(valid(page_index), page_label_index(label), valid(reader_page))
+
+
+def nearest_char(mapping: Column, offset: Column, forward: bool) -> Column:
+    """The glyph of a text offset, or of the next offset in a direction that has one; null if none has."""
+    at = F.greatest(F.lit(0), F.least(offset, F.size(mapping) - 1))
+    known = lambda x: x.isNotNull()
+    if forward:
+        return F.get(F.filter(F.slice(mapping, at + 1, F.size(mapping)), known), 0)
+    return F.try_element_at(F.filter(F.slice(mapping, F.lit(1), at + 1), known), F.lit(-1))
+
+
+def text_window(mapping: Column, length: Column, window: Column) -> Column:
+    """STRUCT<start, end> of the text whose glyphs are within a window of glyphs, both ends of which count; null if there is none."""
+    inside = lambda x, i: F.when(x.isNotNull() & (x >= window["start"]) & (x <= window["end"]) & (i < length), i)
+    hits = F.filter(F.transform(mapping, inside), lambda i: i.isNotNull())
+    return F.when(window.isNotNull() & (F.size(hits) > 0), F.struct(F.array_min(hits).alias("start"), (F.array_max(hits) + 1).alias("end")))
+
+
+def normal_text(text: Column) -> Column:
+    """STRUCT<text, origin, diffs> of normalised()."""
+
+    @F.pandas_udf("struct<text:string,origin:array<int>,diffs:array<struct<offset:int,shift:int>>>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        every = [normalised(t or "") for t in texts]
+        return pd.DataFrame({"text": [n.text for n in every], "origin": [n.origin for n in every], "diffs": [[{"offset": a, "shift": b} for a, b in page_diffs(n)] for n in every]})
+
+    return run(text)
+
+
+def substring_starts(text: Column, part: Column, low: Column, high: Column, most: int = MOST_STARTS) -> Column:
+    """starts() for a window, best first."""
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series, parts: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([starts(t or "", p or "", (int(x), int(y)), most) for t, p, x, y in zip(texts, parts, a, b, strict=True)])
+
+    return run(text, part, low, high)
+
+
+def occurrences(pages: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of pages (doc_id, page_index, text) and of items (item_id, s) where s occurs in the text.
+
+    A passage of three and more words meets pages by its longest inner word, which stands in them as a whole: only page
+    and word go into that join, and texts are fetched for the pages found. Shorter passages may begin and end
+    within words; they are held against every page.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    own = items.withColumn("words", words(F.col("s")))
+    inner = F.array_sort(F.slice("words", F.lit(2), F.size("words") - 2), lambda a, b: F.length(b) - F.length(a))
+    keyed = own.filter(F.size("words") > 2).select("item_id", F.get(inner, F.lit(0)).alias("key"))
+    found = pages.select("doc_id", "page_index", F.explode(F.array_distinct(words(F.col("text")))).alias("key")).join(keyed, "key").select("doc_id", "page_index", "item_id")
+    long = pages.join(found, ["doc_id", "page_index"]).join(items, "item_id").filter(F.contains("text", F.col("s")))
+    short = own.filter(F.size("words") <= 2).select("item_id", "s")
+    near = pages.join(short, F.contains(pages["text"], F.col("s")))
+    columns = [*pages.columns, *[c for c in items.columns if c not in pages.columns]]
+    return long.select(*columns).unionByName(near.select(*columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions import scoring as S
@@ -34,6 +34,49 @@ def char_rects(highlights: DataFrame, positions: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page_index", "id", G.merge_rects(own).alias("rects"))
 
 
+def _json_number(x: Column) -> Column:
+    """As in JSON text: whole numbers without a fraction."""
+    return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("long").cast("string")).otherwise(x.cast("string"))
+
+
+def request_key(item: Column, page_index: Column, sort_index: Column, key: Column, text: Column, rects: Column) -> Column:
+    """What tells a request from another one in flight: its parts between double colons."""
+    listed = lambda r: F.concat(F.lit("["), F.array_join(F.transform(r, _json_number), ","), F.lit("]"))
+    boxes = F.when(rects.isNull(), "[]").otherwise(F.concat(F.lit("["), F.array_join(F.transform(rects, listed), ","), F.lit("]")))
+    return F.array_join(F.array(item.cast("string"), F.coalesce(page_index, F.lit(0)).cast("string"), F.coalesce(sort_index, F.lit("no-sort-index")), F.coalesce(key, F.lit("no-annotation-key")), text, boxes), "::")
+
+
+def run_counts(attempted: DataFrame, done: DataFrame, key: str = "doc_id", item: str = "id") -> DataFrame:
+    """key, succeeded, failed: how many of the attempted rows (key, item) are among those done."""
+    joined = attempted.select(key, item).join(done.select(key, item, F.lit(True).alias("__done")).distinct(), [key, item], "left")
+    return joined.groupBy(key).agg(F.count_if(F.col("__done").isNotNull()).alias("succeeded"), F.count_if(F.col("__done").isNull()).alias("failed"))
+
+
+def payloads(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """The other columns and the fields of JSON annotations: what has the wrong type gets its default, rects that are no four numbers and tags that are no strings go."""
+    v = F.try_parse_json(F.col(column))
+    kind = lambda x, path: F.coalesce(F.schema_of_variant(F.try_variant_get(x, path, "variant")), F.lit("VOID"))
+    text = lambda path: F.when(kind(v, path) == "STRING", F.try_variant_get(v, path, "string"))
+    full = lambda path: F.when(F.length(text(path)) > 0, text(path))
+    number = lambda x, path: F.when(kind(x, path).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT)"), F.try_variant_get(x, path, "double"))
+    items = lambda path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+    rects = F.transform(items("$.position.rects"), lambda r: G.normal_rect(F.array(*[number(r, f"$[{k}]") for k in range(4)])))
+    kept = [c for c in raw.columns if c != column]
+    return raw.select(
+        *kept,
+        F.coalesce(full("$.key"), F.concat(F.lit("highlight_"), F.substr(F.sha2(F.coalesce(F.col(column), F.lit("")), 256), F.lit(1), F.lit(16)))).alias("key"),
+        F.coalesce(full("$.type"), F.lit("highlight")).alias("type"),
+        F.coalesce(full("$.color"), F.lit(S.DEFAULT_COLOUR)).alias("color"),
+        F.coalesce(text("$.text"), F.lit("")).alias("text"),
+        F.coalesce(text("$.comment"), F.lit("")).alias("comment"),
+        F.transform(F.filter(items("$.tags"), lambda t: kind(t, "$") == "STRING"), lambda t: F.try_variant_get(t, "$", "string")).alias("tags"),
+        F.coalesce(number(v, "$.position.pageIndex"), F.lit(0.0)).cast("int").alias("page_index"),
+        F.transform(F.filter(rects, lambda r: r.isNotNull()), lambda r: F.transform(r, lambda x: F.round(x, 3))).alias("rects"),
+        full("$.pageLabel").alias("page_label"),
+        full("$.sortIndex").alias("sort_index"),
+    )
+
+
 def write(rows: DataFrame, path: str, mode: str = "append", kind: str = "parquet") -> None:
     """Annotations by document; a document's rows are sorted together, so readers prune by doc_id."""
     rows.repartition("doc_id").sortWithinPartitions("doc_id", "sort_index").write.mode(mode).format(kind).save(path)

@@ -269,15 +269,9 @@ def span_repair(spark, sf_dir):
 @query(f"""WITH {oracle.PAGES}, b AS (SELECT item_id, text AS s FROM benchmark)
 SELECT doc_id, page_index, item_id, CAST(instr(text, s) - 1 AS INTEGER) AS start, CAST(instr(text, s) - 1 + length(s) AS INTEGER) AS "end", substr(text, greatest(0, instr(text, s) - 181) + 1, instr(text, s) - 1 - greatest(0, instr(text, s) - 181)) AS before, substr(text, instr(text, s) + length(s), 180) AS after FROM pages, b WHERE contains(text, s)""")
 def exact_alignment(spark, sf_dir):
-    """Benchmark passages found in pages, with 180 characters of context on either side.
-
-    Passages meet pages by their first words, so no page is held against every passage.
-    """
-    words = lambda c: F.filter(F.split(c, r"[\s]+"), lambda w: w != "")
+    """Benchmark passages found in pages, with 180 characters of context on either side."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("s"))
-    keyed = items.withColumn("key", F.try_element_at(F.array_sort(F.slice(words(F.col("s")), 2, F.greatest(F.size(words(F.col("s"))) - 2, F.lit(1))), lambda a, b: F.length(b) - F.length(a)), F.lit(1)))
-    pages = _pages(spark, sf_dir).withColumn("key", F.explode(F.array_distinct(words(F.col("text")))))
-    rows = pages.join(keyed, "key").filter(F.contains("text", F.col("s"))).drop("key")
+    rows = align.occurrences(_pages(spark, sf_dir), items)
     start = F.position(F.col("s"), F.col("text")) - 1
     before, after = align.context(F.col("text"), start, start + F.length("s"))
     return rows.select("doc_id", "page_index", "item_id", start.cast("int").alias("start"), (start + F.length("s")).cast("int").alias("end"), before.alias("before"), after.alias("after"))
@@ -427,30 +421,12 @@ def pref_migration(spark, sf_dir):
     return prefs.migrate(_inline(spark, CANONICAL, "key, value"), _inline(spark, LEGACY, "key, value")).drop("reason")
 
 
-VERSIONS = "('1.0.0'), ('1.0.0-alpha.1'), ('1.0.0-alpha'), ('1.0.0-2'), ('1.0.0-10'), ('0.9.12'), ('1.0.0-beta.2+build'), ('bad')"
-
-
-@query()
-def version_order(spark, sf_dir):
-    rows = _inline(spark, VERSIONS, "version").withColumn("key", prefs.version_key(F.col("version"))).filter("key is not null")
-    return rows.select("version", F.dense_rank().over(Window.orderBy("key")).alias("place"))
-
-
-@query()
-def pair_encoding(spark, sf_dir):
-    """Benchmark passages encoded as pairs with a small vocabulary of letters."""
-    names = [neural.PAD, neural.UNKNOWN, neural.START, neural.SEPARATOR, *"abcdefghijklmnopqrstuvwxyz", *("##" + c for c in "abcdefghijklmnopqrstuvwxyz"), ".", ","]
-    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    pair = neural.encode_pairs(F.lit("the results"), F.col("text"), {t: i for i, t in enumerate(names)})
-    return rows.select("item_id", pair.alias("x")).select("item_id", "x.*")
-
-
 @query()
 def annotation_rows(spark, sf_dir):
     """Annotations of final highlights with rects from glyphs of 6 by 10 on lines of 80."""
     pages = _pages(spark, sf_dir)
     rows = kept(H.highlight_documents(pages))
-    positions = pages.select("doc_id", "page_index", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("at", "c"))
+    positions = pages.join(rows.select("doc_id", "page_index").distinct(), ["doc_id", "page_index"], "left_semi").select("doc_id", "page_index", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("at", "c"))
     x, y = (F.col("at") % 80) * 6.0, 700.0 - F.floor(F.col("at") / 80) * 14.0
     positions = positions.select("doc_id", "page_index", "at", F.array(x, y, x + 6.0, y + 10.0).alias("rect"))
     return annotations.annotations(rows, annotations.char_rects(rows, positions))
@@ -459,3 +435,6 @@ def annotation_rows(spark, sf_dir):
 @lru_cache
 def flagship() -> Callable[[SparkSession, str], DataFrame]:
     return QUERIES["finalize_greedy"]
+
+
+from glosswork import part_queries  # noqa: E402, F401  registers its queries, which use the helpers above

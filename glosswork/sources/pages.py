@@ -122,3 +122,11 @@ def manifests(raw: DataFrame, column: str = "raw", installed: bool = False) -> D
     for k in OPTIONAL:
         valid = valid & (kind[k].isNull() | ((kind[k] == "STRING") & (value[k] != "")))
     return raw.select(*raw.columns, F.coalesce(valid, F.lit(False)).alias("valid"), *[c.alias(k) for k, c in value.items()])
+
+
+def sidecar_metadata(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """bundled_sha256 of JSON extraction metadata; null unless it is a string that is not empty."""
+    v = F.try_parse_json(F.col(column))
+    found = F.try_variant_get(v, "$.bundledSha256", "variant")
+    value = F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(v, "$.bundledSha256", "string"))
+    return raw.select(*[c for c in raw.columns if c != column], F.when(value != "", value).alias("bundled_sha256"))

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from glosswork import config
+from glosswork import queries as engine
 from glosswork.functions import patterns as P
-from glosswork.operators import rank, responses, segment
+from glosswork.operators import align, rank, responses, segment
 from glosswork.plans import highlights as H
 from glosswork.sources import pages as G
 from glosswork.streaming.documents import highlight_stream, requests_once
@@ -147,3 +148,20 @@ def test_headings_do_not_cross_pages(spark):
     df = papers(spark)
     rows = segment.with_sections(df.select("doc_id", "page_index", F.lit(0).alias("start")), segment.headings(df), ["doc_id", "page_index"]).collect()
     assert {(r.page_index, r.section_kind) for r in rows} == {(0, "abstract"), (1, "methods"), (2, "results")}
+
+
+def test_passages_of_any_length(spark):
+    """One- and two-word passages, parts of words at both ends, blanks inside."""
+    texts = ["the quick brown fox jumps", "quickest browns", "x y", "", "a  b c"]
+    parts = ["quick", "k brown", "ick brown fo", "x y", "the quick brown fox jumps", "a  b", "b c", "zzz", "y"]
+    pages = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, page_index int, text string")
+    items = spark.createDataFrame(list(enumerate(parts)), "item_id long, s string")
+    got = sorted((r.doc_id, r.item_id) for r in align.occurrences(pages, items).collect())
+    assert got == sorted((i, k) for i, t in enumerate(texts) for k, p in enumerate(parts) if p in t)
+
+
+def test_no_measure_is_taken_twice(spark, sf):
+    """No phrase pattern stands more than once in the plan of candidates."""
+    plan = engine._candidates(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    for pattern, _ in (*P.POSITIVE, *P.NEGATIVE):
+        assert plan.count(P.java(pattern)[:60]) <= 1

@@ -58,7 +58,7 @@ def test_pairs_hold_whole_passages(spark, size):
     vocabulary = {t: 4 + i for i, t in enumerate([*letters[:26], *("##" + c for c in letters[:26]), *letters[26:]])} | {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3}
     sf_dir = f"/root/testdata/{size}"
     texts = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
-    rows = engine.pair_encoding(spark, sf_dir).collect()
+    rows = engine.QUERIES["pair_encoding"](spark, sf_dir).collect()
     assert len(rows) == len(texts)
     for r in rows:
         whole = [p for w in neural.basic_tokens(texts[r.item_id] or "") for p in neural.pieces(w, vocabulary)]
