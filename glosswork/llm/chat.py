@@ -10,7 +10,8 @@ Defined results: turns go by (turn, role, text), nulls first, repeated rows repe
 role count as empty; roles that the template does not name are written as `?` and the role, and make the
 conversation invalid, as does any turn that the machine has no transition for; invalid conversations are
 formatted all the same, with `valid` false and `violation`, the first such turn's place from 0 (the number
-of turns if only the end is wrong). A null conv_id is a conversation of its own. An empty table gives no
+of turns if only the end is wrong). A null conv_id is a conversation of its own. A conversation is one row, as
+its turns have to be held together. An empty table gives no
 rows. Other columns take no part.
 """
 
@@ -21,6 +22,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glosswork.functions.text import prefix_sums
+
 
 @dataclass(frozen=True)
 class Template:
@@ -65,7 +68,7 @@ def _pick(key: Column, values: dict[str, str], otherwise: Column) -> Column:
 
 
 def format_conversations(rows: DataFrame, template: Template = Template(), conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, segments (array of text and loss), formatted, valid, violation of each conversation."""
+    """conv_id, segments (array of text and loss), formatted, loss_spans (start and end of trained texts in it), valid, violation of each conversation."""
     t = template
     turns = rows.select(F.col(conv_id).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("row"))
     grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("turns"))
@@ -91,7 +94,10 @@ def format_conversations(rows: DataFrame, template: Template = Template(), conv_
     machine = F.aggregate("turns", start, step)
     out = grouped.select("conv_id", F.flatten(F.transform("turns", segments)).alias("segments"), machine.alias("machine"))
     violation = F.coalesce(F.col("machine.bad"), F.when(~F.col("machine.state").isin(*t.final), F.col("machine.at")))
-    return out.select("conv_id", "segments", F.array_join("segments.text", "").alias("formatted"), violation.isNull().alias("valid"), violation.alias("violation"))
+    starts = prefix_sums(F.transform("segments", lambda s: F.length(s["text"])))
+    spans = F.filter(F.zip_with("segments", starts, lambda s, at: F.struct(at.alias("start"), (at + F.length(s["text"])).alias("end"), s["loss"].alias("loss"))), lambda x: x["loss"])
+    spans = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return out.select("conv_id", "segments", F.array_join("segments.text", "").alias("formatted"), spans.alias("loss_spans"), violation.isNull().alias("valid"), violation.alias("violation"))
 
 
 def read_turns(formatted: Column, template: Template = Template()) -> Column:
@@ -113,8 +119,13 @@ def trained_text(segments: Column, template: Template = Template()) -> Column:
     return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], template.for_text())), "")
 
 
+def read_trained(formatted: Column, spans: Column, template: Template = Template()) -> Column:
+    """All text under the loss mask, read back from a formatted conversation and its spans."""
+    return F.array_join(F.transform(spans, lambda x: unescape(F.substr(formatted, x["start"] + 1, x["end"] - x["start"]), template.for_text())), "")
+
+
 def digests(rows: DataFrame, template: Template = Template()) -> DataFrame:
-    out = format_conversations(rows, template).withColumn("read", read_turns(F.col("formatted"), template)).withColumn("trained", trained_text(F.col("segments"), template))
+    out = format_conversations(rows, template).withColumn("read", read_turns(F.col("formatted"), template)).withColumn("trained", read_trained(F.col("formatted"), F.col("loss_spans"), template))
     newline = F.lit("\n")
     return out.select(
         "conv_id",

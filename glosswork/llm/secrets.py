@@ -3,8 +3,8 @@
 A text is scanned as it is; then its encoded parts are unwrapped, layer after layer, and each layer is
 scanned again until nothing new appears: percent-encoding and Unicode escapes are decoded in the place
 where they stand (so a secret may reach across decoded and plain parts), runs of base64, joined over line
-breaks, become layers of their own at each alignment, with undecodable bytes replaced, and gzip or zlib
-data anywhere in one are inflated. Layers seen before in the text are not
+breaks, become layers of their own at each alignment, with undecodable bytes replaced and, where there are
+zero bytes, without these (UTF-16), and gzip or zlib data anywhere in one, or bare deflate data that are one, are inflated. Layers seen before in the text are not
 visited again. Each character of a layer knows the range of the original text that it comes from, so
 every find is a span of the original: exactly its characters under percent and Unicode decoding, the
 whole encoded line or lines that hold it under base64, and under compression all from the beginning of
@@ -151,8 +151,8 @@ class _Inflating:
     one that inflates to itself.
     """
 
-    def __init__(self, kinds: set[int], sure: int, chunk: int, around: tuple[bytes, ...]):
-        self.kinds, self.sure, self.chunk, self.around = kinds, sure, chunk, around
+    def __init__(self, kinds: set[int], sure: int, chunk: int, around: tuple[bytes, ...], raw: bool = False):
+        self.kinds, self.sure, self.chunk, self.around, self.raw = kinds, sure, chunk, around, raw
         self.own: set[int] = set()
         self.first, self.inside, self.done = b"", None, False
 
@@ -170,7 +170,7 @@ class _Inflating:
     def _start(self) -> None:
         self.done = self.first in self.around
         if not self.done:
-            self.stream = zlib.decompressobj(47)
+            self.stream = zlib.decompressobj(-15 if self.raw else 47)
             self.inside = _Bytes(self.own, self.chunk, (*self.around, self.first))
             self._inflate(self.first)
 
@@ -206,14 +206,18 @@ class _Inflating:
 class _Bytes:
     """Data that come in parts: their text, and compressed data anywhere in them, one member after another."""
 
-    def __init__(self, kinds: set[int], chunk: int, around: tuple[bytes, ...]):
-        self.kinds, self.chunk, self.around = kinds, chunk, around
+    def __init__(self, kinds: set[int], chunk: int, around: tuple[bytes, ...], bare: bool = False):
+        self.kinds, self.chunk, self.around, self.bare = kinds, chunk, around, bare
         self.decoder, self.text = codecs.getincrementaldecoder("utf-8")("replace"), _Text(kinds, chunk, around)
+        self.wide: _Text | None = None  # without zero bytes, which stand between the characters of UTF-16 and UTF-32
         self.tail, self.open, self.begun = b"", [], False
 
     def feed(self, data: bytes) -> None:
         if not data:
             return
+        if self.bare:  # they may be bare deflate data as a whole
+            self.open.append(_Inflating(self.kinds, 0, self.chunk, self.around, True))
+            self.bare = False
         for x in self.open:
             x.feed(data)
         both = self.tail + data
@@ -226,10 +230,16 @@ class _Bytes:
         self.open = [x for x in self.open if not x.done]
         self.tail, self.begun = both[-3:], True
         self.text.feed(self.decoder.decode(data))
+        if self.wide is None and b"\0" in data:
+            self.wide = _Text(self.kinds, self.chunk, self.around)
+        if self.wide is not None:
+            self.wide.feed(data.replace(b"\0", b"").decode("latin-1"))
 
     def close(self) -> None:
         for x in self.open:
             x.close()
+        if self.wide is not None:
+            self.wide.close()
         self.text.feed(self.decoder.decode(b"", True))
         self.text.close()
 
@@ -238,7 +248,7 @@ class _Run:
     """A base64 run that comes in parts, at each alignment."""
 
     def __init__(self, kinds: set[int], chunk: int, around: tuple[bytes, ...]):
-        self.ways = [[skip, "", _Bytes(kinds, chunk, around)] for skip in range(4)]
+        self.ways = [[skip, "", _Bytes(kinds, chunk, around, True)] for skip in range(4)]
 
     def feed(self, run: str) -> None:
         for way in self.ways:
@@ -322,13 +332,13 @@ def _unicode_decoded(m: re.Match) -> str:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
 
 
-def _kinds_inflated(data: memoryview, sure: int, chunk: int) -> set[int]:
+def _kinds_inflated(data: memoryview, sure: int, chunk: int, raw: bool = False) -> set[int]:
     """The kinds found in what data inflate to, at any depth, with some chunks in memory at once."""
     kinds: set[int] = set()
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, 1_000_000))  # layers in layers; only Python frames, which are not on the C stack
     try:
-        stream = _Inflating(kinds, sure, chunk, ())
+        stream = _Inflating(kinds, sure, chunk, (), raw)
         stream.feed(data)
         stream.close()
     finally:
@@ -366,13 +376,20 @@ def _base64(layer: Layer, chunk: int, known: dict[bytes, set[int]]) -> Iterator[
             if skip < lines[0][1] - lines[0][0]:
                 sources[0] = layer.source(lines[0][0] + skip, lines[0][1])
             begins, ends = np.array(sources).T
-            text, at = _characters(data)
-            if len(lines) == 1:
-                yield Layer(text, np.full(len(text), begins[0]), np.full(len(text), ends[0]))
-            else:  # from the beginning of the line of a character's first bits to the end of that of its last
-                last = np.append(at[1:], len(data)) - 1
-                first_line, last_line = (np.searchsorted(after, np.minimum(skip + k // 3 * 4 + k % 3 + more, len(run) - 1), "right") for k, more in ((at, 0), (last, 1)))
-                yield Layer(text, begins[first_line], ends[last_line])
+            forms = [_characters(data)]
+            if data.count(0) >= 6:  # the text without zero bytes, which is that of UTF-16 and UTF-32 where it is ASCII
+                kept = np.flatnonzero(np.frombuffer(data, np.uint8))
+                wide, places = _characters(data.replace(b"\0", b""))
+                forms.append((wide, kept[places]))
+            for text, at in forms:
+                if len(lines) == 1:
+                    yield Layer(text, np.full(len(text), begins[0]), np.full(len(text), ends[0]))
+                else:  # from the beginning of the line of a character's first bits to the end of that of its last
+                    last = np.append(at[1:], len(data)) - 1
+                    first_line, last_line = (np.searchsorted(after, np.minimum(skip + k // 3 * 4 + k % 3 + more, len(run) - 1), "right") for k, more in ((at, 0), (last, 1)))
+                    yield Layer(text, begins[first_line], ends[last_line])
+            if kinds := _kinds_inflated(memoryview(data), 0, chunk, True):  # bare deflate has no header: it counts if it comes to its end
+                yield int(begins[0]), int(ends[-1]), kinds
             for k, sure in _streams(data):
                 at_line = int(np.searchsorted(after, place := skip + k // 3 * 4 + k % 3, "right"))
                 start = lines[at_line][1] - int(after[at_line]) + place

@@ -19,9 +19,9 @@ def test_round_trip(spark):
             rows.append((conv, k, role, text))
         want[conv] = turns
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
-    out = chat.format_conversations(df).select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.trained_text(F.col("segments")).alias("trained")).collect()
+    out = chat.format_conversations(df).select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.trained_text(F.col("segments")).alias("trained"), chat.read_trained(F.col("formatted"), F.col("loss_spans")).alias("back")).collect()
     assert {r.conv_id: [tuple(t) for t in r.turns] for r in out} == want
-    assert all(r.trained == "".join(t for role, t in want[r.conv_id] if role == "assistant") for r in out)
+    assert all(r.trained == r.back == "".join(t for role, t in want[r.conv_id] if role == "assistant") for r in out)
 
 
 def test_machine(spark):
