@@ -16,18 +16,22 @@ from glosswork.llm.common import shared_dir
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier lets pass. Null and empty texts are scored as well; null languages take the global threshold; an empty table stays empty."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, that of the largest doc_id (null is smallest); null texts are empty ones. Of wholly equal rows one stays."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near-duplicates, that of the smallest doc_id; texts without words are like no other, so all of them stay. Rows that share an id are told apart by their texts."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, twice at most; null is a source of its own, the last; rows of one id, source and text share their copies."""
     return mixing.mixed_documents(docs)
 
 

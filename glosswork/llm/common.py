@@ -98,6 +98,14 @@ def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     return rows.join(starts, "__range").select(*df.columns, *[(F.col(f"__{k}") + F.col(f"__from_{k}")).alias(k) for k in sums])
 
 
+def unused(df: DataFrame) -> str:
+    """A prefix that no column of df begins with, for columns beside its own."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

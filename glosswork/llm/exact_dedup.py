@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glosswork.llm.common import documents, stable, text_buffers
+from glosswork.llm.common import documents, stable, text_buffers, unused
 
 PER_BLOCK = 1 << 18  # rows to a block of fingerprints, about
 HOT = 1000  # a group of over 1 / HOT of all rows is hot
@@ -232,18 +232,19 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns; no text is shuffled if the groups can be broadcast."""
     keys, repeated, groups, _ = _grouped(docs, doc_id, text)
+    p = unused(docs)
     groups = _small(groups, groups.count())
     firsts = keys.join(repeated, "fp", "left_semi").join(groups, "sha").filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("sha").count()
-    tied = stable(firsts.filter("count > 1").select(F.col("sha").alias("__sha")))
-    named = groups.select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__shared"))
-    keyed = docs.withColumns({"__sha": digest(F.coalesce(F.col(text).cast("string"), F.lit("")))["sha"], "__id": F.col(doc_id).cast("long")})
-    stay = F.col("__shared").isNull() | F.col("__id").eqNullSafe(F.col("__keep"))
+    tied = stable(firsts.filter("count > 1").select(F.col("sha").alias(f"{p}sha")))
+    named = groups.select(F.col("sha").alias(f"{p}sha"), F.col("keep_id").alias(f"{p}keep"), F.lit(True).alias(f"{p}shared"))
+    keyed = docs.withColumns({f"{p}sha": digest(F.coalesce(F.col(text).cast("string"), F.lit("")))["sha"], f"{p}id": F.col(doc_id).cast("long")})
+    stay = F.col(f"{p}shared").isNull() | F.col(f"{p}id").eqNullSafe(F.col(f"{p}keep"))
     if tied.isEmpty():
-        return keyed.join(named, "__sha", "left").filter(stay).select(*docs.columns)
+        return keyed.join(named, f"{p}sha", "left").filter(stay).select(*docs.columns)
     # Where rows repeat the id that stays, one of them does.
     tied = _small(tied, tied.count())
-    alone = keyed.join(tied, "__sha", "left_anti").join(named, "__sha", "left").filter(stay)
-    again = keyed.join(tied, "__sha", "left_semi").join(named, "__sha").filter(stay).dropDuplicates(["__sha"])
+    alone = keyed.join(tied, f"{p}sha", "left_anti").join(named, f"{p}sha", "left").filter(stay)
+    again = keyed.join(tied, f"{p}sha", "left_semi").join(named, f"{p}sha").filter(stay).dropDuplicates([f"{p}sha"])
     return alone.select(*docs.columns).unionByName(again.select(*docs.columns))
 
 

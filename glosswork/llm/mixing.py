@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import documents, running, written
+from glosswork.llm.common import documents, running, unused, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -101,23 +101,23 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of docs as often as the mix takes them, with their columns."""
     taken = mix(docs, doc_id, text, source, **options)
-    keys = ["doc_id", "source", "mark"]
-    total = written(taken.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("copies").alias("__copies"), F.col("rows").alias("__rows")).filter("__copies > 0"))
+    p, keys = unused(docs), ["doc_id", "source", "mark"]
+    total = written(taken.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).select(*[F.col(k).alias(f"{p}{k}") for k in keys], F.col("copies").alias(f"{p}copies"), F.col("rows").alias(f"{p}rows")).filter(F.col(f"{p}copies") > 0))
     own = {"doc_id": docs[doc_id], "source": docs[source], "mark": F.xxhash64(docs[text])}
-    same = reduce(lambda a, b: a & b, [own[k].eqNullSafe(F.col(f"__{k}")) for k in keys])
-    many = total.filter("__rows > 1")
+    same = reduce(lambda a, b: a & b, [own[k].eqNullSafe(F.col(f"{p}{k}")) for k in keys])
+    many = total.filter(F.col(f"{p}rows") > 1)
 
     def copied(rows: DataFrame, n: Column) -> DataFrame:
-        return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*docs.columns)
+        return rows.withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*docs.columns)
 
-    alone = copied(docs.join(total.filter("__rows = 1"), same), F.col("__copies"))
+    alone = copied(docs.join(total.filter(F.col(f"{p}rows") == 1), same), F.col(f"{p}copies"))
     if many.isEmpty():
         return alone
     # Rows alike in id, source and text share their copies: the first ones, in no particular order, get one more where they can't be parted evenly.
-    place = F.row_number().over(Window.partitionBy(*[f"__{k}" for k in keys]).orderBy(F.lit(0)))
-    share = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__place") <= F.col("__copies") % F.col("__rows")).cast("long")
-    shared = docs.join(many, same).withColumn("__place", place).withColumn("__n", share).filter("__n > 0")
-    return alone.unionByName(copied(shared, F.col("__n")))
+    place = F.row_number().over(Window.partitionBy(*[f"{p}{k}" for k in keys]).orderBy(F.lit(0)))
+    share = F.floor(F.col(f"{p}copies") / F.col(f"{p}rows")) + (F.col(f"{p}place") <= F.col(f"{p}copies") % F.col(f"{p}rows")).cast("long")
+    shared = docs.join(many, same).withColumn(f"{p}place", place).withColumn(f"{p}n", share).filter(F.col(f"{p}n") > 0)
+    return alone.unionByName(copied(shared, F.col(f"{p}n")))
 
 
 ORACLE_SQL = r"""

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import GOLDEN, U64, documents, mix, salt, slices, stable, unit
+from glosswork.llm.common import GOLDEN, U64, documents, mix, salt, slices, stable, unit, unused
 from glosswork.llm.words import lowered, shingles, word_hashes
 
 WORDS = 5
@@ -329,16 +329,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns: one of each class."""
-    rows = near_duplicates(docs, doc_id, text, digest=True).filter("class_size > 1").select(F.col("doc_id").alias("__id"), F.col("class_id").alias("__class"), F.col("sha").alias("__sha"), "kept")
+    p = unused(docs)
+    rows = near_duplicates(docs, doc_id, text, digest=True).filter("class_size > 1").select(F.col("doc_id").alias(f"{p}id"), F.col("class_id").alias(f"{p}class"), F.col("sha").alias(f"{p}sha"), "kept")
     # Ids may be of several texts, so rows are told apart by both. Equal rows are parted from the one that stays by counting.
     rows = stable(rows)
-    docs = docs.withColumn("__row_sha", F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)))
-    same = docs[doc_id].cast("long").eqNullSafe(F.col("__id")) & (F.col("__row_sha") == F.col("__sha"))
-    gone = rows.filter("not kept").select("__id", "__sha", "__class").distinct()
-    alone = docs.join(gone.select("__id", "__sha"), same, "left_anti")
-    firsts = rows.filter("kept").select(F.col("__id").alias("__first"), F.col("__sha").alias("__first_sha"))
-    again = gone.filter(F.col("__id").eqNullSafe(F.col("__class"))).join(firsts, F.col("__id").eqNullSafe(F.col("__first")) & (F.col("__sha") == F.col("__first_sha")), "left_semi").select("__id", "__sha")
-    return alone.unionByName(docs.join(again, same, "left_semi").dropDuplicates([doc_id, "__row_sha"])).drop("__row_sha")
+    docs = docs.withColumn(f"{p}row_sha", F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)))
+    same = docs[doc_id].cast("long").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}row_sha") == F.col(f"{p}sha"))
+    gone = rows.filter("not kept").select(f"{p}id", f"{p}sha", f"{p}class").distinct()
+    alone = docs.join(gone.select(f"{p}id", f"{p}sha"), same, "left_anti")
+    firsts = rows.filter("kept").select(F.col(f"{p}id").alias(f"{p}first"), F.col(f"{p}sha").alias(f"{p}first_sha"))
+    again = gone.filter(F.col(f"{p}id").eqNullSafe(F.col(f"{p}class"))).join(firsts, F.col(f"{p}id").eqNullSafe(F.col(f"{p}first")) & (F.col(f"{p}sha") == F.col(f"{p}first_sha")), "left_semi").select(f"{p}id", f"{p}sha")
+    return alone.unionByName(docs.join(again, same, "left_semi").dropDuplicates([doc_id, f"{p}row_sha"])).drop(f"{p}row_sha")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

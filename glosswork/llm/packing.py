@@ -140,6 +140,20 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_token: str = "<|end
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def write_packs(packs: DataFrame, path: str, width: int = WIDTH) -> DataFrame:
+    """Writes packs as Parquet shards under path/packs, and path/manifest, one JSON line a shard; returns the manifest.
+
+    A manifest's row has the shard's name, rows, tokens, segments, the width, the bytes of an id and a checksum of the id matrices.
+    """
+    packs.write.parquet(f"{path}/packs")
+    back = packs.sparkSession.read.parquet(f"{path}/packs").withColumn("shard", F.regexp_extract(F.input_file_name(), "[^/]+$", 0))
+    shards = back.groupBy("shard").agg(
+        F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens"), F.sum("n_segments").alias("segments"), (F.max(F.octet_length("ids")) / width).cast("int").alias("id_bytes"), F.bit_xor(F.xxhash64("pack_id", "ids")).alias("checksum"),
+    )
+    shards.withColumn("width", F.lit(width)).write.json(f"{path}/manifest")
+    return packs.sparkSession.read.json(f"{path}/manifest")
+
+
 def position_ids(cu_seqlens: list[int]) -> np.ndarray:
     """0, 1, ... within each segment of a row."""
     bounds = np.asarray(cu_seqlens)

@@ -59,3 +59,13 @@ def test_edges(spark):
     check(rows, {1: [50256], 2: [50256], None: [*codec.encode("hello world " * 50), 50256]}, 16, 50256)
     assert len({r.pack_id for r in rows}) == len(rows)
     assert packing.pack_documents(df.limit(0), bpe.default_tokenizer()).count() == 0
+
+
+def test_writer_and_manifest(spark, sf, tmp_path):
+    packs = packing.op1_packing(spark, sf)
+    manifest = packing.write_packs(packs, str(tmp_path / "out")).collect()
+    back = spark.read.parquet(str(tmp_path / "out" / "packs"))
+    rows = packs.agg({"n_tokens": "sum", "*": "count", "n_segments": "sum"}).first()
+    assert sum(m.rows for m in manifest) == back.count() == rows["count(1)"]
+    assert sum(m.tokens for m in manifest) == rows["sum(n_tokens)"] and sum(m.segments for m in manifest) == rows["sum(n_segments)"]
+    assert all(m.width == packing.WIDTH and m.id_bytes == 2 for m in manifest) and len({m.shard for m in manifest}) == len(manifest)

@@ -45,3 +45,36 @@ def test_stage_decodes(stages):
     text = {r.doc_id: r.text for r in stages[4].collect()}
     rows = stages[5].collect()
     assert rows and all(r.decoded_sha256 == hashlib.sha256((text[r.doc_id] or "").encode()).hexdigest() for r in rows)
+
+
+EDGE = "doc_id long, text string, lang string, source string, n_chars long, __id long, __sha string, kept boolean"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_edges(spark, tmp_path, name):
+    """Nulls in every column, empty and very long texts, repeated ids and rows, clashing names, empty tables: each stage gives its defined result."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    (tmp_path / "labels.parquet").parent.mkdir(exist_ok=True)
+    spark.createDataFrame([(3, 1, 0), (4, 0, 1), (None, 1, 1), (9, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    plain = " ".join(f"word{i}" for i in range(40))
+    rows = [
+        (None, None, None, None), (None, None, None, None), (1, "", "en", "a"), (1, plain, "en", "a"), (1, plain, "en", "a"), (2, plain.upper(), None, "b"),
+        (3, plain + " more", "fr", None), (4, "long " * 60_000, "de", "a"), (5, "?!", "xx", "é"), (6, " ".join(f"x{i}" for i in range(30)), "en", "b"),
+    ]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 7, "s", None) for r in rows], EDGE)
+    out = stage(spark, docs, str(tmp_path))
+    found = sorted(((r.doc_id or 0) for r in out.collect()))
+    want = {
+        "toxicity": [0, 0, 1, 1, 1, 2, 3, 4, 5, 6],  # too few labels: the prior rejects none
+        "exact_dedup": [1, 2, 3, 4, 5, 6],
+        "near_dedup": [0, 0, 1, 1, 4, 5, 6],
+        "bpe": [0, 0, 1, 1, 1, 2, 3, 4, 5, 6],
+    }.get(name)
+    if want is None:
+        counts = {i: found.count(i) for i in set(found)}
+        assert found and max(counts[i] for i in counts if i not in (0, 1)) <= 2 and set(found) <= {0, 1, 2, 3, 4, 5, 6}
+    else:
+        assert found == want
+    if name != "bpe":
+        assert out.columns == docs.columns
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
