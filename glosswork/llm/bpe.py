@@ -31,7 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import documents
+from glosswork.llm.common import documents, frugal
 
 # Fixed: the pattern of the byte-level pre-tokenizer with use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -237,7 +237,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id
                 back.append(own.decode(encoded) if decode else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(back, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, ids binary, n_tokens long, decoded string")
 
 
 def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:

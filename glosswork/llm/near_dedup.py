@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import GOLDEN, U64, documents, mix, salt, slices, stable, unit, unused
+from glosswork.llm.common import GOLDEN, U64, documents, frugal, mix, salt, slices, stable, unit, unused
 from glosswork.llm.words import lowered, shingles, word_hashes
 
 WORDS = 5
@@ -41,6 +41,7 @@ BANDS, ROWS = 25, 5  # a pair of similarity 0.8 shares a band with probability 1
 REGISTERS = BANDS * ROWS
 SLICE = 1 << 19  # bytes of text at once; a worker's temporaries are some 60 times that
 CLASSES = 64  # of shingles, in the sketches that bound overlaps
+PARTS = 16  # of a bucket, in which the members to try next are chosen
 
 
 def multisets(body: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +130,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.add.reduceat(np.append(sets[1], 0), sets[2][:-1]) * (np.diff(sets[2]) > 0)
             keys, marks = band_keys(bag_minhash(*sets)), digests(*sets)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (j - i) + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(marks[:, 0]), pa.array(marks[:, 1]), bands], ["doc_id", "sha", "n", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in (0, 2, 3)), pa.array(n.astype(np.int64)), pa.array(marks[:, 0]), pa.array(marks[:, 1]), bands], ["doc_id", "mark", "sha", "n", "f1", "f2", "bands"])
 
 
 def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +184,7 @@ def verify(pairs: DataFrame, texts: DataFrame, group: int = 200) -> DataFrame:
     dealt = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"), "b")
     leads = degree.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt")).join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     rest = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
-    return leads.union(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_verified, "a long, b long").distinct()
+    return leads.union(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(frugal(_verified), "a long, b long").distinct()
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +208,11 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _sketches(texts: DataFrame) -> DataFrame:
     """node, sketch: how much of each node's multiset other nodes of these may share, by class of shingle."""
-    rows = texts.mapInArrow(_shingle_rows, "shingle long, node long, w long")
+    rows = texts.mapInArrow(frugal(_shingle_rows), "shingle long, node long, w long")
     alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.max("w").alias("w")).filter("node = last")
     unshared = alone.groupBy("node", F.pmod("shingle", F.lit(CLASSES)).cast("int").alias("class")).agg(F.sum("w").cast("int").alias("w"))
     unshared = unshared.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("class", "w"))).alias("unshared"))
-    totals = texts.mapInArrow(_class_counts, "node long, totals array<int>")
+    totals = texts.mapInArrow(frugal(_class_counts), "node long, totals array<int>")
     rest = F.transform("totals", lambda t, k: t - F.coalesce(F.try_element_at("unshared", k), F.lit(0)))
     return totals.join(unshared, "node", "left").select("node", F.when(F.col("unshared").isNull(), F.col("totals")).otherwise(rest).alias("sketch"))
 
@@ -256,22 +257,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pivots: int = 512, digest: bool = False) -> DataFrame:
     """doc_id, class_id, class_size, kept and sha, with digest the SHA-256 of the text, for each row of docs; rid tells repeated rows apart."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     sha = F.unhex(F.sha2("text", 256)) if digest else F.lit(None).cast("binary")
-    signed = stable(rows.withColumn("sha", sha).mapInArrow(_signed, "doc_id long, sha binary, n long, f1 long, f2 long, bands array<long>").withColumn("rid", F.monotonically_increasing_id()))
+    signed = stable(rows.withColumn("sha", sha).mapInArrow(frugal(_signed), "doc_id long, mark long, sha binary, n long, f1 long, f2 long, bands array<long>").withColumn("rid", F.monotonically_increasing_id()))
     content = ["f1", "f2", "n"]
-    groups = stable(signed.filter("n > 0").groupBy(*content).agg(F.min(F.struct("doc_id", "rid")).alias("lead"), F.count("*").alias("size")).withColumn("node", F.col("lead.rid")))
+    groups = stable(signed.filter("n > 0").groupBy(*content).agg(F.min(F.struct("doc_id", "rid", "mark")).alias("lead"), F.count("*").alias("size")).withColumn("node", F.col("lead.rid")))
     nodes = signed.join(groups.select("node"), F.col("rid") == F.col("node"), "left_semi")
 
     keyed = nodes.select(F.explode("bands").alias("key"), F.col("rid").alias("node"), "n")
-    full = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    # Tables of one row a key are written before they are joined, so that of both sides plain rows are shuffled, and skew handling may split a hot key.
+    full = stable(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"))
     shared = stable(keyed.join(full, "key"))
     central = shared.groupBy("node").agg(F.sum("members").alias("weight"))
-    ranked = shared.join(central, "node")
-    heads = ranked.groupBy("key").agg(F.max("weight").alias("weight")).join(ranked.select("key", "node", "weight"), ["key", "weight"]).groupBy("key").agg(F.min("node").alias("pivot"))
+    heads = stable(shared.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("head")).select("key", (-F.col("head.node")).alias("pivot")))
     buckets = stable(shared.join(heads, "key").select("key", "node", "n", "pivot"))
-    texts = groups.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "f1", "f2", F.col("lead.doc_id").alias("doc_id"))
-    texts = stable(rows.join(texts, rows.doc_id.eqNullSafe(texts.doc_id)).select("node", "text", "f1", "f2").mapInArrow(_own_texts, "node long, text string"))
+    texts = groups.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "f1", "f2", F.col("lead.doc_id").alias("doc_id"), F.col("lead.mark").alias("mark"))
+    texts = stable(rows.join(texts, rows.doc_id.eqNullSafe(texts.doc_id) & (rows.mark == texts.mark)).select("node", "text", "f1", "f2").mapInArrow(frugal(_own_texts), "node long, text string"))
 
     sizes = groups.select("node", "n")
     pairs = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("n").alias("b_n")).distinct()
@@ -279,6 +280,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tested = stable(pairs.filter("5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)").select("a", "b"))
     labels = components(verify(tested, texts))
     used = own = None
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while True:
         seen = stable(buckets.select("key", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
         parts = seen.groupBy("key", "comp").agg(F.count("*").alias("k"))
@@ -291,19 +293,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         outside = open_.filter("comp <> main and 5 * free >= 4 * n").select("key", "node", "n", "comp", "free", "sketch")
         if used is not None:
             outside = outside.join(used, ["key", "node"], "left_anti")
-        # Up to `pivots` a bucket and round; the next rounds take the rest.
-        chosen = stable(outside.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))).filter(F.col("rank") <= pivots).drop("rank"))
+        # Up to `pivots` a bucket and round, dealt to parts so that no task orders a large bucket; the next rounds take the rest.
+        part = F.pmod(F.xxhash64("node"), F.lit(PARTS))
+        chosen = stable(outside.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("key", "part").orderBy("node"))).filter(F.col("rank") <= max(1, pivots // PARTS)).drop("rank", "part"))
         if chosen.isEmpty():
             break
-        used = stable(chosen.select("key", "node") if used is None else used.union(chosen.select("key", "node")))
+        used = chosen.select("key", "node") if used is None else used.union(chosen.select("key", "node"))
         left, right = chosen.alias("l"), open_.alias("r")
         # The overlap is at most what the sketches allow, class by class; 5 * overlap >= 4 * union is 9 * overlap >= 4 * (n + n).
         most_shared = "aggregate(zip_with(l.sketch, r.sketch, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
         crossing = left.join(right, F.expr(f"l.key = r.key and l.comp <> r.comp and 9 * least(l.free, r.free) >= 4 * (l.n + r.n) and 9 * {most_shared} >= 4 * (l.n + r.n)"))
         fresh = crossing.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = stable(fresh.join(known, ["a", "b"], "left_anti"))
-        tested = stable(tested.union(fresh))
+        known = known.union(fresh)
         links = verify(fresh, texts)
         # New links join components, which are found on the much smaller graph of components.
         ends = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("a_comp")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("b_comp")), "b", "left")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import U64, documents, slices, stable
+from glosswork.llm.common import U64, documents, frugal, released, slices, stable
 from glosswork.llm.words import lowered, word_hashes
 
 WIDTHS = (1, 2, 3)
@@ -259,7 +259,7 @@ def calibrate(model: Model, docs: DataFrame, known: DataFrame, fitted: np.ndarra
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.floor(logits * BINS).astype(np.int32)), pa.array(seen)], ["id", "lang", "bin", "fitted"])
 
     rows = docs.filter(F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(doc_id).cast("long").alias("__id"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    scored = rows.mapInArrow(bins, "id long, lang string, bin int, fitted boolean").join(known, F.col("id") == F.col("__id"))
+    scored = rows.mapInArrow(frugal(bins), "id long, lang string, bin int, fitted boolean").join(known, F.col("id") == F.col("__id"))
     one, zero = F.sum("toxic").alias("positive"), F.sum(1 - F.col("toxic")).alias("negative")
     cells = stable(scored.groupBy("lang", "bin", "fitted").agg(one, zero))
     sums = F.sum("positive").alias("positive"), F.sum("negative").alias("negative")
@@ -303,7 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), d
                 coded += [names[m:n].tobytes() if n - m <= most else None for m, n in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(coded, pa.binary())], ["id", "toxic", "words"])
 
-    pdf = rows.mapInArrow(code, "id long, toxic int, words binary").filter("words is not null").toPandas()
+    pdf = rows.mapInArrow(frugal(code), "id long, toxic int, words binary").filter("words is not null").toPandas()
     pdf = pdf.sort_values(["id", "words"]).drop_duplicates(["id"])
     model, fitted = fit([np.frombuffer(x, "<u4").reshape(-1, 2) for x in pdf["words"]], pdf["toxic"].to_numpy(np.int64), settings)
     if model.prior is None:
@@ -320,8 +320,11 @@ def scorer(spark: SparkSession, model: Model):
         own = sent.value
         if own.prior is None and not hasattr(own, "starts"):
             own.prepare()
-        for texts in batches:
-            yield pa.array(own.score(*lowered(texts)))
+        try:
+            for texts in batches:
+                yield pa.array(own.score(*lowered(texts)))
+        finally:
+            released()
 
     return score
 
