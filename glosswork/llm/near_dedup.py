@@ -280,6 +280,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tested = stable(pairs.filter("5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)").select("a", "b"))
     labels = components(verify(tested, texts))
     used = own = None
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while True:
         seen = stable(buckets.select("key", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
@@ -298,14 +299,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         chosen = stable(outside.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("key", "part").orderBy("node"))).filter(F.col("rank") <= max(1, pivots // PARTS)).drop("rank", "part"))
         if chosen.isEmpty():
             break
-        used = chosen.select("key", "node") if used is None else used.union(chosen.select("key", "node"))
+        used = chosen.select("key", "node") if used is None else used.union(chosen.select("key", "node")).coalesce(partitions)
         left, right = chosen.alias("l"), open_.alias("r")
         # The overlap is at most what the sketches allow, class by class; 5 * overlap >= 4 * union is 9 * overlap >= 4 * (n + n).
         most_shared = "aggregate(zip_with(l.sketch, r.sketch, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
         crossing = left.join(right, F.expr(f"l.key = r.key and l.comp <> r.comp and 9 * least(l.free, r.free) >= 4 * (l.n + r.n) and 9 * {most_shared} >= 4 * (l.n + r.n)"))
         fresh = crossing.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
         fresh = stable(fresh.join(known, ["a", "b"], "left_anti"))
-        known = known.union(fresh)
+        known = known.union(fresh).coalesce(partitions)  # read together, not written anew
         links = verify(fresh, texts)
         # New links join components, which are found on the much smaller graph of components.
         ends = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("a_comp")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("b_comp")), "b", "left")
