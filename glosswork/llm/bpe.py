@@ -35,7 +35,7 @@ from glosswork.llm.common import documents, frugal
 
 # Fixed: the pattern of the byte-level pre-tokenizer with use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LEAF_CHARS = 512
+LEAF_CHARS = 1024
 LONG_BYTES = 4_096
 LEAF_BYTES = 1_024
 PARALLEL = 64  # leaves from which on they are encoded by several threads
@@ -197,14 +197,14 @@ class Codec:
 def _sure(text: str, low: int, high: int, way: int) -> int:
     """The last (way -1) or first place from low to high where a blank follows a character that is none: the pre-tokenizer cuts there in any context. Else low or high."""
     if way < 0:
-        at = max(low, high)
-        while at > low and not (text[at] in " \n" and not text[at - 1].isspace()):
-            at -= 1
-        return at
-    at = min(low, high)
-    while at < high and not (text[at] in " \n" and not text[at - 1].isspace()):
-        at += 1
-    return at
+        at = text.rfind(" ", low + 1, max(low, high) + 1)
+        while at > low and text[at - 1].isspace():
+            at = text.rfind(" ", low + 1, at)
+        return max(at, low)
+    at = text.find(" ", min(low, high), high)
+    while at >= 0 and text[at - 1].isspace():
+        at = text.find(" ", at + 1, high)
+    return high if at < 0 else at
 
 
 _codecs: dict[tuple, Codec] = {}
