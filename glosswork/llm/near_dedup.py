@@ -41,6 +41,7 @@ BANDS, ROWS = 25, 5  # a pair of similarity 0.8 shares a band with probability 1
 REGISTERS = BANDS * ROWS
 SLICE = 1 << 19  # bytes of text at once; a worker's temporaries are some 60 times that
 CLASSES = 64  # of shingles, in the sketches that bound overlaps
+BROADCAST_ROWS = 1_000_000  # of ids and digests of rows that go, 60 MB at most; more are joined by a shuffle
 PARTS = 16  # of a bucket, in which the members to try next are chosen
 
 
@@ -339,10 +340,11 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     docs = docs.withColumn(f"{p}row_sha", F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)))
     same = docs[doc_id].cast("long").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}row_sha") == F.col(f"{p}sha"))
     gone = rows.filter("not kept").select(f"{p}id", f"{p}sha", f"{p}class").distinct()
-    alone = docs.join(gone.select(f"{p}id", f"{p}sha"), same, "left_anti")
+    small = F.broadcast if gone.count() <= BROADCAST_ROWS else lambda table: table
+    alone = docs.join(small(gone.select(f"{p}id", f"{p}sha")), same, "left_anti")
     firsts = rows.filter("kept").select(F.col(f"{p}id").alias(f"{p}first"), F.col(f"{p}sha").alias(f"{p}first_sha"))
     again = gone.filter(F.col(f"{p}id").eqNullSafe(F.col(f"{p}class"))).join(firsts, F.col(f"{p}id").eqNullSafe(F.col(f"{p}first")) & (F.col(f"{p}sha") == F.col(f"{p}first_sha")), "left_semi").select(f"{p}id", f"{p}sha")
-    return alone.unionByName(docs.join(again, same, "left_semi").dropDuplicates([doc_id, f"{p}row_sha"])).drop(f"{p}row_sha")
+    return alone.unionByName(docs.join(small(again), same, "left_semi").dropDuplicates([doc_id, f"{p}row_sha"])).drop(f"{p}row_sha")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
