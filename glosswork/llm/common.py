@@ -86,7 +86,11 @@ def stable(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    # Spark removes shuffle files once the driver's JVM has collected the plans that they belong to. By itself that may take
+    # half an hour, in which the files of every cut lineage pile up on the executors' disks.
+    sc._jvm.System.gc()
+    return kept
 
 
 def written(df: DataFrame) -> DataFrame:
