@@ -28,15 +28,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glosswork.llm import bloom
-from glosswork.llm.common import GOLDEN, U64, documents, frugal, mix, running, slices, text_buffers, written
+from glosswork.llm.common import GOLDEN, U64, documents, frugal, mix, released, running, slices, text_buffers, written
 from glosswork.llm.words import inverse_powers, prefix_sums
 
 LEAST = 10
 TOP = 2000
 PERCENT = 50
 DICTIONARY = 4_000_000
-SLICE = 1 << 21  # bytes of text at once, at least one text or the part of one up to the end of a piece
-CHUNK = 1 << 21  # ids at once
+SLICE = 1 << 20  # bytes of text at once, at least one text or the part of one up to the end of a piece
+CHUNK = 1 << 20  # ids at once
 PARTS = 16  # of a language, in which its best phrases are chosen first
 FILTER_KEYS = bloom.MOST_BITS // 8  # keys that a filter of MOST_BITS holds at a false-positive rate of 2 %
 
@@ -159,6 +159,7 @@ def _encoded(known: Ids) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         for batch in batches:
             for *_, pieces, a, b in _tokens(batch):
                 yield pa.RecordBatch.from_arrays([pa.array([broken(known.of(a, b), pieces).tobytes()], pa.binary())], ["ids"])
+            released()
 
     return run
 
@@ -243,7 +244,7 @@ def grams_of(ids: np.ndarray, again: int, size: int, known: Callable[[np.ndarray
     if known is not None and len(at):
         at = at[known(ids[at], ids[at + 1])]
         at = at[known(ids[at + 1], ids[at + 2])]
-    return [s[at] for s in spans]
+    return [s[at].astype(np.int32) for s in spans]
 
 
 def runs(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -252,7 +253,7 @@ def runs(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         return keys, np.zeros(0, np.int64)
     bits = max(1, int(max(int(k.max()) for k in keys)).bit_length())
     if bits * len(keys) <= 63:  # one number a key
-        whole = keys[0].copy()
+        whole = keys[0].astype(np.int64)
         for k in keys[1:]:
             whole = whole << bits | k
         whole.sort()
@@ -270,8 +271,10 @@ def _grams(size: int, known: Callable[[np.ndarray, np.ndarray], np.ndarray] | No
         held: list[list[np.ndarray]] = []
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            keys, counts = runs([np.concatenate(x) for x in zip(*held, strict=True)])
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
+            keys, counts = runs(whole)
+            del whole
             for i in range(0, len(counts), 1 << 16):
                 rows = packed([k[i : i + (1 << 16)] for k in keys])
                 yield pa.RecordBatch.from_arrays([pa.FixedSizeBinaryArray.from_buffers(pa.binary(12), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary()), pa.array(counts[i : i + (1 << 16)])], ["key", "f"])
@@ -281,6 +284,7 @@ def _grams(size: int, known: Callable[[np.ndarray, np.ndarray], np.ndarray] | No
                 held.append(grams_of(np.frombuffer(ids.as_buffer(), np.int32), again, size, known))
                 if sum(len(h[0]) for h in held) >= CHUNK:
                     yield from flushed()
+                    released()
         if held:
             yield from flushed()
 
