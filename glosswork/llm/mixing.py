@@ -7,10 +7,9 @@ document has an exponential key -ln(u) / weight, u from a hash of its id and the
 order of their keys are summed up to the budget, and the document at the border is taken if that
 comes nearer to the target.
 
-The prefix sums need no sort of a whole source: keys fall into `buckets` cells of equal
-probability, cell sums give each cell its starting sum, and only the cells are ordered as wholes; the
-running sum within a cell orders that cell's rows alone. So a source with a third of all rows is
-spread over many tasks.
+The prefix sums need no sort of a whole source: rows are dealt by ranges of source and key, whose borders
+follow the rows, each range is summed on its own, and only the sums of ranges are ordered as wholes. So a
+source with a third of all rows is spread over many tasks, whatever its weights.
 
 Defined results: null text has size 0; sources go by code point, null last; rows of one id and size are
 taken in no particular order among themselves, as they are alike; sizes of 0 are taken with the
@@ -30,7 +29,7 @@ from glosswork.llm.common import documents, running, unused, written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
-BUCKETS = 1024
+LOOKUP_ROWS = 100_000  # sources that are broadcast; more are joined by a shuffle
 SEED = 20
 
 
@@ -68,27 +67,25 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return filled.join(settled).select("source", "source_size", F.least("cap", F.col("w") * F.coalesce("at", F.lit(float("inf")))).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, mark (a hash of the text), source_size, target, copies, taken for each row of docs."""
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), (F.col(weight).cast("double") if weight else F.lit(None).cast("double")).alias("weight")).withColumn("size", word_count(F.col("text")))
     # Texts are read and counted once; from here on rows are narrow.
-    sized = written(sized.select("doc_id", "source", "size", F.xxhash64("text").alias("mark"), F.col("weight") if weight else quality_weight(F.col("text"), F.col("size")).alias("weight")))
+    sized = written(sized.select("doc_id", "source", "size", F.xxhash64("text").alias("mark"), F.col("weight") if weight else quality_weight(F.col("text"), F.col("size")).alias("weight")).withColumn("rid", F.monotonically_increasing_id()))
     sized = sized.withColumn("weight", F.when(F.isnan("weight") | F.col("weight").isNull() | (F.col("weight") < 1e-6) | (F.col("weight") == float("inf")), F.lit(1e-6)).otherwise(F.col("weight")))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) * F.lit(2.0**-52)
     keyed = sized.withColumn("key", -F.log(u) / F.col("weight"))
-    # Cells of the key: 1 - exp(-key) is uniform for weight 1.
-    keyed = keyed.withColumn("cell", F.least(F.lit(buckets - 1), F.floor(F.lit(float(buckets)) * (1 - F.exp(-F.col("key"))))).cast("int"))
-    cells = keyed.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
-    cells = written(cells)
-    budget = targets(cells.select("source", F.col("cell_size").alias("size")), weights, share, most)
-    starts = cells.withColumn("start", F.coalesce(F.sum("cell_size").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = starts.join(budget, starts["source"].eqNullSafe(budget["source"])).select(starts["source"].alias("s"), F.col("cell").alias("c"), "start", "source_size", "target")
-    rows = keyed.join(starts, keyed["source"].eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c")
-    order = Window.partitionBy("source", "cell").orderBy("key", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # rid only tells equal rows apart, so that ranges can part them.
+    ordered = written(running(keyed, [F.col("source").asc_nulls_last(), *map(F.col, ("key", "doc_id", "size", "mark", "rid"))], before=F.col("size")))
+    sources = written(ordered.groupBy("source").agg(F.sum("size").alias("size"), F.min("before").alias("start")))
+    budget = targets(sources.select("source", "size"), weights, share, most)
+    starts = written(sources.join(budget, sources["source"].eqNullSafe(budget["source"])).select(sources["source"].alias("s"), "start", "source_size", "target"))
+    starts = F.broadcast(starts) if starts.count() <= LOOKUP_ROWS else starts
+    rows = ordered.join(starts, ordered["source"].eqNullSafe(F.col("s"))).drop("s")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    until = F.col("start") + F.sum("size").over(order)
+    until = F.col("before") - F.col("start") + F.col("size")
     rows = rows.withColumn("epochs", epochs).withColumn("until", until)
     extra = (F.col("size") > 0) & (F.col("until") - rest <= F.col("size") / 2.0) & (rest > 0) & (F.col("epochs") < F.lit(float(most)))
     return rows.withColumn("copies", (F.col("epochs") + extra.cast("long")).cast("long")).select("doc_id", "source", "size", "mark", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

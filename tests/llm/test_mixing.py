@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from glosswork.llm import mixing
 
@@ -77,3 +78,22 @@ def test_many_sources_in_ranges(spark):
     df = spark.createDataFrame([(f"s{i:05d}", n) for i, n in enumerate(sizes)], "source string, size long")
     got = [r.target for r in mixing.targets(df).orderBy("source").collect()]
     assert got == pytest.approx(fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))]))
+
+
+@pytest.mark.parametrize("weight", [1e-6, 0.001, 0.1, 1.0, 10.0])
+def test_weights_of_any_size(spark, weight):
+    """Sampling does not depend on the scale of weights, and no range of keys holds half of a source."""
+    df = spark.createDataFrame([(i, "w " * (1 + i % 4), "big" if i % 10 else "small", weight * (1 + i % 3)) for i in range(4000)], "doc_id long, text string, source string, w double")
+    got = {r.doc_id: r.copies for r in mixing.mix(df, weight="w").collect()}
+    assert got == {r.doc_id: r.copies for r in mixing.mix(df.withColumn("w", df.w / weight), weight="w").collect()}
+    dealt = df.select("source", (-F.log(F.rand(1)) / df.w).alias("key")).repartitionByRange(8, "source", "key").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in dealt) < 4000 / 4
+
+
+def test_equal_rows_are_parted(spark):
+    """Thousands of equal rows are many rows of a range each, and the mix still comes near its targets."""
+    df = spark.createDataFrame([(1, "a b", "x")] * 3000 + [(2, "c", "y")] * 500, "doc_id long, text string, source string")
+    rows = mixing.mix(df).collect()
+    for source in "xy":
+        own = [r for r in rows if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1
