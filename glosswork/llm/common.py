@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -82,22 +83,73 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 def stable(df: DataFrame) -> DataFrame:
     """The rows written to the cluster's shared checkpoint folder and read back; lineage ends there."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    kept = df.checkpoint(eager=True)
-    # Spark removes shuffle files once the driver's JVM has collected the plans that they belong to. By itself that may take
-    # half an hour, in which the files of every cut lineage pile up on the executors' disks.
-    sc._jvm.System.gc()
-    return kept
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+# Written tables of each open `scratch`, the innermost last, after those that are not in any.
+_tables: list[list[tuple[SparkSession, str]]] = [[]]
+_databases: dict[str, str] = {}
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _database(spark: SparkSession) -> str:
+    """A database of the application's own in the shared folder, so that dropping a table deletes its files."""
+    app = spark.sparkContext.applicationId
+    if app not in _databases:
+        name = f"scratch_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {name} LOCATION '{shared_dir(spark).rstrip('/')}/{name}'")
+        _databases[app] = name
+    return _databases[app]
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows written as a table in the shared folder and read back, as DataFrame operations only; lineage ends there."""
-    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    """The rows written as a table in the shared folder and read back, as DataFrame operations only; lineage ends there.
+
+    The shuffle files of the job go when it ends, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    name = f"{_database(spark)}.t_{uuid.uuid4().hex}"
+    _tables[-1].append((spark, name))
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.saveAsTable(name, format="parquet")
+    finally:
+        spark.conf.set(RELEASE, before)
+    return spark.table(name)
+
+
+def _dropped(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, name in tables:
+        if spark.sparkContext.applicationId in _databases:  # else the application has ended since
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written within go at the end, but for those of rows that go through the function it gives."""
+    _tables.append([])
+
+    def kept(df: DataFrame) -> DataFrame:
+        own = _tables.pop()
+        try:
+            return written(df)
+        finally:
+            _tables.append(own)
+
+    try:
+        yield kept
+    finally:
+        _dropped(_tables.pop())
+
+
+def cleared() -> None:
+    """Drops all tables that are written and not in an open `scratch`: call it once the rows made of them have been saved."""
+    _dropped(_tables[0])
+    _tables[0].clear()
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -26,14 +26,14 @@ gives no rows. Other columns take no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import GOLDEN, U64, documents, frugal, mix, salt, slices, stable, unit, unused
+from glosswork.llm.common import GOLDEN, U64, documents, frugal, mix, salt, scratch, slices, unit, unused, written
 from glosswork.llm.words import lowered, shingles, word_hashes
 
 WORDS = 5
@@ -245,78 +245,56 @@ def components(edges: DataFrame) -> DataFrame:
     Each partition reduces its edges to trees. A node in trees of several partitions links their roots; these
     links are a graph of fewer nodes, whose components are found in the same way until there are none.
     """
-    trees = stable(edges.select("a", "b").mapInArrow(_forest, "node long, root long"))
-    # A node is in one tree of a partition at most, so no node is hot.
-    placed = trees.withColumn("comp", F.min("root").over(Window.partitionBy("node")))
-    labels = placed.select("node", "comp").dropDuplicates(["node"])
-    links = stable(placed.filter("root <> comp").select(F.col("root").alias("a"), F.col("comp").alias("b")).distinct())
-    if links.isEmpty():
-        return stable(labels)
-    merged = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return stable(labels.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+    with scratch() as kept:
+        trees = written(edges.select("a", "b").mapInArrow(_forest, "node long, root long"))
+        # A node is in one tree of a partition at most, so no node is hot.
+        placed = trees.withColumn("comp", F.min("root").over(Window.partitionBy("node")))
+        labels = placed.select("node", "comp").dropDuplicates(["node"])
+        links = written(placed.filter("root <> comp").select(F.col("root").alias("a"), F.col("comp").alias("b")).distinct())
+        if links.isEmpty():
+            return kept(labels)
+        merged = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        return kept(labels.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pivots: int = 512, digest: bool = False) -> DataFrame:
     """doc_id, class_id, class_size, kept and sha, with digest the SHA-256 of the text, for each row of docs; rid tells repeated rows apart."""
+    with scratch() as kept:
+        return kept(_near_duplicates(docs, doc_id, text, pivots, digest))
+
+
+def _near_duplicates(docs: DataFrame, doc_id: str, text: str, pivots: int, digest: bool) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     sha = F.unhex(F.sha2("text", 256)) if digest else F.lit(None).cast("binary")
-    signed = stable(rows.withColumn("sha", sha).mapInArrow(frugal(_signed), "doc_id long, mark long, sha binary, n long, f1 long, f2 long, bands array<long>").withColumn("rid", F.monotonically_increasing_id()))
+    signed = written(rows.withColumn("sha", sha).mapInArrow(frugal(_signed), "doc_id long, mark long, sha binary, n long, f1 long, f2 long, bands array<long>").withColumn("rid", F.monotonically_increasing_id()))
     content = ["f1", "f2", "n"]
-    groups = stable(signed.filter("n > 0").groupBy(*content).agg(F.min(F.struct("doc_id", "rid", "mark")).alias("lead"), F.count("*").alias("size")).withColumn("node", F.col("lead.rid")))
-    nodes = signed.join(groups.select("node"), F.col("rid") == F.col("node"), "left_semi")
-
-    keyed = nodes.select(F.explode("bands").alias("key"), F.col("rid").alias("node"), "n")
-    # Tables of one row a key are written before they are joined, so that of both sides plain rows are shuffled, and skew handling may split a hot key.
-    full = stable(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"))
-    shared = stable(keyed.join(full, "key"))
-    central = shared.groupBy("node").agg(F.sum("members").alias("weight"))
-    heads = stable(shared.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("head")).select("key", (-F.col("head.node")).alias("pivot")))
-    buckets = stable(shared.join(heads, "key").select("key", "node", "n", "pivot"))
-    texts = groups.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "f1", "f2", F.col("lead.doc_id").alias("doc_id"), F.col("lead.mark").alias("mark"))
-    texts = stable(rows.join(texts, rows.doc_id.eqNullSafe(texts.doc_id) & (rows.mark == texts.mark)).select("node", "text", "f1", "f2").mapInArrow(frugal(_own_texts), "node long, text string"))
-
+    groups = written(signed.filter("n > 0").groupBy(*content).agg(F.min(F.struct("doc_id", "rid", "mark")).alias("lead"), F.count("*").alias("size")).withColumn("node", F.col("lead.rid")))
+    with scratch() as kept:
+        buckets, texts = (kept(x) for x in _buckets(rows, signed, groups))
     sizes = groups.select("node", "n")
-    pairs = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("n").alias("b_n")).distinct()
-    pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("a_n")), "a")
-    tested = stable(pairs.filter("5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)").select("a", "b"))
-    labels = components(verify(tested, texts))
-    used = own = None
+    with scratch() as kept:
+        pairs = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("n").alias("b_n")).distinct()
+        pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("a_n")), "a")
+        tested = written(pairs.filter("5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)").select("a", "b"))
+        labels = kept(components(verify(tested, texts)))
+        known = kept(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    # Only buckets that hold several components go into a round, and components only merge, so a bucket once left out stays out.
+    live, own, used = buckets.select("key", "node", "n"), None, None
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while True:
-        seen = stable(buckets.select("key", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-        parts = seen.groupBy("key", "comp").agg(F.count("*").alias("k"))
-        most = parts.groupBy("key").agg(F.max("k").alias("k"), F.count("*").alias("comps")).filter("comps > 1")
-        largest = stable(parts.join(most, ["key", "k"]).groupBy("key").agg(F.min("comp").alias("main")))
-        open_ = seen.join(largest, "key")
-        if own is None:
-            own = stable(_sketches(texts.join(open_.select("node").distinct(), "node", "left_semi")).withColumn("free", F.aggregate("sketch", F.lit(0), lambda s, x: s + x)))
-        open_ = open_.join(own, "node")
-        outside = open_.filter("comp <> main and 5 * free >= 4 * n").select("key", "node", "n", "comp", "free", "sketch")
-        if used is not None:
-            outside = outside.join(used, ["key", "node"], "left_anti")
-        # Up to `pivots` a bucket and round, dealt to parts so that no task orders a large bucket; the next rounds take the rest.
-        part = F.pmod(F.xxhash64("node"), F.lit(PARTS))
-        chosen = stable(outside.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("key", "part").orderBy("node"))).filter(F.col("rank") <= max(1, pivots // PARTS)).drop("rank", "part"))
-        if chosen.isEmpty():
-            break
-        used = chosen.select("key", "node") if used is None else used.union(chosen.select("key", "node")).coalesce(partitions)
-        left, right = chosen.alias("l"), open_.alias("r")
-        # The overlap is at most what the sketches allow, class by class; 5 * overlap >= 4 * union is 9 * overlap >= 4 * (n + n).
-        most_shared = "aggregate(zip_with(l.sketch, r.sketch, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
-        crossing = left.join(right, F.expr(f"l.key = r.key and l.comp <> r.comp and 9 * least(l.free, r.free) >= 4 * (l.n + r.n) and 9 * {most_shared} >= 4 * (l.n + r.n)"))
-        fresh = crossing.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-        fresh = stable(fresh.join(known, ["a", "b"], "left_anti"))
-        known = known.union(fresh).coalesce(partitions)  # read together, not written anew
-        links = verify(fresh, texts)
-        # New links join components, which are found on the much smaller graph of components.
-        ends = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("a_comp")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("b_comp")), "b", "left")
-        lifted = stable(ends.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).filter("a <> b"))
-        if lifted.isEmpty():
-            continue
-        merged = components(lifted).select(F.col("node").alias("from"), F.col("comp").alias("to"))
-        everyone = labels.select("node", "comp").union(merged.select(F.col("from").alias("node"), F.col("from").alias("comp")).join(labels.select("node"), "node", "left_anti"))
-        labels = stable(everyone.join(merged, F.col("comp") == F.col("from"), "left").select("node", F.coalesce("to", "comp").alias("comp")))
+        with scratch() as kept:
+            open_ = _open(live, labels)
+            if own is None:
+                free = F.aggregate("sketch", F.lit(0), lambda s, x: s + x)
+                own = kept(_sketches(texts.join(open_.select("node").distinct(), "node", "left_semi")).withColumn("free", free))
+            live = kept(open_.select("key", "node", "n"))
+            chosen = kept(_chosen(open_.join(own, "node"), used, pivots))
+            if chosen.isEmpty():
+                break
+            used = chosen.select("key", "node") if used is None else used.union(chosen.select("key", "node")).coalesce(partitions)
+            fresh = kept(_crossing(chosen, open_.join(own, "node")).join(known, ["a", "b"], "left_anti"))
+            known = known.union(fresh).coalesce(partitions)  # read together, not written anew
+            labels = _merged(labels, verify(fresh, texts), kept)
 
     placed = groups.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = placed.groupBy("comp").agg(F.min("lead").alias("first"), F.sum("size").alias("class_size"))
@@ -331,12 +309,66 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
+def _buckets(rows: DataFrame, signed: DataFrame, groups: DataFrame) -> Iterator[DataFrame]:
+    """key, node, n, pivot of the bands that several nodes share, then node, text of these nodes."""
+    nodes = signed.join(groups.select("node"), F.col("rid") == F.col("node"), "left_semi")
+    keyed = nodes.select(F.explode("bands").alias("key"), F.col("rid").alias("node"), "n")
+    # Tables of one row a key are written before they are joined, so that of both sides plain rows are shuffled, and skew handling may split a hot key.
+    full = written(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"))
+    shared = written(keyed.join(full, "key"))
+    central = shared.groupBy("node").agg(F.sum("members").alias("weight"))
+    heads = written(shared.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("head")).select("key", (-F.col("head.node")).alias("pivot")))
+    yield shared.join(heads, "key").select("key", "node", "n", "pivot")
+    texts = groups.join(shared.select("node").distinct(), "node", "left_semi").select("node", "f1", "f2", F.col("lead.doc_id").alias("doc_id"), F.col("lead.mark").alias("mark"))
+    texts = rows.join(texts, rows.doc_id.eqNullSafe(texts.doc_id) & (rows.mark == texts.mark)).select("node", "text", "f1", "f2")
+    # Rows may repeat a node's own; one text of each node is enough, and repeats go before the shuffle.
+    yield texts.mapInArrow(frugal(_own_texts), "node long, text string").dropDuplicates(["node"])
+
+
+def _open(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, n, comp, main (its bucket's largest component) of the buckets that hold several components."""
+    seen = written(live.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    parts = seen.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    most = parts.groupBy("key").agg(F.max("k").alias("k"), F.count("*").alias("comps")).filter("comps > 1")
+    largest = written(parts.join(most, ["key", "k"]).groupBy("key").agg(F.min("comp").alias("main")))
+    return written(seen.join(largest, "key"))
+
+
+def _chosen(open_: DataFrame, used: DataFrame | None, pivots: int) -> DataFrame:
+    """The members to try in a round: up to `pivots` a bucket, dealt to parts so that no task orders a large bucket; the next rounds take the rest."""
+    outside = open_.filter("comp <> main and 5 * free >= 4 * n").select("key", "node", "n", "comp", "free", "sketch")
+    if used is not None:
+        outside = outside.join(used, ["key", "node"], "left_anti")
+    part = F.pmod(F.xxhash64("node"), F.lit(PARTS))
+    return outside.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("key", "part").orderBy("node"))).filter(F.col("rank") <= max(1, pivots // PARTS)).drop("rank", "part")
+
+
+def _crossing(chosen: DataFrame, open_: DataFrame) -> DataFrame:
+    """The pairs (a, b) of members of one bucket and several components that the bounds allow, each once."""
+    left, right = chosen.alias("l"), open_.alias("r")
+    # The overlap is at most what the sketches allow, class by class; 5 * overlap >= 4 * union is 9 * overlap >= 4 * (n + n).
+    most_shared = "aggregate(zip_with(l.sketch, r.sketch, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
+    crossing = left.join(right, F.expr(f"l.key = r.key and l.comp <> r.comp and 9 * least(l.free, r.free) >= 4 * (l.n + r.n) and 9 * {most_shared} >= 4 * (l.n + r.n)"))
+    return crossing.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The labels after new links, which join components: these are found on the much smaller graph of components."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("a_comp")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("b_comp")), "b", "left")
+    lifted = written(ends.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).filter("a <> b"))
+    if lifted.isEmpty():
+        return labels
+    merged = components(lifted).select(F.col("node").alias("from"), F.col("comp").alias("to"))
+    everyone = labels.select("node", "comp").union(merged.select(F.col("from").alias("node"), F.col("from").alias("comp")).join(labels.select("node"), "node", "left_anti"))
+    return kept(everyone.join(merged, F.col("comp") == F.col("from"), "left").select("node", F.coalesce("to", "comp").alias("comp")))
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns: one of each class."""
     p = unused(docs)
     rows = near_duplicates(docs, doc_id, text, digest=True).filter("class_size > 1").select(F.col("doc_id").alias(f"{p}id"), F.col("class_id").alias(f"{p}class"), F.col("sha").alias(f"{p}sha"), "kept")
     # Ids may be of several texts, so rows are told apart by both. Equal rows are parted from the one that stays by counting.
-    rows = stable(rows)
+    rows = written(rows)
     docs = docs.withColumn(f"{p}row_sha", F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)))
     same = docs[doc_id].cast("long").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}row_sha") == F.col(f"{p}sha"))
     gone = rows.filter("not kept").select(f"{p}id", f"{p}sha", f"{p}class").distinct()

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter
@@ -124,3 +125,31 @@ def test_dropping_tells_texts_of_an_id_apart(spark):
     assert [t in (third, third + " end") for i, t in found if i == 0].count(True) == 1
     same = spark.createDataFrame([(3, long), (3, long), (3, other), (4, near)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in nd.drop_near_duplicates(same).collect()) == sorted([(3, long), (3, other)])
+
+
+def test_repeated_rows_send_one_text(spark):
+    """300 equal rows with a null id and one near copy are two nodes with one text each."""
+    plain = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, plain)] * 300 + [(7, plain + " more")], "doc_id long, text string").repartition(6)
+    rows = nd.near_duplicates(docs)
+    assert rows.filter("kept").count() == 1 and {r.class_size for r in rows.collect()} == {301}
+    texts = []
+    real = nd.verify
+    try:
+        nd.verify = lambda pairs, some, *a: texts.append(some.count()) or real(pairs, some, *a)
+        nd.near_duplicates(docs).count()
+    finally:
+        nd.verify = real
+    assert texts and set(texts) == {2}
+
+
+def test_nothing_is_left_but_the_result(spark, sf):
+    """Tables of the rounds are dropped; the result's goes when it is cleared."""
+    from glosswork.llm import common
+
+    common.cleared()
+    rows = nd.op6_near_dedup(spark, sf)
+    folder = spark.sql(f"DESCRIBE DATABASE {common._database(spark)}").filter("info_name = 'Location'").first()[1].removeprefix("file:")
+    assert len(os.listdir(folder)) == 1 and rows.count() > 0
+    common.cleared()
+    assert os.listdir(folder) == []
