@@ -35,7 +35,7 @@ def test_recall(spark, sf):
     assert all(abs(s - exact[q, i]) < 1e-12 for q, x in have.items() for i, s in x)
 
 
-@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1", "check_s"])
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
 def test_recall_through_probing(spark, monkeypatch, size):
     """All ids divisible by 50 against brute force; every candidate comes out of a probed bucket of a cell."""
     sf = f"/root/testdata/{size}"
