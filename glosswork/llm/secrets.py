@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import codecs
 import copy
+import hashlib
 import itertools
 import re
 import sys
@@ -56,6 +57,7 @@ _HEX_MAP = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
 _BASE64_MAP = bytes(49 if chr(b).isalnum() and b < 128 or chr(b) in "+/_-" else 48 for b in range(256))
 HEX_RUN, BASE64_RUN = b"1" * 24, b"1" * 16
 MOST_INFLATED = 1 << 20
+MOST_TWINS = 64  # streams in one another that begin alike, all of them different; what is further in is not read
 # Of texts in parts: blanks that are shortened, ends that wait for the next part, the rest of an open run, runs.
 BLANKS = re.compile(r"[ \t]{17,}")
 HELD = re.compile(r"(?:[ \t]*(?:\r\n?|\n|\\r\\n|\\n|\\r\\?|\\)?[ \t]*|%[0-9A-Fa-f]?|\\(?:u\{?[0-9A-Fa-f]{0,7}|U[0-9A-Fa-f]{0,7}|x[0-9A-Fa-f]?))\Z")
@@ -143,16 +145,57 @@ def _streams(data: bytes) -> Iterator[tuple[int, int]]:
     yield from ((m.start(), int(m.start() == 0)) for m in ZLIB.finditer(data))
 
 
+class _Pass:
+    """One reading of compressed data: the streams that were held back in it, and those that this time are read."""
+
+    def __init__(self, cleared: frozenset[tuple[int, ...]]):
+        self.cleared, self.held, self.count = cleared, [], 0
+
+    def __deepcopy__(self, memo: dict) -> "_Pass":
+        return self
+
+
+class _Origin:
+    """A stream's place among the streams that it is in, and a running digest of its compressed bytes."""
+
+    def __init__(self, first: bytes, path: tuple[int, ...]):
+        self.first, self.path, self.count, self.size, self.sha = first, path, 0, 0, hashlib.sha256()
+
+    def took(self, data: bytes | memoryview) -> None:
+        self.sha.update(data)
+        self.size += len(data)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Origin) and (self.size, self.sha.digest()) == (other.size, other.sha.digest())
+
+    __hash__ = None
+
+    def __deepcopy__(self, memo: dict) -> "_Origin":
+        twin = _Origin(self.first, self.path)
+        twin.count, twin.size, twin.sha = self.count, self.size, self.sha.copy()
+        return twin
+
+
+class _Void:
+    """Takes data and looks at none."""
+
+    def feed(self, data: bytes) -> None:
+        pass
+
+    close = staticmethod(lambda: None)
+
+
 class _Inflating:
     """Compressed data that come in parts; what they inflate to is read in chunks, and the kinds found go to `kinds`.
 
     Where the header is short, finds count if nothing is wrong up to the end of the input, or, within other data, if
-    the checksum at the end of the stream is right. A stream that begins like one that it is in is not read: it is
-    one that inflates to itself.
+    the checksum at the end of the stream is right. A stream that begins like one that it is in may be the same one,
+    which would inflate to itself without end: it is held back, that is, inflated but not read, and compared as a whole, by length and
+    digest, when both have ended. If they differ, all is read once more, and that stream with it.
     """
 
-    def __init__(self, kinds: set[int], sure: int, chunk: int, around: tuple[bytes, ...], raw: bool = False):
-        self.kinds, self.sure, self.chunk, self.around, self.raw = kinds, sure, chunk, around, raw
+    def __init__(self, kinds: set[int], sure: int, chunk: int, around: tuple[_Origin, ...], now: _Pass, raw: bool = False):
+        self.kinds, self.sure, self.chunk, self.around, self.now, self.raw = kinds, sure, chunk, around, now, raw
         self.own: set[int] = set()
         self.first, self.inside, self.done = b"", None, False
 
@@ -168,19 +211,29 @@ class _Inflating:
                 self._inflate(data[i : i + (1 << 16)])
 
     def _start(self) -> None:
-        self.done = self.first in self.around
-        if not self.done:
-            self.stream = zlib.decompressobj(-15 if self.raw else 47)
-            self.inside = _Bytes(self.own, self.chunk, (*self.around, self.first))
-            self._inflate(self.first)
+        parent = self.around[-1] if self.around else self.now
+        self.origin = _Origin(self.first, (*(self.around[-1].path if self.around else ()), parent.count))
+        parent.count += 1
+        self.stream = zlib.decompressobj(-15 if self.raw else 47)
+        twins = [x for x in self.around if x.first == self.first]
+        if twins and (len(twins) > MOST_TWINS or self.origin.path not in self.now.cleared):
+            if len(twins) <= MOST_TWINS:
+                self.now.held.append((self.origin, twins))
+            self.inside = _Void()
+        else:
+            self.inside = _Bytes(self.own, self.chunk, (*self.around, self.origin), self.now)
+        self._inflate(self.first)
 
     def _inflate(self, data: bytes | memoryview) -> None:
         while True:
             try:
                 out = self.stream.decompress(data, self.chunk)
             except zlib.error:
+                self.origin.took(data)
                 self._end(self.sure == 2)
                 return
+            rest = self.stream.unused_data if self.stream.eof else self.stream.unconsumed_tail
+            self.origin.took(data[: len(data) - len(rest)])
             self.inside.feed(out)
             data = self.stream.unconsumed_tail
             if self.stream.eof:
@@ -206,9 +259,9 @@ class _Inflating:
 class _Bytes:
     """Data that come in parts: their text, and compressed data anywhere in them, one member after another."""
 
-    def __init__(self, kinds: set[int], chunk: int, around: tuple[bytes, ...], bare: bool = False):
-        self.kinds, self.chunk, self.around, self.bare = kinds, chunk, around, bare
-        self.decoder, self.text = codecs.getincrementaldecoder("utf-8")("replace"), _Text(kinds, chunk, around)
+    def __init__(self, kinds: set[int], chunk: int, around: tuple[_Origin, ...], now: _Pass, bare: bool = False):
+        self.kinds, self.chunk, self.around, self.now, self.bare = kinds, chunk, around, now, bare
+        self.decoder, self.text = codecs.getincrementaldecoder("utf-8")("replace"), _Text(kinds, chunk, around, now)
         self.wide: _Text | None = None  # without zero bytes, which stand between the characters of UTF-16 and UTF-32
         self.tail, self.open, self.begun = b"", [], False
 
@@ -216,14 +269,14 @@ class _Bytes:
         if not data:
             return
         if self.bare:  # they may be bare deflate data as a whole
-            self.open.append(_Inflating(self.kinds, 0, self.chunk, self.around, True))
+            self.open.append(_Inflating(self.kinds, 0, self.chunk, self.around, self.now, True))
             self.bare = False
         for x in self.open:
             x.feed(data)
         both = self.tail + data
         for k, sure in _streams(both):
             if k + (4 if sure == 2 else 2) > len(self.tail):
-                self.open.append(_Inflating(self.kinds, 0 if sure == 1 and self.begun else sure, self.chunk, self.around))
+                self.open.append(_Inflating(self.kinds, 0 if sure == 1 and self.begun else sure, self.chunk, self.around, self.now))
                 self.open[-1].feed(memoryview(both)[k:])
                 if self.open[-1].done:
                     self.open.pop()
@@ -231,7 +284,7 @@ class _Bytes:
         self.tail, self.begun = both[-3:], True
         self.text.feed(self.decoder.decode(data))
         if self.wide is None and b"\0" in data:
-            self.wide = _Text(self.kinds, self.chunk, self.around)
+            self.wide = _Text(self.kinds, self.chunk, self.around, self.now)
         if self.wide is not None:
             self.wide.feed(data.replace(b"\0", b"").decode("latin-1"))
 
@@ -247,8 +300,8 @@ class _Bytes:
 class _Run:
     """A base64 run that comes in parts, at each alignment."""
 
-    def __init__(self, kinds: set[int], chunk: int, around: tuple[bytes, ...]):
-        self.ways = [[skip, "", _Bytes(kinds, chunk, around, True)] for skip in range(4)]
+    def __init__(self, kinds: set[int], chunk: int, around: tuple[_Origin, ...], now: _Pass):
+        self.ways = [[skip, "", _Bytes(kinds, chunk, around, now, True)] for skip in range(4)]
 
     def feed(self, run: str) -> None:
         for way in self.ways:
@@ -268,8 +321,8 @@ class _Run:
 class _Text:
     """Text that comes in parts. Of finds only their kinds count, so the last characters are all that has to be carried."""
 
-    def __init__(self, kinds: set[int], chunk: int, around: tuple[bytes, ...]):
-        self.kinds, self.chunk, self.around = kinds, chunk, around
+    def __init__(self, kinds: set[int], chunk: int, around: tuple[_Origin, ...], now: _Pass):
+        self.kinds, self.chunk, self.around, self.now = kinds, chunk, around, now
         self.tail = self.held = ""
         self.run: _Run | None = None
         self.children: list[_Text | None] = [None, None]
@@ -285,8 +338,8 @@ class _Text:
         self.kinds.update(kind for _, kind, _ in find(both))
         for k, (sign, pattern, decoded) in enumerate((("%", PERCENT, _percent_decoded), ("\\", ESCAPE, _unicode_decoded))):
             if self.children[k] is None and sign in text and pattern.search(text):
-                child = self.children[k] = _Text(self.kinds, self.chunk, self.around)
-                child.tail, child.run = self.tail, copy.deepcopy(self.run, {id(self.kinds): self.kinds})
+                child = self.children[k] = _Text(self.kinds, self.chunk, self.around, self.now)
+                child.tail, child.run = self.tail, copy.deepcopy(self.run, {id(x): x for x in (self.kinds, *self.around)})
             if self.children[k] is not None:
                 self.children[k].feed(pattern.sub(decoded, text))
         self._runs(text)
@@ -304,7 +357,7 @@ class _Text:
         for m in PART.finditer(text, at):
             run = _bare(m[0])
             if m.end() == len(text) or len(run) >= 16:
-                self.run = _Run(self.kinds, self.chunk, self.around)
+                self.run = _Run(self.kinds, self.chunk, self.around, self.now)
                 self.run.feed(run)
                 if m.end() < len(text):
                     self.run.close()
@@ -334,16 +387,22 @@ def _unicode_decoded(m: re.Match) -> str:
 
 def _kinds_inflated(data: memoryview, sure: int, chunk: int, raw: bool = False) -> set[int]:
     """The kinds found in what data inflate to, at any depth, with some chunks in memory at once."""
-    kinds: set[int] = set()
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, 1_000_000))  # layers in layers; only Python frames, which are not on the C stack
+    cleared: frozenset[tuple[int, ...]] = frozenset()
     try:
-        stream = _Inflating(kinds, sure, chunk, (), raw)
-        stream.feed(data)
-        stream.close()
+        while True:
+            kinds: set[int] = set()
+            now = _Pass(cleared)
+            stream = _Inflating(kinds, sure, chunk, (), now, raw)
+            stream.feed(data)
+            stream.close()
+            differ = frozenset(held.path for held, twins in now.held if held not in twins)
+            if differ <= cleared:
+                return kinds
+            cleared |= differ
     finally:
         sys.setrecursionlimit(limit)
-    return kinds
 
 
 def _characters(data: bytes) -> tuple[str, np.ndarray]:

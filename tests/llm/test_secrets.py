@@ -154,3 +154,76 @@ def test_random_nests():
         inside = [(i, x, j) for i, x, j in every if x == kind and 8 <= i < j <= 8 + len(whole)]
         assert inside, (names, text[:200])
         assert set(base) <= set(every)
+
+
+def stored(data):
+    """gzip without compression, so that what it inflates to can begin as it does."""
+    return gzip.compress(data, 0, mtime=0)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5])
+def test_streams_that_begin_alike(depth):
+    """Streams within streams that share their first 100,000 bytes, but are not the same, are read."""
+    same = random.Random(3).randbytes(100_000)
+    layers = [zlib.compressobj(0, zlib.DEFLATED, 31)]
+    data = gzip.compress(SECRET.encode(), mtime=0)
+    head = gzip.compress(same, mtime=0)
+    for _ in range(depth):
+        data = head + gzip.compress(b"x" + data, mtime=0)
+        data = gzip.compress(same + data, mtime=0)
+    del layers
+    assert 0 in [k for _, k, _ in sc.scan("Cover: " + b64(data))[1]]
+
+
+def test_prefix_of_the_stream_around_it():
+    """The inner stream begins with the very bytes of the outer one."""
+    def wrap(body):
+        return b"\x1f\x8b\x08\x00" + bytes(6) + deflated(body) + zlib.crc32(body).to_bytes(4, "little") + (len(body) & 0xFFFFFFFF).to_bytes(4, "little")
+
+    def deflated(body):  # stored blocks of a fixed length
+        out = b""
+        for i in range(0, len(body), 60_000):
+            part = body[i : i + 60_000]
+            out += bytes([i + 60_000 >= len(body)]) + len(part).to_bytes(2, "little") + (len(part) ^ 0xFFFF).to_bytes(2, "little") + part
+        return out
+
+    noise = random.Random(4).randbytes(120_000)
+    inner = wrap(noise + SECRET.encode())
+    outer = wrap(noise[:60_000] + noise[60_000:] + inner)
+    assert inner[:4096] == outer[:4096] and inner != outer
+    assert 0 in [k for _, k, _ in sc.scan("Cover: " + b64(outer))[1]]
+
+
+def plain_spans(text):
+    """A plain recursive decoder of whole layers, without chunks, for texts of few layers: the kinds of all finds."""
+    kinds, seen, work = set(), set(), [text]
+    while work:
+        t = work.pop()
+        if t in seen or len(seen) > 3000:
+            continue
+        seen.add(t)
+        kinds |= {k for _, k, _ in sc.find(t, t.encode("utf-8", "surrogatepass"))}
+        work.append(re.sub(r"(?:%[0-9A-Fa-f]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"), t))
+        work.append(re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)) if not 0xD800 <= int(m[1], 16) < 0xE000 else "\ufffd", t))
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", t):
+            run = m[0].replace("-", "+").replace("_", "/")
+            for skip in range(4):
+                body = run[skip:]
+                data = base64.b64decode(body[: len(body) // 4 * 4])
+                rests = [data]
+                for at in range(len(data) - 3):
+                    if data[at : at + 3] == b"\x1f\x8b\x08" or (data[at] & 15 == 8 and (data[at] << 8 | data[at + 1]) % 31 == 0):
+                        try:
+                            rests.append(zlib.decompressobj(47).decompress(data[at:]))
+                        except zlib.error:
+                            pass
+                work += [r.decode("utf-8", "replace") for r in rests if r]
+    return kinds
+
+
+def test_against_a_plain_decoder(spark, sf):
+    """Every document of the table: the kinds that a plain decoder finds are those of the spans."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in sc.op8_secrets(spark, sf).collect():
+        kinds = {sc.KINDS.index(x.split(":")[0]) for x in r.spans.split(",") if x}
+        assert plain_spans(texts[r.doc_id]) <= kinds, r.doc_id
