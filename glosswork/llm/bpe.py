@@ -80,6 +80,70 @@ class Codec:
         """The ids of a text without special tokens."""
         return self._with_long_pieces(text) if len(text) * 4 > self.long_bytes and self._unsplit(text) else self.tree(text)
 
+    def _unsplit(self, text: str) -> bool:
+        """Whether a piece may be longer than long_bytes: a character has four bytes at most."""
+        least = self.long_bytes // 4
+        return max(map(len, text.split()), default=0) >= least or self.run.search(text) is not None
+
+    def _with_long_pieces(self, text: str) -> list[int]:
+        out: list[int] = []
+        done, blank = 0, []  # where the open part begins, and its last pieces if they are blank
+        for m in self.pattern.finditer(text):
+            piece = m[0]
+            if len(piece) * 4 > self.long_bytes and len(data := piece.encode()) > self.long_bytes:
+                # Blanks before the piece were cut with it in sight, so they are not cut again without it.
+                out += self.tree(text[done : m.start() - sum(map(len, blank))])
+                for b in blank:
+                    out += self.core._encode_single_piece(b.encode())
+                out += self.piece_tree(data)
+                done, blank = m.end(), []
+            else:
+                blank = [*blank, piece] if piece.isspace() else []
+        return out + self.tree(text[done:])
+
+    def _map(self, f, items: list, pool: ThreadPoolExecutor | None) -> list:
+        return list(map(f, items) if pool is None else pool.map(f, items))
+
+    def tree(self, text: str) -> list[int]:
+        """The ids of a text without special tokens: leaves, then joins, level by level."""
+        n = 1
+        while len(text) > n * self.leaf_chars:
+            n *= 2
+        if n == 1:
+            return self.core.encode_ordinary(text)
+        bounds = [len(text) * i // n for i in range(n + 1)]
+        with ThreadPoolExecutor(self.threads) if n >= PARALLEL else nullcontext() as pool:
+            parts = self._map(lambda i: self.core.encode_ordinary(text[bounds[i] : bounds[i + 1]]), range(n), pool)
+            while len(parts) > 1:
+                half = [(text, bounds[i], bounds[i + 1], bounds[i + 2], parts[i], parts[i + 1]) for i in range(0, len(parts), 2)]
+                parts, bounds = self._map(lambda x: self.join(*x), half, pool), bounds[::2]
+        return parts[0]
+
+    def join(self, text: str, start: int, cut: int, end: int, left: list[int], right: list[int]) -> list[int]:
+        """The ids of text[start:end] from those of its parts before and after cut."""
+        w = 8
+        while True:
+            a, b = _sure(text, start, cut - w, -1), _sure(text, cut + w, end, 1)
+            again = self.core.encode_ordinary(text[a:b])
+            k = len(left) - self._tokens(reversed(left), text[a:cut])
+            m = self._tokens(right, text[cut:b])
+            if (a == start or again[0] == left[k]) and (b == end or again[-1] == right[m - 1]):
+                return left[:k] + again + right[m:]
+            w *= 2
+
+    def _tokens(self, ids: Iterable[int], text: str) -> int:
+        """How many of the ids, from the first on, make up a text of which they hold the cut at its end."""
+        left, n = len(text.encode()), 0
+        for i in ids:
+            if left <= 0:
+                break
+            left -= self.sizes[i]
+            n += 1
+        return n
+
+    def decode(self, ids: list[int]) -> str:
+        return self.core.decode_bytes(ids).decode("utf-8", errors="replace")
+
     def piece_tree(self, data: bytes) -> list[int]:
         """The ids of one piece."""
         n = max(1, -(-len(data) // self.leaf_bytes))

@@ -119,7 +119,9 @@ def written(df: DataFrame) -> DataFrame:
         df.write.saveAsTable(name, format="parquet")
     finally:
         spark.conf.set(RELEASE, before)
-    return spark.table(name)
+    table = spark.table(name)
+    table.scratch_name = name
+    return table
 
 
 def _dropped(tables: list[tuple[SparkSession, str]]) -> None:
@@ -146,10 +148,11 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         _dropped(_tables.pop())
 
 
-def cleared() -> None:
-    """Drops all tables that are written and not in an open `scratch`: call it once the rows made of them have been saved."""
-    _dropped(_tables[0])
-    _tables[0].clear()
+def cleared(*keep: DataFrame) -> None:
+    """Drops all tables that were written and are not in an open `scratch`, but for those given: call it once the rows made of them have been saved."""
+    names = {getattr(df, "scratch_name", None) for df in keep}
+    _dropped([x for x in _tables[0] if x[1] not in names])
+    _tables[0][:] = [x for x in _tables[0] if x[1] in names]
 
 
 def shared_dir(spark: SparkSession) -> str:
