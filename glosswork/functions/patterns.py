@@ -29,9 +29,10 @@ NEGATIVE = (
     (r"\b(this|these|it|they|such)\b", -1),
     (r"\b(related work|in this section|the rest of the paper|as shown in)\b", -4),
     (r"\[[0-9,\-\s]+\]", -2),
-    (r"\([^)]*[0-9]{4}[^)]*\)", -2),
+    (r"\([^)]*\d{4}[^)]*\)", -2),
     (r"\bdoi\b|https?:\/\/", -4),
 )
+# Fixed: reasons and their patterns, in the order of their tests.
 REASONS = (
     ("result", r"\b(result|results|finding|findings|outperform|improv(?:e|es|ed)|accuracy|f1|precision|recall|auc|bleu|rouge|significant|increase|decrease|gain|achiev(?:e|es|ed)|yield(?:s|ed)?)\b"),
     ("method", r"\b(method|approach|architecture|model|dataset|training|fine-tun|pretrain|benchmark|pipeline|framework|protocol|setup|procedure|algorithm)\b"),
@@ -40,21 +41,23 @@ REASONS = (
     ("background", r"\b(problem|challenge|gap|motivat(?:e|es|ion)|prior work|previous work|related work|background|existing work|little is known)\b"),
 )
 SECTION_REASONS = {"results": "result", "methods": "method", "discussion": "caveat", "abstract": "claim", "conclusion": "claim"}
+# Fixed: patterns of citations, pronouns, numbers, captions and references, and characters at which text is cut.
 CITATION_SQUARE = r"\[[0-9,\-\s]+\]"
-CITATION_YEAR = r"\([^)]*[0-9]{4}[^)]*\)"
+CITATION_YEAR = r"\([^)]*\d{4}[^)]*\)"
 PRONOUNS = r"\b(this|these|it|they|such|former|latter)\b"
-NUMERIC = r"\b[0-9]+(?:\.[0-9]+)?(?:\s?%|\s?(?:x|times|fold|ms|s|sec|seconds|minutes|hours|k|m|b))?\b"
+NUMERIC = r"\b\d+(?:\.\d+)?(?:\s?%|\s?(?:x|times|fold|ms|s|sec|seconds|minutes|hours|k|m|b))?\b"
 FIRST_PERSON = r"^\s*(we|our)\b"
 CAPTION = r"^(figure|table|equation|appendix)\b"
 REFERENCE_HEADING = "^(references|bibliography|works cited|参考文献|參考文獻|参考資料|參考資料|文献|文獻)$"
 REFERENCE_ENTRY = r"^\s*(\[[0-9]+\]|[\p{Lu}\p{L}][\p{L}'`-]+,\s+[\p{Lu}]\.|[\p{Lu}\p{L}][\p{L}'`-]+\s+et al\.)"
-REFERENCE_PAGES = r"\b(pp?\.?\s*[0-9]+|vol\.?\s*[0-9]+|no\.?\s*[0-9]+)\b"
+REFERENCE_PAGES = r"\b(pp?\.?\s*\d+|vol\.?\s*\d+|no\.?\s*\d+)\b"
 SENTENCE_START = "\\p{L}\\p{N}(\\[{\"'“”‘’「『（【《"
 ASCII_END, CJK_END = ".!?", "。！？；："
 SPLIT_MARKS = ";:；：,，、"
 SPLIT_CONNECTORS = r"(?:,\s+(?:but|while|whereas|however|therefore)|，(?:但|而|并且|同時|同时|然而|因此)|、(?:しかし|そして|また))"
 HEADING_LINE = r"^[\p{L}\p{N}\s()\-–—/:：&+,，、]+$"
 HEADING_PREFIX = r"^[\p{N}\s.．、,，:：()（）\[\]【】-]+"
+# Fixed: terms by kind of section, in the order of their tests.
 SECTION_TERMS = (
     ("abstract", ("abstract", "summary", "摘要", "要旨", "초록", "요약")),
     ("introduction", ("introduction", "background", "引言", "绪论", "緒論", "背景", "서론", "소개")),
@@ -65,12 +68,16 @@ SECTION_TERMS = (
     ("conclusion", ("conclusion", "conclusions", "结论", "結論", "まとめ", "결론")),
     ("references", ("reference", "references", "bibliography", "works cited", "参考文献", "參考文獻", "参考資料", "參考資料", "文献", "文獻")),
 )
-STOPWORDS = tuple(
-    """a an and are as at be been being by for from had has have in into is it its of on or that the their there these this those to was
-    were with we our you your they them he she his her than then which while where when what how can could should would may might must
-    will also using used use based paper study results method methods approach model models data task tasks show shows shown find finds
-    found propose present introduce new via over under between within across after before during through more most less many much other
-    such each both all any some few do does did not no yes if but however because due thus therefore toward towards per""".split()
+# Fixed: words that are no terms.
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "been", "being", "by", "for", "from", "had", "has", "have", "in", "into", "is", "it",
+    "its", "of", "on", "or", "that", "the", "their", "there", "these", "this", "those", "to", "was", "were", "with", "we", "our", "you",
+    "your", "they", "them", "he", "she", "his", "her", "than", "then", "which", "while", "where", "when", "what", "how", "can", "could",
+    "should", "would", "may", "might", "must", "will", "also", "using", "used", "use", "based", "paper", "study", "results", "method",
+    "methods", "approach", "model", "models", "data", "task", "tasks", "show", "shows", "shown", "find", "finds", "found", "propose",
+    "present", "introduce", "new", "via", "over", "under", "between", "within", "across", "after", "before", "during", "through",
+    "more", "most", "less", "many", "much", "other", "than", "such", "each", "both", "all", "any", "some", "few", "do", "does", "did",
+    "not", "no", "yes", "if", "but", "however", "because", "due", "than", "thus", "therefore", "toward", "towards", "per",
 )
 
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"

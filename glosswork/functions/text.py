@@ -122,17 +122,22 @@ def trimmed_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*kept, "text", begin.cast("int").alias("start"), (begin + F.length("text")).cast("int").alias("end"))
 
 
-def prefix_sums(numbers: Column) -> Column:
-    """For each element of an array of integers the sum of those before it, in doubling steps; an array has up to 2**24 elements."""
+def prefix_sums(numbers: Column, steps: int = 24) -> Column:
+    """For each element of an array of integers the sum of those before it, in doubling steps; more than 2**24 elements are an error."""
+
+    most = 1 << steps
 
     def step(d: int):
         def add(v: Column) -> Column:
-            return F.when(F.size(v) > d, F.transform(v, lambda x, i: x + F.when(i >= d, F.get(v, i - d)).otherwise(0))).otherwise(v)
+            summed = F.transform(v, lambda x, i: x + F.when(i >= d, F.get(v, i - d)).otherwise(0))
+            if d == 1:
+                return F.when(F.size(v) > most, F.raise_error(F.lit(f"prefix_sums takes up to {most} elements"))).when(F.size(v) > d, summed).otherwise(v)
+            return F.when(F.size(v) > d, summed).otherwise(v)
 
         return add
 
     out = F.concat(F.array(F.lit(0)), F.slice(numbers, F.lit(1), F.greatest(F.size(numbers) - 1, F.lit(0))))
-    for k in range(24):
+    for k in range(steps):
         out = F.get(F.transform(F.array(out), step(1 << k)), 0)
     return out
 

@@ -261,21 +261,3 @@ def substring_starts(text: Column, part: Column, low: Column, high: Column, most
 
     return run(text, part, low, high)
 
-
-def occurrences(pages: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of pages (doc_id, page_index, text) and of items (item_id, s) where s occurs in the text.
-
-    A passage of three and more words meets pages by its longest inner word, which stands in them as a whole: only page
-    and word go into that join, and texts are fetched for the pages found. Shorter passages may begin and end
-    within words; they are held against every page.
-    """
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    own = items.withColumn("words", words(F.col("s")))
-    inner = F.array_sort(F.slice("words", F.lit(2), F.size("words") - 2), lambda a, b: F.length(b) - F.length(a))
-    keyed = own.filter(F.size("words") > 2).select("item_id", F.get(inner, F.lit(0)).alias("key"))
-    found = pages.select("doc_id", "page_index", F.explode(F.array_distinct(words(F.col("text")))).alias("key")).join(keyed, "key").select("doc_id", "page_index", "item_id")
-    long = pages.join(found, ["doc_id", "page_index"]).join(items, "item_id").filter(F.contains("text", F.col("s")))
-    short = own.filter(F.size("words") <= 2).select("item_id", "s")
-    near = pages.join(short, F.contains(pages["text"], F.col("s")))
-    columns = [*pages.columns, *[c for c in items.columns if c not in pages.columns]]
-    return long.select(*columns).unionByName(near.select(*columns))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from glosswork.functions import patterns as P
 from glosswork.functions import text as X
 
-#: Marks of cuts and of a line break that belongs to no range; noncharacters, which no text holds.
+#: Marks of cuts and of a line break that belongs to no range; noncharacters, which in a text count as U+FFFD.
 CUT, DROP = "﷐", "﷑"
 LEAST = 16
 _S, _START = P.SPACE, f"[{P.SENTENCE_START}]"
@@ -24,6 +24,7 @@ BOUNDARY = rf"(?<=[{P.ASCII_END}])(?={_S}+{_START}|{_S}*\z)|(?<=[{P.CJK_END}])(?
 
 
 def _pieces(text: Column) -> Column:
+    text = F.when(F.contains(text, F.lit(CUT)) | F.contains(text, F.lit(DROP)), F.translate(text, CUT + DROP, "\ufffd\ufffd")).otherwise(text)
     marked = F.regexp_replace(text, BOUNDARY, CUT)
     marked = F.regexp_replace(marked, rf"\n(?={CUT}?\n)", CUT + DROP)
     return F.split(marked, CUT, -1)

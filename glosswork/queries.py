@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from glosswork import config, oracle
 from glosswork.functions import scoring as S
 from glosswork.functions import text as X
-from glosswork.operators import align, annotations, geometry, lexical, neural, prefs, rank, responses, segment, select
+from glosswork.operators import align, annotations, geometry, lexical, neural, passages, prefs, rank, responses, segment, select
 from glosswork.operators import candidates as C
 from glosswork.plans import highlights as H
-from glosswork.session import kept
+from glosswork.session import kept, shared_folder
+from glosswork.sources import keyed
 from glosswork.sources import pages as G
+from glosswork.streaming import inflight
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -271,12 +273,45 @@ SELECT doc_id, page_index, item_id, CAST(instr(text, s) - 1 AS INTEGER) AS start
 def exact_alignment(spark, sf_dir):
     """Benchmark passages found in pages, with 180 characters of context on either side."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("s"))
-    rows = align.occurrences(_pages(spark, sf_dir), items)
+    rows = passages.occurrences(_pages(spark, sf_dir), items)
     start = F.position(F.col("s"), F.col("text")) - 1
     before, after = align.context(F.col("text"), start, start + F.length("s"))
     return rows.select("doc_id", "page_index", "item_id", start.cast("int").alias("start"), (start + F.length("s")).cast("int").alias("end"), before.alias("before"), after.alias("after"))
 
 
+def changed_passages(spark, sf_dir):
+    """Benchmark passages with doubled blanks and, two in three, with other words put in their middle."""
+    middle = F.floor(F.length("text") / 2).cast("int")
+    spaced = F.replace("text", F.lit(" "), F.lit("  "))
+    changed = F.concat(F.substr(F.col("text"), F.lit(1), middle), F.lit(" @@ "), F.substr(F.col("text"), middle + 1))
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.when(F.col("item_id") % 3 == 0, spaced).otherwise(changed).alias("s"))
+
+
+@query()
+def passage_alignment(spark, sf_dir):
+    """Changed benchmark passages found among all pages of documents, and where."""
+    return passages.aligned(_pages(spark, sf_dir), changed_passages(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT event_id, ts, CAST(user_id AS VARCHAR) AS request_key, coalesce(event_type IN ('purchase', 'error'), false) AS done FROM events), l AS (
+  SELECT *, lag(ts) OVER w AS before, lag(done) OVER w AS ended FROM e WINDOW w AS (PARTITION BY request_key ORDER BY ts, event_id))
+SELECT event_id, request_key, ts FROM l WHERE NOT done AND (before IS NULL OR ended OR epoch_us(ts) - epoch_us(before) > 3600000000::BIGINT * 6)""")
+def requests_in_flight(spark, sf_dir):
+    """Events of users as requests, which purchases and errors complete; six hours of silence free a user."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return inflight.taken_up(events, F.col("user_id"), F.col("ts"), F.col("event_id"), F.col("event_type").isin("purchase", "error"), 6 * 3_600_000)
+
+
+@query("""SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'again' ELSE 'first' END AS comment, CASE WHEN event_id % 3 = 0 THEN -value ELSE value END AS value FROM events""")
+def keyed_sink(spark, sf_dir):
+    """Events written to a keyed table, a third of them once more, and read back."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.lit("first").alias("comment"), "value")
+    path = shared_folder(spark, "keyed")
+    keyed.replace(events, path)
+    keyed.replace(events.filter("event_id % 3 = 0").withColumns({"comment": F.lit("again"), "value": -F.col("value")}), path)
+    return keyed.read(spark, path, ["event_id"], "event_id long, user_id long, comment string, value double")
+
+
 @query()
 def fuzzy_alignment(spark, sf_dir):
     """Benchmark passages with doubled blanks and a changed middle, aligned with their own clean text by normal form or anchors."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glosswork import config
 from glosswork import queries as engine
 from glosswork.functions import patterns as P
-from glosswork.operators import align, rank, responses, segment
+from glosswork.operators import passages, rank, responses, segment
 from glosswork.plans import highlights as H
 from glosswork.sources import pages as G
 from glosswork.streaming.documents import highlight_stream, requests_once
@@ -156,7 +156,7 @@ def test_passages_of_any_length(spark):
     parts = ["quick", "k brown", "ick brown fo", "x y", "the quick brown fox jumps", "a  b", "b c", "zzz", "y"]
     pages = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, page_index int, text string")
     items = spark.createDataFrame(list(enumerate(parts)), "item_id long, s string")
-    got = sorted((r.doc_id, r.item_id) for r in align.occurrences(pages, items).collect())
+    got = sorted((r.doc_id, r.item_id) for r in passages.occurrences(pages, items).collect())
     assert got == sorted((i, k) for i, t in enumerate(texts) for k, p in enumerate(parts) if p in t)
 
 

@@ -179,3 +179,40 @@ def test_sources(spark, tmp_path):
     assert column(spark, [good, good.replace('"1"', "1"), "{", good[:-1] + ',"pluginMinVersion":""}'], lambda c: c) and [r.valid for r in G.manifests(frame(spark, [good, good.replace('"1"', "1"), "{", good[:-1] + ',"pluginMinVersion":""}']), "text").orderBy("id").collect()] == [True, False, False, False]
     items = spark.createDataFrame([(1, 0, 0, "ab", [1.0, 0.0, 0.0, 10.0, 5.0, 100.0], 8.0, 0.0), (1, 1, 0, "x", [1.0, 0.0], 8.0, 1.0), (1, 1, 1, "y", [1.0, 0.0, 0.0, 10.0, 5.0, 100.0], 8.0, 4.0)], "doc_id long, page_index int, item_index int, str string, transform array<double>, width double, height double")
     assert [(r.char, r.rect) for r in G.item_positions(items).orderBy("unit").collect()] == [("a", [5, 97.5, 9, 107.5]), ("b", [9, 97.5, 13, 107.5])]
+
+
+def test_marks_in_texts_keep_offsets(spark):
+    """The characters that mark cuts count as U+FFFD, one for one, so offsets stay right."""
+    from glosswork.operators import segment
+
+    text = "Abc \ufdd0def one. Two \ufdd1\ufdd1three.\n\nFour. \ufdd0"
+    rows = segment.ranges(spark.createDataFrame([(1, 0, text)], "doc_id long, page_index int, text string")).orderBy("start").collect()
+    clean = text.replace("\ufdd0", "\ufffd").replace("\ufdd1", "\ufffd")
+    plain = segment.ranges(spark.createDataFrame([(1, 0, clean)], "doc_id long, page_index int, text string")).orderBy("start").collect()
+    assert rows == plain and rows[0].piece == clean[rows[0].start : rows[0].end] == "Abc \ufffddef one."
+
+
+def test_prefix_sums_beyond_their_size(spark):
+    """An array that the steps do not reach across is an error, not a wrong sum."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    from glosswork.functions.text import prefix_sums
+
+    rows = spark.range(1).select(F.sequence(F.lit(1), F.lit(17)).alias("x"))
+    assert rows.select(prefix_sums(F.slice("x", 1, 16), 4).alias("s")).first().s == [k * (k + 1) // 2 for k in range(16)]
+    with pytest.raises(Exception, match="up to 16"):
+        rows.select(prefix_sums(F.col("x"), 4)).collect()
+
+
+def test_constants():
+    """Fixed values, written out once more."""
+    from glosswork import config
+    from glosswork.functions import patterns as P
+
+    assert [s for _, s in P.POSITIVE] == [4, 4, 3, 3, 2, 2, 2, 2] and [s for _, s in P.NEGATIVE] == [-5, -2, -1, -4, -2, -2, -4]
+    assert [k for k, _ in P.SECTION_TERMS] == ["abstract", "introduction", "related-work", "methods", "results", "discussion", "conclusion", "references"]
+    assert [len(t) for _, t in P.SECTION_TERMS] == [6, 8, 7, 11, 12, 12, 6, 10]
+    assert [k for k, _ in P.REASONS] == ["result", "method", "caveat", "claim", "background"]
+    assert len(P.STOPWORDS) == 127 and len(set(P.STOPWORDS)) == 125
+    assert {n: config.density(n) for n in ("balanced", "dense", "sparse")}
