@@ -18,7 +18,7 @@ from glosswork.operators import align, annotations, geometry, lexical, neural, p
 from glosswork.operators import candidates as C
 from glosswork.plans import highlights as H
 from glosswork.session import kept, shared_folder
-from glosswork.sources import keyed
+from glosswork.sources import glyphs, keyed
 from glosswork.sources import pages as G
 from glosswork.streaming import inflight
 
@@ -312,6 +312,38 @@ def keyed_sink(spark, sf_dir):
     return keyed.read(spark, path, ["event_id"], "event_id long, user_id long, comment string, value double")
 
 
+@query(f"""WITH {oracle.PAGES}, cut AS (
+  SELECT doc_id, page_index, (doc_id + page_index) % 16 AS r, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k, len(string_split(text, chr(10))) AS m FROM pages), p AS (
+  SELECT doc_id, page_index, r, text, CAST(sum(10 * k * length(line)) AS BIGINT) AS top, coalesce(string_agg(line || CASE WHEN k < m - 1 THEN chr(10) ELSE '' END, '' ORDER BY k) FILTER (line <> ''), '') AS own,
+    CAST(sum((10 * k - 1) * length(line)) AS BIGINT) AS low FROM cut GROUP BY ALL), f AS (
+  SELECT doc_id, page_index, CASE WHEN r < 7 AND text <> '' THEN 'cached' WHEN r < 7 OR (r < 14 AND text <> '') THEN 'page_data' WHEN r = 14 AND own <> '' THEN 'text' END AS source,
+    CASE WHEN r < 7 AND text = '' THEN 'x' WHEN r < 14 THEN text WHEN r = 14 THEN own ELSE '' END AS t, CASE WHEN r < 14 THEN top WHEN r = 14 THEN low ELSE 0 END AS top FROM p)
+SELECT doc_id, page_index, source, CAST(length(t) AS INTEGER) AS n_units, sha256(t) AS text_sha256, CAST(top AS BIGINT) AS top FROM f""")
+def page_glyph_layers(spark, sf_dir):
+    """Pages of documents, dumped as glyphs of a line each into three layers that lack some, hold empty or unusable ones or know a page twice, and read through them."""
+    pages = _pages(spark, sf_dir).withColumns({"r": (F.col("doc_id") + F.col("page_index")) % 16, "lines": F.split("text", "\n", -1)})
+    box = lambda line, k: F.array(F.lit(0.0), 10.0 * k, F.length(line).cast("double"), 10.0 * k + 8)
+    more = lambda k: k < F.size("lines") - 1
+    glyph = lambda line, k: F.struct(*[(F.lit(None) if v is None else v).cast(t).alias(n) for n, v, t in (
+        ("c", None, "string"), ("u", line, "string"), ("rect", box(line, k), "array<double>"), ("inline_rect", None, "array<double>"), ("rotation", None, "int"),
+        ("space_after", None, "boolean"), ("line_break_after", more(k), "boolean"), ("paragraph_break_after", None, "boolean"))])
+    place = "array<struct<transform:array<double>,width:double>>"
+    item = lambda line, k: F.struct(
+        line.alias("str"), F.array(*map(F.lit, (1.0, 0.0, 0.0, 1.0, 0.0)), 10.0 * k).alias("transform"), F.length(line).cast("double").alias("width"), F.lit(4.0).alias("height"), more(k).alias("has_eol"),
+        F.when(F.col("r") == 14, F.array_repeat(F.struct(F.lit(None).cast("array<double>").alias("transform"), F.lit(None).cast("double").alias("width")), F.length(line)).cast(place)).alias("chars"))
+    lined = F.transform("lines", glyph)
+    other = F.array(glyph(F.lit("x"), F.lit(0))).getItem(0)
+    root = shared_folder(spark, "glyphs")
+    glyphs.write_layer(pages.filter("r < 14").withColumn("chars", F.when(F.col("r") < 7, lined).otherwise(F.slice(lined, 1, 0))), f"{root}/cached", "chars")
+    single = F.array(F.struct(*[(F.lit(False) if n == "line_break_after" else other[n]).alias(n) for n in ("c", "u", "rect", "inline_rect", "rotation", "space_after", "line_break_after", "paragraph_break_after")]))
+    glyphs.write_layer(pages.filter("r < 14").withColumn("chars", F.when(F.col("r") < 7, single).otherwise(lined)), f"{root}/page_data", "chars")
+    glyphs.write_layer(pages.filter("r >= 14").withColumn("items", F.transform("lines", item)), f"{root}/text", "items")
+    glyphs.write_catalogue(spark, root)
+    found = glyphs.page_glyphs(pages, root)
+    return found.select("doc_id", "page_index", "source", F.size("units").alias("n_units"), F.sha2(F.array_join("units.char", "").cast("binary"), 256).alias("text_sha256"),
+                        F.aggregate("units.rect", F.lit(0.0), lambda s, x: s + x[1]).cast("long").alias("top"))
+
+
 @query()
 def fuzzy_alignment(spark, sf_dir):
     """Benchmark passages with doubled blanks and a changed middle, aligned with their own clean text by normal form or anchors."""
