@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from glosswork import config, oracle
 from glosswork.functions import scoring as S
 from glosswork.functions import text as X
-from glosswork.operators import align, annotations, geometry, lexical, neural, passages, prefs, rank, responses, segment, select
+from glosswork.operators import align, annotations, geometry, inference, lexical, neural, passages, prefs, rank, responses, segment, select
 from glosswork.operators import candidates as C
 from glosswork.plans import highlights as H
 from glosswork.session import kept, shared_folder
@@ -344,6 +344,61 @@ def page_glyph_layers(spark, sf_dir):
                         F.aggregate("units.rect", F.lit(0.0), lambda s, x: s + x[1]).cast("long").alias("top"))
 
 
+@query(f"""WITH {oracle.PAGES} SELECT doc_id, page_index, CASE WHEN length(text) % 97 = 1 THEN NULL ELSE (length(text) + 3 * (length(text) - length(replace(text, ' ', '')))) / 64.0::DOUBLE + doc_id % 10 END AS score FROM pages""")
+def batched_scores(spark, sf_dir):
+    """Pages scored against a query of their document by a model in batches; some pages make it fail, and their batches are asked pair by pair."""
+
+    def load():
+        import numpy as np
+
+        def model(queries: list[str], texts: list[str]) -> list[float]:
+            size = np.array([len(t) for t in texts])
+            if (size % 97 == 1).any():
+                raise ValueError("a text of that length")
+            return list((size + 3 * np.array([t.count(" ") for t in texts])) / 64.0 + np.array([int(q) for q in queries]))
+
+        return model
+
+    pairs = _pages(spark, sf_dir).withColumn("query", (F.col("doc_id") % 10).cast("string"))
+    return inference.scored_pairs(pairs, load, ["doc_id", "page_index"]).select("doc_id", "page_index", "score")
+
+
+@query(f"""{oracle.ranked("bm25")}, listed AS (
+  SELECT doc_id, id, rank, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC) - 1 AS back FROM shortlist WHERE rank <= 150), asked AS (
+  SELECT DISTINCT doc_id, [3, 1, 2, 1, 1][doc_id % 5 + 1] AS calls, ['exhausted', 'refused', 'ok', 'ok', 'ok'][doc_id % 5 + 1] AS status FROM listed), mixed AS (
+  SELECT doc_id, id, CAST(back AS INTEGER) AS rank, 'external' AS backend FROM listed WHERE back < 5 AND doc_id % 5 IN (2, 4)
+  UNION ALL SELECT doc_id, id, CAST(rank AS INTEGER), 'local' FROM ordered WHERE doc_id % 5 NOT IN (2, 4))
+SELECT doc_id, id, rank, backend, status, CAST(calls AS INTEGER) AS calls FROM mixed JOIN asked USING (doc_id)""")
+def service_ranking(spark, sf_dir):
+    """Shortlists ranked by a service that fails for some documents, for good, at first or by an answer without JSON; the local ranking stands in. The service here names the last five candidates."""
+
+    def connect():
+        import json
+        import re
+
+        tried: set[int] = set()
+
+        def client(prompt: str, seconds: float) -> tuple[int, str]:
+            doc = int(re.search(r"paper_title: Paper (\d+)", prompt)[1])
+            if doc % 5 < 2:
+                return (500, 404)[doc % 5], "no"
+            if doc % 5 == 2 and doc not in tried:
+                tried.add(doc)
+                return 429, "later"
+            tried.discard(doc)
+            names = [line.split(" | ", 1)[0] for line in prompt.split("\n") if " | page=" in line]
+            content = "Nothing to say." if doc % 5 == 3 else "Here: " + json.dumps({"selections": [{"id": n, "reason": "result"} for n in names[:-6:-1]]})
+            return 200, json.dumps({"choices": [{"message": {"content": content}}]})
+
+        return client
+
+    _, short, queries, _ = H.prepare(_pages(spark, sf_dir))
+    titles = short.select("doc_id").distinct().select("doc_id", F.concat(F.lit("Paper "), F.col("doc_id").cast("string")).alias("title"))
+    policy = inference.Policy(sleep=lambda pause: None)
+    rows = inference.ranked_by_service(short, rank.rank_documents(short, queries), connect, api_key="k", titles=titles, policy=policy)
+    return rows.select("doc_id", "id", F.col("rank").cast("int").alias("rank"), "backend", "status", "calls")
+
+
 @query()
 def fuzzy_alignment(spark, sf_dir):
     """Benchmark passages with doubled blanks and a changed middle, aligned with their own clean text by normal form or anchors."""
