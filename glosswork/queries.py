@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from glosswork import config, oracle
 from glosswork.functions import scoring as S
 from glosswork.functions import text as X
-from glosswork.operators import align, annotations, geometry, inference, lexical, neural, passages, prefs, rank, responses, segment, select
+from glosswork.operators import align, annotations, geometry, inference, lexical, neural, overlap, passages, prefs, rank, responses, segment, select
 from glosswork.operators import candidates as C
 from glosswork.plans import highlights as H
 from glosswork.session import kept, shared_folder
@@ -399,6 +399,36 @@ def service_ranking(spark, sf_dir):
     return rows.select("doc_id", "id", F.col("rank").cast("int").alias("rank"), "backend", "status", "calls")
 
 
+@query("""WITH b AS (SELECT event_id, user_id % 50 AS page, event_id * 37 % 600 AS x, event_id * 91 % 800 AS y, event_id FROM events), s AS (
+  SELECT event_id AS sel, page, x - 3 AS x1, y - 2 AS y1, x + 9 + event_id % 40 AS x2, y + 8 AS y2 FROM b WHERE event_id % 5 = 0), g AS (
+  SELECT event_id AS glyph, page, x AS x1, y AS y1, x + 6 AS x2, y + 10 AS y2 FROM b)
+SELECT sel, count(*) AS glyphs, min(glyph) AS first_glyph, max(glyph) AS last_glyph FROM s JOIN g ON s.page = g.page AND NOT (g.x1 > s.x2 + 2 OR g.x2 < s.x1 - 2 OR g.y1 > s.y2 + 2 OR g.y2 < s.y1 - 2) GROUP BY sel""")
+def rect_overlaps(spark, sf_dir):
+    """Glyph rects that selection rects meet, both made of events on pages of users."""
+    at = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") % 50).alias("page"), (F.col("event_id") * 37 % 600).alias("x"), (F.col("event_id") * 91 % 800).alias("y"))
+    box = lambda rows, name, x1, y1, x2, y2: rows.select(F.col("event_id").alias(name), "page", *[F.expr(e).alias(n) for n, e in (("x1", x1), ("y1", y1), ("x2", x2), ("y2", y2))])
+    sels, cut = box(at.filter("event_id % 5 = 0"), "sel", "x - 3", "y - 2", "x + 9 + event_id % 40", "y + 8"), box(at, "glyph", "x", "y", "x + 6", "y + 10")
+    rows = overlap.overlap_join(sels, cut, ["page"], [("x1", "x2"), ("y1", "y2")], 16.0, geometry.TOLERANCE)
+    return rows.groupBy(F.col("l.sel").alias("sel")).agg(F.count("*").alias("glyphs"), F.min("r.glyph").alias("first_glyph"), F.max("r.glyph").alias("last_glyph"))
+
+
+@query(f"""WITH {oracle.PAGES}, lines2 AS (SELECT doc_id, page_index, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM pages), placed AS (
+  SELECT doc_id, page_index, CAST(k AS INTEGER) AS line, sum(length(line) + 1) OVER w - length(line) - 1 AS low, sum(length(line) + 1) OVER w AS high, max(k) OVER (PARTITION BY doc_id, page_index) AS m FROM lines2 WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY k)), spans AS (
+  SELECT doc_id, page_index, k AS span, k * 150 AS low, k * 150 + CASE WHEN k % 4 = 0 THEN 700 ELSE 120 END AS high FROM (SELECT doc_id, page_index, unnest(range(0, length(text) // 150 + 1)) AS k FROM pages))
+SELECT s.doc_id, s.page_index, CAST(s.span AS INTEGER) AS span, count(*) AS lines, min(p.line) AS first_line, max(p.line) AS last_line FROM spans s JOIN placed p ON s.doc_id = p.doc_id AND s.page_index = p.page_index AND s.low < p.high AND p.low < s.high GROUP BY ALL""")
+def line_overlaps(spark, sf_dir):
+    """Lines of pages that spans of characters meet; a quarter of the spans is long."""
+    pages = _pages(spark, sf_dir)
+    keys = ["doc_id", "page_index"]
+    cut = pages.select(*keys, F.split("text", "\n", -1).alias("cut"))
+    starts = X.bound(cut, starts=X.prefix_sums(F.transform("cut", lambda x: F.length(x) + 1)))
+    lines = starts.select(*keys, F.posexplode("starts").alias("at", "low"), "cut").select(*keys, (F.col("at") + 1).alias("line"), "low", (F.col("low") + F.length(F.get("cut", F.col("at"))) + 1).alias("high"))
+    spans = pages.select(*keys, F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 150).cast("int"))).alias("span"))
+    spans = spans.select(*keys, "span", (F.col("span") * 150).alias("low"), (F.col("span") * 150 + F.when(F.col("span") % 4 == 0, 700).otherwise(120)).alias("high"))
+    rows = overlap.overlap_join(spans, lines, keys, [("low", "high")], 128.0, touching=False)
+    return rows.groupBy(*keys, F.col("l.span").alias("span")).agg(F.count("*").alias("lines"), F.min("r.line").alias("first_line"), F.max("r.line").alias("last_line"))
+
+
 @query()
 def fuzzy_alignment(spark, sf_dir):
     """Benchmark passages with doubled blanks and a changed middle, aligned with their own clean text by normal form or anchors."""
