@@ -338,7 +338,6 @@ def page_glyph_layers(spark, sf_dir):
     single = F.array(F.struct(*[(F.lit(False) if n == "line_break_after" else other[n]).alias(n) for n in ("c", "u", "rect", "inline_rect", "rotation", "space_after", "line_break_after", "paragraph_break_after")]))
     glyphs.write_layer(pages.filter("r < 14").withColumn("chars", F.when(F.col("r") < 7, single).otherwise(lined)), f"{root}/page_data", "chars")
     glyphs.write_layer(pages.filter("r >= 14").withColumn("items", F.transform("lines", item)), f"{root}/text", "items")
-    glyphs.write_catalogue(spark, root)
     found = glyphs.page_glyphs(pages, root)
     return found.select("doc_id", "page_index", "source", F.size("units").alias("n_units"), F.sha2(F.array_join("units.char", "").cast("binary"), 256).alias("text_sha256"),
                         F.aggregate("units.rect", F.lit(0.0), lambda s, x: s + x[1]).cast("long").alias("top"))

@@ -18,14 +18,14 @@ import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from glosswork.operators import geometry
@@ -68,28 +68,35 @@ class GlyphWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = _opened(self.path)
-        store.create_dir(f"{root}/data/{self.job}")
+        folder = f"data/{self.job}"
+        store.create_dir(f"{root}/{folder}")
         files: list[dict] = []
-        out = None
+        out = pages = None
         try:
             for batch in iterator:
-                for row in batch.to_pylist():
+                known = batch.select([*KEYS, "n_units"])
+                if pages is None:
+                    catalogue = f"{folder}/{uuid.uuid4().hex}.parquet"
+                    pages = pq.ParquetWriter(f"{root}/{catalogue}", known.schema, filesystem=store)
+                pages.write_batch(known)
+                for line, *key in zip(batch.column("line").to_pylist(), *(batch.column(k).to_pylist() for k in KEYS), strict=True):
                     if out is None:
-                        name = f"data/{self.job}/{uuid.uuid4().hex}.jsonl"
+                        name = f"{folder}/{uuid.uuid4().hex}.jsonl"
                         out = store.open_output_stream(f"{root}/{name}")
-                        files.append({"file": name, "bytes": 0} | {k: [row[k], row[k]] for k in KEYS})
-                    line = json.dumps(_full(row), ensure_ascii=False, separators=(",", ":")).encode() + b"\n"
-                    out.write(line)
+                        files.append({"file": name, "catalogue": catalogue, "bytes": 0} | {k: [v, v] for k, v in zip(KEYS, key, strict=True)})
+                    raw = line.encode() + b"\n"
+                    out.write(raw)
                     last = files[-1]
-                    last["bytes"] += len(line)
-                    for k in KEYS:
-                        last[k] = [min(last[k][0], row[k]), max(last[k][1], row[k])]
+                    last["bytes"] += len(raw)
+                    for k, v in zip(KEYS, key, strict=True):
+                        last[k] = [min(last[k][0], v), max(last[k][1], v)]
                     if last["bytes"] >= FILE_BYTES:
                         out.close()
                         out = None
         finally:
-            if out is not None:
-                out.close()
+            for stream in (out, pages):
+                if stream is not None:
+                    stream.close()
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -108,13 +115,6 @@ class GlyphWriter(DataSourceArrowWriter):
             store.delete_dir(f"{root}/data/{self.job}")
 
 
-def _full(value):
-    """Without fields that are null, which dumps leave out."""
-    if isinstance(value, dict):
-        return {k: _full(v) for k, v in value.items() if v is not None}
-    return [_full(v) for v in value] if isinstance(value, list) else value
-
-
 @dataclass
 class Files(InputPartition):
     files: tuple[str, ...]
@@ -124,7 +124,7 @@ class Files(InputPartition):
 
 
 class GlyphReader(DataSourceReader):
-    """within: for a key the inclusive ranges of which one must hold its value; they choose files by the index, and rows in them."""
+    """Lines of the files that may hold pages within the inclusive ranges given for their keys."""
 
     def __init__(self, path: str, schema: StructType, within: dict[str, list[list[int]]]):
         self.path, self.schema, self.within = path, schema, within
@@ -132,9 +132,6 @@ class GlyphReader(DataSourceReader):
     def _may_hold(self, entry: dict) -> bool:
         return all(any(low <= entry[k][1] and entry[k][0] <= high for low, high in ranges) for k, ranges in self.within.items())
 
-    def _holds(self, row: dict) -> bool:
-        return all(any(low <= row[k] <= high for low, high in ranges) for k, ranges in self.within.items())
-
     def partitions(self) -> list[Files]:
         out: list[list[str]] = []
         size = FILE_BYTES
@@ -148,21 +145,18 @@ class GlyphReader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, root = _opened(self.path)
-        schema = to_arrow_schema(self.schema)
-        rows, size = [], 0
+        made = lambda lines: pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()).cast(pa.string())], names=["line"])
+        lines, size = [], 0
         for name in partition.files:
-            with store.open_input_stream(f"{root}/{name}", buffer_size=1 << 20) as stream:
+            with store.open_input_stream(f"{root}/{name}") as stream:
                 for line in _lines(stream):
-                    row = json.loads(line)
-                    if not self._holds(row):
-                        continue
-                    rows.append(row)
+                    lines.append(line)
                     size += len(line)
                     if size >= BATCH_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                        yield made(lines)
+                        lines, size = [], 0
+        if lines:
+            yield made(lines)
 
 
 def _lines(stream) -> Iterator[bytes]:
@@ -185,7 +179,7 @@ class Glyphs(DataSource):
         return NAME
 
     def schema(self) -> str:
-        return SCHEMAS[self.options["kind"]]
+        return "line string"
 
     def reader(self, schema: StructType) -> GlyphReader:
         return GlyphReader(self.options["path"], schema, json.loads(self.options.get("within", "{}")))
@@ -195,15 +189,24 @@ class Glyphs(DataSource):
 
 
 def write_layer(pages: DataFrame, path: str, kind: str) -> None:
-    """Adds pages (doc_id, page_index, chars or items) to a layer, dealt by document so that files hold narrow ranges. Pages without a document or page number are left out."""
+    """Adds pages (doc_id, page_index, chars or items) to a layer, dealt by document so that files hold narrow ranges. Pages without a document or page number are left out.
+
+    The JVM writes the JSON and counts characters; tasks only store lines, and beside them the catalogue, which the same commit makes visible.
+    """
     spark = pages.sparkSession
     spark.dataSource.register(Glyphs)
-    rows = pages.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in SCHEMAS[kind].split(", "))]).dropna(subset=list(KEYS))
-    rows.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).write.format(NAME).option("kind", kind).mode("append").save(path)
+    cast = [F.col(f.name).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], SCHEMAS[kind]).schema]
+    rows = pages.select(*cast).dropna(subset=list(KEYS))
+    rows = rows.select(*KEYS, COUNTS[kind](F.col(kind)).cast("int").alias("n_units"), F.to_json(F.struct(*rows.columns)).alias("line"))
+    rows.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).write.format(NAME).mode("append").save(path)
+
+
+def _inside(within: dict[str, list[tuple[int, int]]] | None) -> Column:
+    return reduce(and_, [reduce(or_, [F.col(k).between(low, high) for low, high in ranges], F.lit(False)) for k, ranges in (within or {}).items()], F.lit(True))
 
 
 def read_layer(spark: SparkSession, path: str, kind: str, within: dict[str, list[tuple[int, int]]] | None = None) -> DataFrame:
-    """A layer's pages, those within the inclusive ranges of doc_id or page_index only.
+    """A layer's pages, those within the inclusive ranges of doc_id or page_index only; a line that is no JSON is no page.
 
     The ranges are options of the read and not filters that Spark pushes: a data source in Python keeps the filters of
     the first plan made of a frame for all later plans of that frame, which would lose rows.
@@ -212,7 +215,58 @@ def read_layer(spark: SparkSession, path: str, kind: str, within: dict[str, list
     unknown = set(within or ()) - set(KEYS)
     if unknown:
         raise ValueError(f"no key of a page: {sorted(unknown)}")
-    return spark.read.format(NAME).option("kind", kind).option("within", json.dumps(within or {})).load(path)
+    lines = spark.read.format(NAME).option("within", json.dumps(within or {})).load(path)
+    rows = lines.select(F.from_json("line", SCHEMAS[kind]).alias("page")).select("page.*")
+    return rows.dropna(subset=list(KEYS)).filter(_inside(within))
+
+
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, page_index, n_units: pages of a layer and the most characters that a dump of each has."""
+    files = sorted({e["catalogue"] for e in _entries(path)})
+    schema = "doc_id bigint, page_index int, n_units int"
+    rows = spark.read.schema(schema).parquet(*[f"{path.rstrip('/')}/{f}" for f in files]) if files else spark.createDataFrame([], schema)
+    return rows.groupBy(*KEYS).agg(F.max("n_units").alias("n_units"))
+
+
+def _positive(x: Column) -> Column:
+    return F.when(x.isNotNull() & ~F.isnan(x) & (x < float("inf")) & (x > 0), x)
+
+
+def _usable(transform: Column) -> Column:
+    return F.coalesce(usable_transform(transform), F.lit(False))
+
+
+def _blank(item: Column) -> Column:
+    return F.coalesce(item["str"], F.lit("")) == ""
+
+
+def _height(item: Column) -> Column:
+    return F.coalesce(_positive(item["height"]), _positive(F.abs(item["transform"][3])))
+
+
+def _placed(item: Column) -> Column:
+    """Whether an item without text, or with a place for each character."""
+    placed = _usable(item["transform"]) & _height(item).isNotNull() & _positive(item["width"]).isNotNull()
+    return _blank(item) | F.coalesce(placed & (F.size(item["chars"]) == F.length(item["str"])) & F.forall(item["chars"], lambda c: c.isNotNull()), F.lit(False))
+
+
+def _total(values: Column, size) -> Column:
+    return F.aggregate(F.coalesce(values, F.array()), F.lit(0), lambda n, x: n + size(x).cast("int"))
+
+
+def char_count(chars: Column) -> Column:
+    """The size of char_units, without making them."""
+    mark = lambda g: reduce(or_, [F.coalesce(g[n], F.lit(False)) for n in ("space_after", "line_break_after", "paragraph_break_after")])
+    return _total(chars.cast(f"array<{GLYPH}>"), lambda g: F.length(F.coalesce(g["u"], g["c"], F.lit(""))) + mark(g).cast("int"))
+
+
+def item_count(items: Column) -> Column:
+    """The size of item_units with line breaks, without making them."""
+    size = _total(items, lambda i: F.when(_blank(i), 0).otherwise(F.length(i["str"]) + F.coalesce(i["has_eol"], F.lit(False)).cast("int")))
+    return F.when(F.forall(F.coalesce(items, F.array()), _placed), size).otherwise(0)
+
+
+COUNTS = {"chars": char_count, "items": item_count}
 
 
 def char_units(chars: Column, line_breaks: bool = True) -> Column:
@@ -237,32 +291,23 @@ def item_units(items: Column, line_breaks: bool = True) -> Column:
     it reaches a quarter of the height below the item's baseline and three quarters above.
     """
     zero = F.array(*[F.lit(0.0)] * 4)
-    number = lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
-    positive = lambda x: F.when(number(x) & (x > 0), x)
-    usable = lambda t: F.coalesce(usable_transform(t), F.lit(False))
-    blank = lambda i: F.coalesce(i["str"], F.lit("")) == ""
-    height = lambda i: F.coalesce(positive(i["height"]), positive(F.abs(i["transform"][3])))
-
-    def fine(i: Column) -> Column:
-        placed = usable(i["transform"]) & height(i).isNotNull() & positive(i["width"]).isNotNull()
-        return blank(i) | F.coalesce(placed & (F.size(i["chars"]) == F.length(i["str"])) & F.forall(i["chars"], lambda c: c.isNotNull()), F.lit(False))
 
     def one(i: Column, at: Column) -> Column:
         letters = F.filter(F.split(i["str"], ""), lambda x: x != "")
-        low, high = i["transform"][5] - 0.25 * height(i), i["transform"][5] + 0.75 * height(i)
+        low, high = i["transform"][5] - 0.25 * _height(i), i["transform"][5] + 0.75 * _height(i)
 
         def unit(x: Column) -> Column:
-            left = F.when(usable(x["c"]["transform"]), x["c"]["transform"][4]).otherwise(i["transform"][4])
-            wide = F.coalesce(positive(x["c"]["width"]), i["width"] / F.length(i["str"]))
+            left = F.when(_usable(x["c"]["transform"]), x["c"]["transform"][4]).otherwise(i["transform"][4])
+            wide = F.coalesce(_positive(x["c"]["width"]), i["width"] / F.length(i["str"]))
             return F.struct(x["x"].alias("char"), F.array(left, low, left + wide, high).alias("rect"), at.alias("at"))
 
         end = F.array(F.struct(F.lit("\n").alias("char"), zero.alias("rect"), at.alias("at")))
         none = F.array().cast(POSITION)
         units = F.transform(F.arrays_zip(letters.alias("x"), i["chars"].alias("c")), unit)
-        return F.when(blank(i), none).otherwise(F.concat(units, F.when(i["has_eol"], end).otherwise(none) if line_breaks else none))
+        return F.when(_blank(i), none).otherwise(F.concat(units, F.when(i["has_eol"], end).otherwise(none) if line_breaks else none))
 
     every = F.coalesce(items, F.array().cast(f"array<{ITEM}>"))
-    return F.when(F.forall(every, fine), F.flatten(F.transform(every, one))).otherwise(F.array().cast(POSITION))
+    return F.when(F.forall(every, _placed), F.flatten(F.transform(every, one))).otherwise(F.array().cast(POSITION))
 
 
 def layer_units(spark: SparkSession, path: str, kind: str, line_breaks: bool = True, within: dict[str, list[tuple[int, int]]] | None = None) -> DataFrame:
@@ -271,19 +316,12 @@ def layer_units(spark: SparkSession, path: str, kind: str, line_breaks: bool = T
     return read_layer(spark, path, kind, within).select(*KEYS, made(F.col(kind), line_breaks).alias("units"))
 
 
-def write_catalogue(spark: SparkSession, root: str) -> None:
-    """For each layer under root the pages and their numbers of characters, as a table beside its dumps."""
-    for name, kind in LAYERS.items():
-        rows = layer_units(spark, f"{root}/{name}", kind).select(*KEYS, F.size("units").alias("n_units"))
-        rows.groupBy(*KEYS).agg(F.max("n_units").alias("n_units")).write.mode("overwrite").parquet(f"{root}/catalogue/{name}")
-
-
 def sources_of(wanted: DataFrame, root: str, layers: Iterable[str] = tuple(LAYERS)) -> DataFrame:
     """doc_id, page_index, source: the first layer with characters for the page, null where none has any. Layers can be left out."""
     spark = wanted.sparkSession
     rows, source = wanted.select(*KEYS).distinct(), F.lit(None).cast("string")
     for name in reversed(list(layers)):
-        known = spark.read.parquet(f"{root}/catalogue/{name}").filter("n_units > 0").select(*KEYS, F.lit(name).alias(f"in_{name}"))
+        known = read_catalogue(spark, f"{root}/{name}").filter("n_units > 0").select(*KEYS, F.lit(name).alias(f"in_{name}"))
         rows = rows.join(known, list(KEYS), "left")
         source = F.coalesce(F.col(f"in_{name}"), source)
     return rows.select(*KEYS, source.alias("source"))
@@ -296,9 +334,7 @@ def page_glyphs(wanted: DataFrame, root: str, layers: Iterable[str] = tuple(LAYE
     of equal numbers the largest by value. within narrows the pages and the files that are opened.
     """
     spark, layers = wanted.sparkSession, list(layers)
-    for key, ranges in (within or {}).items():
-        wanted = wanted.filter(reduce(or_, [F.col(key).between(low, high) for low, high in ranges], F.lit(False)))
-    chosen = sources_of(wanted.dropna(subset=list(KEYS)), root, layers)
+    chosen = sources_of(wanted.filter(_inside(within)).dropna(subset=list(KEYS)), root, layers)
     out = chosen.filter("source IS NULL").select(*KEYS, "source", F.array().cast(POSITION).alias("units"))
     for name in layers:
         rows = layer_units(spark, f"{root}/{name}", LAYERS[name], line_breaks, within).groupBy(*KEYS).agg(F.max(F.struct(F.size("units").alias("n"), "units"))["units"].alias("units"))

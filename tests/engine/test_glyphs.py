@@ -30,7 +30,6 @@ def test_layers(spark, tmp_path):
     layer(spark, f"{root}/cached", "chars", [(4, 0, [g("xyz", 0.0)])])
     layer(spark, f"{root}/page_data", "chars", [(1, 0, [g("no", 0.0)]), (1, 1, [g("pd", 1.0, rotation=90, inline_rect=[0.0, 9.0, 7.0, 9.5])])])
     layer(spark, f"{root}/text", "items", [(1, 2, [item("hi", has_eol=True), item("", 0), item("q", height=None)]), (2, 0, [item("hi"), item("abc", 2)]), (2, 1, [item("a", width=0.0)])])
-    glyphs.write_catalogue(spark, root)
     wanted = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (3, 0), (4, 0), (4, 0), (None, 3)], "doc_id long, page_index int")
     got = {(r.doc_id, r.page_index): (r.source, [(u.char, u.rect, u.at) for u in r.units]) for r in glyphs.page_glyphs(wanted, root).collect()}
     zero = [0.0] * 4
