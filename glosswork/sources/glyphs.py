@@ -310,10 +310,7 @@ def item_units(items: Column, line_breaks: bool = True) -> Column:
     return F.when(F.forall(every, _placed), F.flatten(F.transform(every, one))).otherwise(F.array().cast(POSITION))
 
 
-def layer_units(spark: SparkSession, path: str, kind: str, line_breaks: bool = True, within: dict[str, list[tuple[int, int]]] | None = None) -> DataFrame:
-    """doc_id, page_index, units of a layer's pages, one row a dump."""
-    made = char_units if kind == "chars" else item_units
-    return read_layer(spark, path, kind, within).select(*KEYS, made(F.col(kind), line_breaks).alias("units"))
+UNITS = {"chars": char_units, "items": item_units}
 
 
 def sources_of(wanted: DataFrame, root: str, layers: Iterable[str] = tuple(LAYERS)) -> DataFrame:
@@ -337,6 +334,10 @@ def page_glyphs(wanted: DataFrame, root: str, layers: Iterable[str] = tuple(LAYE
     chosen = sources_of(wanted.filter(_inside(within)).dropna(subset=list(KEYS)), root, layers)
     out = chosen.filter("source IS NULL").select(*KEYS, "source", F.array().cast(POSITION).alias("units"))
     for name in layers:
-        rows = layer_units(spark, f"{root}/{name}", LAYERS[name], line_breaks, within).groupBy(*KEYS).agg(F.max(F.struct(F.size("units").alias("n"), "units"))["units"].alias("units"))
-        out = out.unionByName(rows.join(chosen.filter(F.col("source") == name).select(*KEYS, "source"), list(KEYS)).select(*KEYS, "source", "units"))
+        kind = LAYERS[name]
+        rows = read_layer(spark, f"{root}/{name}", kind, within).withColumn("n", COUNTS[kind](F.col(kind)))
+        own = rows.join(chosen.filter(F.col("source") == name).select(*KEYS), list(KEYS))
+        # Characters are spread out behind the shuffle; what is shuffled is as compact as the dump.
+        best = own.groupBy(*KEYS).agg(F.max(F.struct("n", kind))[kind].alias(kind))
+        out = out.unionByName(best.select(*KEYS, F.lit(name).alias("source"), UNITS[kind](F.col(kind), line_breaks).alias("units")))
     return out
