@@ -29,6 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from glosswork.operators import geometry
+from glosswork.session import shared_folder
 from glosswork.sources.keyed import _opened
 from glosswork.sources.pages import usable_transform
 
@@ -331,7 +332,10 @@ def page_glyphs(wanted: DataFrame, root: str, layers: Iterable[str] = tuple(LAYE
     of equal numbers the largest by value. within narrows the pages and the files that are opened.
     """
     spark, layers = wanted.sparkSession, list(layers)
-    chosen = sources_of(wanted.filter(_inside(within)).dropna(subset=list(KEYS)), root, layers)
+    # Each layer's branch reads the choice, which is keys only: it is made once.
+    path = shared_folder(spark, "sources")
+    sources_of(wanted.filter(_inside(within)).dropna(subset=list(KEYS)), root, layers).write.parquet(path)
+    chosen = spark.read.parquet(path)
     out = chosen.filter("source IS NULL").select(*KEYS, "source", F.array().cast(POSITION).alias("units"))
     for name in layers:
         kind = LAYERS[name]
