@@ -1,7 +1,8 @@
 """Lexical ranking: term counts, BM25 and TF-IDF within each document's candidates, top terms and pseudo-queries.
 
-Everything is keyed by a document (or selection) key; once rows are dealt by it, the aggregates and
-windows below need no other exchange.
+Everything is keyed by a document (or selection) key; once rows are dealt by it, the aggregates, windows
+and joins below need no other exchange: they are by the key, or by the key and more on one table, and rows are carried
+through instead of being joined back.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ K1, B = 1.2, 0.75
 
 
 def with_tokens(rows: DataFrame, normal: str = "normal") -> DataFrame:
-    return rows.withColumn("tokens", X.tokens(F.lower(F.col(normal))))
+    """rows with their tokens, which are taken once: rows that have them stay as they are."""
+    return rows if "tokens" in rows.columns else rows.withColumn("tokens", X.tokens(F.lower(F.col(normal))))
 
 
 def term_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,45 +37,80 @@ def normalised(score: Column, key: str) -> Column:
     return F.when(most > 0, S.clamp01(score / most)).otherwise(F.lit(0.0))
 
 
-def _postings(rows: DataFrame, key: str, item: str) -> DataFrame:
-    """Postings with df, the number of items n, their length dl and mean length avgdl."""
-    sized = rows.withColumn("dl", F.size("tokens")).withColumn("n", F.count("*").over(Window.partitionBy(key))).withColumn("avgdl", F.avg("dl").over(Window.partitionBy(key)))
-    out = sized.select(key, item, "dl", "n", "avgdl", F.explode("tokens").alias("term")).groupBy(key, item, "dl", "n", "avgdl", "term").agg(F.count("*").alias("tf"))
-    return out.withColumn("df", F.count("*").over(Window.partitionBy(key, "term")))
+def with_terms(rows: DataFrame, name: str = "terms") -> DataFrame:
+    """rows with ARRAY<STRUCT<term, tf>> of their tokens: the runs of the sorted tokens, so long texts take no quadratic time."""
+    rows = X.bound(rows, __sorted=F.array_sort("tokens"))
+    every = F.col("__sorted")
+    rows = X.bound(rows, __starts=F.filter(F.transform(every, lambda x, i: F.when((i == 0) | (x != F.get(every, i - 1)), i)), lambda i: i.isNotNull()))
+    at = F.col("__starts")
+    runs = F.transform(at, lambda a, j: F.struct(F.get(every, a).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(every)) - a).alias("tf")))
+    return rows.withColumn(name, runs).drop("__sorted", "__starts")
 
 
-def bm25(rows: DataFrame, query: DataFrame, key: str = "doc_id", item: str = "id") -> DataFrame:
-    """key, item, raw of items that share a term with the key's query (key, term, qtf); a term of the query counts as often as it occurs there."""
-    p = _postings(rows, key, item).join(query, [key, "term"])
+def query_counts(queries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, qtf (how often each term occurs, as a map) and squares (the sum of these numbers' squares) of queries given as text (key, query)."""
+    return counted_queries(queries.select(key, "query")).drop("query")
+
+
+def counted_queries(rows: DataFrame) -> DataFrame:
+    """rows (query, ...) with qtf and squares; narrow."""
+    found = with_terms(rows.withColumn("__normal", X.nfkc(F.col("query"))).withColumn("tokens", X.tokens(F.lower(F.col("__normal")))), "__terms")
+    squares = F.aggregate("__terms", F.lit(0).cast("long"), lambda s, x: s + x["tf"].cast("long") * x["tf"])
+    return found.withColumns({"qtf": F.map_from_entries("__terms"), "squares": squares}).drop("__normal", "__terms", "tokens")
+
+
+def _postings(rows: DataFrame, queries: DataFrame | None, key: str, item: str) -> DataFrame:
+    """Postings of rows (key, item, tokens, ...) with qtf, df, the number of items n, their length dl and mean length avgdl.
+
+    An item's first posting carries its other columns (own); an item without tokens has one posting without a term. All is
+    clustered by the key, so neither counts nor sums need a join back or another exchange.
+    """
+    if queries is not None:
+        w = Window.partitionBy(key)
+        rows = rows.withColumn("n", F.count("*").over(w)).withColumn("avgdl", F.avg(F.size("tokens")).over(w)).join(query_counts(queries, key), key, "left")
+    known = ["n", "avgdl", "qtf", "squares"]
+    others = [c for c in rows.columns if c not in (key, item, "tokens", *known)]
+    sized = with_terms(rows.select(key, item, *known, "tokens", F.struct(F.size("tokens").alias("dl"), *others).alias("own"))).withColumn("dl", F.col("own.dl"))
+    asked = F.transform("terms", lambda x: F.struct(x["term"].alias("term"), x["tf"].alias("tf"), F.coalesce(F.try_element_at("qtf", x["term"]), F.lit(0)).alias("qtf")))
+    cut = sized.select(key, item, "dl", "n", "avgdl", "squares", "own", F.posexplode_outer(asked).alias("at", "x"))
+    cut = cut.select(key, item, "dl", "n", "avgdl", "squares", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("own")).alias("own"), "x.term", "x.tf", "x.qtf")
+    return cut.withColumn("df", F.count("*").over(Window.partitionBy(key, "term")))
+
+
+def _summed(postings: DataFrame, key: str, item: str, **sums: Column) -> DataFrame:
+    """key, item, the items' other columns and sums over their postings."""
+    out = postings.groupBy(key, item).agg(F.first("own", ignorenulls=True).alias("own"), *[c.alias(name) for name, c in sums.items()])
+    return out.select(key, item, "own.*", *sums).drop("dl")
+
+
+def bm25(rows: DataFrame, queries: DataFrame | None, key: str = "doc_id", item: str = "id") -> DataFrame:
+    """rows without tokens, with raw; a term of the query (key, query) counts as often as it occurs there; null for items that share none."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0))))
-    return p.groupBy(key, item).agg(F.sum(F.col("qtf") * idf * weight).alias("raw"))
+    return _summed(_postings(rows, queries, key, item), key, item, raw=F.sum(F.when(F.col("qtf") > 0, F.col("qtf") * idf * weight)))
 
 
-def tfidf(rows: DataFrame, query: DataFrame, key: str = "doc_id", item: str = "id") -> DataFrame:
-    """key, item, raw: the cosine of item and query under smooth weights; the query's norm includes terms that no item has."""
-    p = _postings(rows, key, item)
+def tfidf(rows: DataFrame, queries: DataFrame | None, key: str = "doc_id", item: str = "id") -> DataFrame:
+    """As bm25, with the cosine of item and query under smooth weights; the query's norm includes terms that no item has."""
     idf = lambda n, df: F.log((n + 1) / (df + 1)) + 1
-    counts = rows.groupBy(key).agg(F.count("*").alias("qn"))
-    df = p.groupBy(key, "term").agg(F.max("df").alias("qdf"))
-    weighed = query.join(counts, key).join(df, [key, "term"], "left").withColumn("qw", F.col("qtf") * idf(F.col("qn"), F.coalesce("qdf", F.lit(0))))
-    weighed = weighed.withColumn("qnorm", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy(key)))).select(key, "term", "qw", "qnorm")
-    w = F.col("tf") * idf(F.col("n"), F.col("df"))
-    joined = p.withColumn("w", w).join(weighed, [key, "term"], "left")
-    out = joined.groupBy(key, item).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.max("qnorm").alias("qnorm"))
-    return out.filter("dot is not null").select(key, item, (F.col("dot") / (F.col("qnorm") * F.col("norm"))).alias("raw"))
+    own = idf(F.col("n"), F.col("df"))
+    # Each term of the query that items have is counted at its first posting; the others all have the weight of a term without items.
+    once = (F.row_number().over(Window.partitionBy(key, "term").orderBy(item)) == 1) & (F.col("qtf") > 0)
+    p = _postings(rows, queries, key, item).withColumns({"w": F.col("tf") * own, "qw": F.col("qtf") * own, "once": once})
+    w = Window.partitionBy(key)
+    there = F.coalesce(F.sum(F.when(F.col("once"), F.col("qw") * F.col("qw"))).over(w), F.lit(0.0))
+    rest = F.col("squares") - F.coalesce(F.sum(F.when(F.col("once"), F.col("qtf").cast("long") * F.col("qtf"))).over(w), F.lit(0))
+    p = p.withColumn("qnorm", F.sqrt(there + rest * F.pow(idf(F.col("n"), F.lit(0)), 2)))
+    out = _summed(p, key, item, dot=F.sum(F.when(F.col("qtf") > 0, F.col("w") * F.col("qw"))), norm=F.sqrt(F.sum(F.col("w") * F.col("w"))), qnorm=F.max("qnorm"))
+    return out.withColumn("raw", F.when(F.col("dot").isNotNull(), F.col("dot") / (F.col("qnorm") * F.col("norm")))).drop("dot", "norm", "qnorm")
 
 
-def lexical_scores(rows: DataFrame, query: DataFrame, method: str = "bm25", key: str = "doc_id", item: str = "id") -> DataFrame:
-    """rows (key, item, tokens, ...) with lexical_score from 0 to 1; items without a shared term have 0."""
-    raw = (tfidf if method == "tfidf" else bm25)(rows, query, key, item)
-    joined = rows.join(raw, [key, item], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
-    return joined.withColumn("lexical_score", normalised(F.col("raw"), key)).drop("raw")
+def lexical_scores(rows: DataFrame, queries: DataFrame | None, method: str = "bm25", key: str = "doc_id", item: str = "id") -> DataFrame:
+    """rows (key, item, tokens, ...) without tokens, with lexical_score from 0 to 1; items without a term of the query (key, query) have 0.
 
-
-def query_terms(queries: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, term, qtf of queries given as text (key, query)."""
-    return with_tokens(queries.withColumn("normal", X.nfkc(F.col("query")))).select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("qtf"))
+    Without queries, rows have n, avgdl, qtf and squares of their own (see rank.exploded)."""
+    raw = (tfidf if method == "tfidf" else bm25)(rows, queries, key, item).withColumn("raw", F.coalesce("raw", F.lit(0.0)))
+    return raw.withColumn("lexical_score", normalised(F.col("raw"), key)).drop("raw")
 
 
 def top_terms(rows: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
@@ -89,21 +126,31 @@ def _joined(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*[F.coalesce(p, F.lit("")) for p in parts]), lambda x: x != ""), " ")
 
 
+LEADS = ("abstract", "introduction")
+
+
 def document_queries(cands: DataFrame, heads: DataFrame, papers: DataFrame | None = None) -> DataFrame:
     """doc_id, query: keywords, title, first headings, best abstract and introduction sentences, top terms of all candidates."""
+    best = F.when(F.col("section_kind").isin(*LEADS), F.struct((-F.col("heuristic_score")).alias("by"), "page_index", "start", "text"))
+    listed = with_tokens(cands).groupBy("doc_id").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.array_sort(F.collect_list(best)).alias("best"))
+    return asked(listed.withColumn("leads", F.col("best.text")), heads, papers).select("doc_id", "query")
+
+
+def asked(documents: DataFrame, heads: DataFrame, papers: DataFrame | None = None) -> DataFrame:
+    """One row a document (doc_id, tokens of all candidates, leads: ordered texts, ...) with its query; joins are by document."""
     first = Window.partitionBy("doc_id").orderBy("page_index", "start")
     titles = heads.filter("kind <> 'references'").withColumn("k", F.row_number().over(first)).filter("k <= 12")
     titles = titles.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "title"))), lambda x: x["title"]), " ").alias("titles"))
-    best = Window.partitionBy("doc_id").orderBy(F.desc("heuristic_score"), "page_index", "start")
-    leads = cands.filter(F.col("section_kind").isin("abstract", "introduction")).withColumn("k", F.row_number().over(best)).filter("k <= 6")
-    leads = leads.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ").alias("leads"))
-    out = cands.select("doc_id").distinct().join(top_terms(with_tokens(cands), 24), "doc_id", "left").join(titles, "doc_id", "left").join(leads, "doc_id", "left")
+    order = F.transform("__counts", lambda x: F.struct((-x["tf"]).alias("n"), (-F.length(x["term"])).alias("size"), F.collate(x["term"], "UNICODE").alias("name"), x["term"].alias("term")))
+    top = F.array_join(F.transform(F.slice(F.array_sort(order), 1, 24), lambda x: x["term"]), " ")
+    out = with_terms(documents, "__counts").withColumn("__top", top).drop("__counts", "tokens").join(titles, "doc_id", "left")
     if papers is None:
         out = out.withColumns({"title": F.lit(None).cast("string"), "keywords": F.lit(None).cast("array<string>")})
     else:
         out = out.join(papers.select("doc_id", "title", "keywords"), "doc_id", "left")
     keywords = F.array_join(F.slice(F.coalesce("keywords", F.array().cast("array<string>")), 1, 10), " ")
-    return out.select("doc_id", _joined(keywords, X.trim(F.col("title")), F.col("titles"), F.col("leads"), F.array_join("terms", " ")).alias("query"))
+    query = _joined(keywords, X.trim(F.col("title")), F.col("titles"), F.array_join(F.slice("leads", 1, 6), " "), F.col("__top"))
+    return out.withColumn("query", query).drop("keywords", "title", "titles", "leads", "__top")
 
 
 def selection_queries(selections: DataFrame) -> DataFrame:

@@ -24,11 +24,15 @@ def normalised_logits(logit: Column, key: str) -> Column:
 
 
 def usable_neural(rows: DataFrame, scores: DataFrame, key: str, item: str) -> DataFrame:
-    """rows with neural_score; null for a whole key unless each of its items, and no other, has a score."""
+    """rows with neural_score; null for a whole key unless each of its items, and no other, has one score.
+
+    A key's scores come as one array, which its rows (a shortlist) look theirs up in, so rows stay where they are.
+    """
     w = Window.partitionBy(key)
-    got = scores.select(key, item, F.col("score").cast("double").alias("neural_score"), F.count("*").over(w).alias("given"))
-    joined = rows.join(got, [key, item], "left")
-    complete = (F.count("neural_score").over(w) == F.count("*").over(w)) & (F.max("given").over(w) == F.count("*").over(w))
+    listed = scores.groupBy(key).agg(F.collect_list(F.struct(F.col(item).alias("item"), F.col("score").cast("double").alias("score"))).alias("__given"))
+    place = F.array_position("__given.item", F.col(item)).cast("int") - 1
+    joined = rows.join(listed, key, "left").withColumns({"neural_score": F.get("__given.score", place), "given": F.size("__given")}).drop("__given")
+    complete = (F.count("neural_score").over(w) == F.count("*").over(w)) & (F.col("given") == F.count("*").over(w))
     return joined.withColumn("neural_score", F.when(complete, F.col("neural_score"))).drop("given")
 
 
@@ -63,16 +67,23 @@ def blend_documents(rows: DataFrame, neural: DataFrame | None = None) -> DataFra
     return rows.drop("rank").withColumn("rank", F.row_number().over(order))
 
 
-def rank_documents(short: DataFrame, queries: DataFrame, method: str = "bm25", neural: DataFrame | None = None) -> DataFrame:
+def exploded(documents: DataFrame) -> DataFrame:
+    """The shortlists of documents (doc_id, query, short) as rows with what lexical scores need of the whole document, taken from its array in place."""
+    sizes = F.transform("short.tokens", F.size)
+    rows = lexical.counted_queries(documents.select("doc_id", "query", "short")).withColumns({"n": F.size("short").cast("long"), "avgdl": F.aggregate(sizes, F.lit(0).cast("long"), lambda s, x: s + x) / F.size("short")})
+    return rows.select("doc_id", "n", "avgdl", "qtf", "squares", F.inline("short"))
+
+
+def rank_documents(short: DataFrame, queries: DataFrame | None, method: str = "bm25", neural: DataFrame | None = None) -> DataFrame:
     """The shortlist held against its documents' pseudo-queries (doc_id, query), blended and ordered."""
-    rows = lexical.lexical_scores(lexical.with_tokens(short), lexical.query_terms(queries), config.lexical_method(method)).drop("tokens")
+    rows = lexical.lexical_scores(lexical.with_tokens(short), queries, config.lexical_method(method))
     return blend_documents(rows, neural)
 
 
 def rank_selections(cands: DataFrame, queries: DataFrame, method: str = "bm25", neural: DataFrame | None = None) -> DataFrame:
     """Selection candidates (selection_id, id, start, ...) above the threshold with confidence and rank."""
     key = "selection_id"
-    rows = lexical.lexical_scores(lexical.with_tokens(cands), lexical.query_terms(queries, key), config.lexical_method(method), key).drop("tokens")
+    rows = lexical.lexical_scores(lexical.with_tokens(cands), queries, config.lexical_method(method), key)
     rows = rows.withColumn("h", lexical.normalised(F.col("heuristic_score"), key))
     rows = rows.withColumn("neural_score", F.lit(None).cast("double")) if neural is None else usable_neural(rows, neural, key, "id")
     rows = rows.withColumn("final_score", S.selection_blend(F.col("h"), F.col("lexical_score"), F.col("neural_score"))).filter(F.col("final_score") >= config.SELECTION_THRESHOLD)

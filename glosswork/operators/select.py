@@ -1,8 +1,7 @@
 """Greedy selection: shortlist, final choice, span repair and validation.
 
-The folds depend on every earlier decision, so each document's ordered rows are one array, and a
-vectorised function over these arrays says which are taken. Arrays hold scores, places and hashes of keys,
-not texts, and are bounded by the sentences of one document; the rows taken are joined back by their places.
+The folds depend on every earlier decision, so each document's ordered rows are one array, bounded by the text of
+one document, and a vectorised function over scores, places and hashes of keys, not texts, says which are taken.
 """
 
 from __future__ import annotations
@@ -45,10 +44,15 @@ def final_places(pages: list[int], sections: list[str], keys: list[str], caps: l
     return taken
 
 
-def _grouped(rows: DataFrame, order: list[Column], fields: list[str]) -> DataFrame:
-    """doc_id and an array of its rows, ordered."""
-    struct = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *fields)
-    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(struct)).alias("rows"))
+def _grouped(rows: DataFrame, order: list[Column], key: str = "doc_id") -> DataFrame:
+    """key and the array of its rows, ordered; what a row is ordered by comes first in its struct."""
+    struct = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *[c for c in rows.columns if c != key])
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(struct)).alias("rows"))
+
+
+def _at(places: Column) -> Column:
+    """The rows of an array of places."""
+    return F.transform(places, lambda k: F.get("rows", k))
 
 
 FIELDS = ["id", "page_index", "start", "end", "text", "normal", "section_title", "section_kind", "reason", "heuristic_score"]
@@ -60,21 +64,29 @@ def _key_hash(normal: Column) -> Column:
     return F.when(key != "", F.unhex(F.md5(key)))
 
 
-def shortlist(cands: DataFrame, density: str = "balanced") -> DataFrame:
-    """The candidates taken, with rank from 1."""
+def by_document(cands: DataFrame) -> DataFrame:
+    """doc_id and rows: a document's candidates, best first, with the hashes of their keys."""
+    fields = [*FIELDS, *(c for c in ("tokens",) if c in cands.columns)]
+    rows = cands.filter("section_kind <> 'references'").select("doc_id", *fields, _key_hash(F.col("normal")).alias("key"))
+    return _grouped(rows, [-F.col("heuristic_score"), F.col("page_index"), F.col("start")])
+
+
+def with_shortlist(documents: DataFrame, density: str = "balanced") -> DataFrame:
+    """documents (rows, as by_document gives them, ...) with short: the candidates taken, with rank from 1, and without rows."""
     d = config.density(density)
 
     @F.pandas_udf("array<int>")
     def places(pages: pd.Series, keys: pd.Series) -> pd.Series:
         return pd.Series([shortlist_places(list(p), list(k), d.shortlist_size, d.shortlist_per_page) for p, k in zip(pages, keys, strict=True)])
 
-    place = ["doc_id", "page_index", "start"]
-    rows = cands.filter("section_kind <> 'references'")
-    narrow = rows.select(*place, "heuristic_score", _key_hash(F.col("normal")).alias("key"))
-    grouped = _grouped(narrow, [-F.col("heuristic_score"), F.col("page_index"), F.col("start")], ["page_index", "start", "key"])
-    taken = grouped.select("doc_id", "rows", F.posexplode(places(F.col("rows.page_index"), F.col("rows.key"))).alias("k", "place"))
-    taken = taken.select("doc_id", (F.col("k") + 1).alias("rank"), F.col("rows")[F.col("place")].alias("x")).select("doc_id", "rank", "x.page_index", "x.start")
-    return rows.join(taken, place).select("doc_id", "rank", *FIELDS)
+    fields = [f.name for f in documents.schema["rows"].dataType.elementType if f.name not in ("o0", "o1", "o2", "key")]
+    taken = F.transform(places(F.col("rows.page_index"), F.col("rows.key")), lambda k, i: F.struct((i + 1).alias("rank"), *[F.get("rows", k)[c].alias(c) for c in fields]))
+    return documents.withColumn("short", taken).drop("rows")
+
+
+def shortlist(cands: DataFrame, density: str = "balanced") -> DataFrame:
+    """The candidates taken, with rank from 1."""
+    return with_shortlist(by_document(cands), density).select("doc_id", F.inline("short"))
 
 
 def least_score(min_confidence: float) -> int:
@@ -86,20 +98,24 @@ def finalise(short: DataFrame, selected: DataFrame, pages: DataFrame, density: s
 
     Reasons of the selection replace those of the candidates where given.
     """
+    first = selected.groupBy("doc_id", "id").agg(F.min(F.struct("rank", F.col("reason").alias("why"))).alias("s")).select("doc_id", "id", F.col("s.rank").alias("rank"), "s.why")
+    rows = short.drop("rank").join(first, ["doc_id", "id"]).withColumn("reason", F.coalesce("why", "reason"))
+    return finalised(rows, pages, density, min_confidence)
+
+
+def finalised(ranked: DataFrame, pages: DataFrame, density: str = "balanced", min_confidence: float = 0.0) -> DataFrame:
+    """The highlights of candidates with a rank, as finalise gives them; rows that are dealt by document stay where they are."""
     d = config.density(density)
 
     @F.pandas_udf("array<int>")
     def places(pages: pd.Series, sections: pd.Series, keys: pd.Series, caps: pd.Series, budget: pd.Series) -> pd.Series:
         return pd.Series([final_places(list(p), list(s), list(k), list(c), b, d.max_per_page) for p, s, k, c, b in zip(pages, sections, keys, caps, budget, strict=True)])
 
-    first = selected.groupBy("doc_id", "id").agg(F.min(F.struct("rank", F.col("reason").alias("why"))).alias("s")).select("doc_id", "id", F.col("s.rank").alias("order"), "s.why")
-    rows = short.drop("rank").join(first, ["doc_id", "id"]).filter("section_kind <> 'references'").filter(F.col("heuristic_score") >= least_score(min_confidence) if min_confidence > 0 else F.lit(True))
-    rows = rows.join(pages, "doc_id").withColumn("budget", d.budget_column(F.col("pages"))).withColumn("reason", F.coalesce("why", "reason"))
-    narrow = rows.select("doc_id", "order", "page_index", "start", "section_kind", "budget", _key_hash(F.col("normal")).alias("key")).withColumn("cap", S.section_cap(F.col("section_kind"), F.col("budget")))
-    grouped = _grouped(narrow, [F.col("order")], ["page_index", "start", "section_kind", "key", "cap", "budget"])
-    taken = grouped.select("doc_id", "rows", F.explode(places(F.col("rows.page_index"), F.col("rows.section_kind"), F.col("rows.key"), F.col("rows.cap"), F.col("rows")[0]["budget"])).alias("place"))
-    taken = taken.select("doc_id", F.col("rows")[F.col("place")].alias("x")).select("doc_id", "x.page_index", "x.start")
-    return rows.join(taken, ["doc_id", "page_index", "start"]).select("doc_id", *FIELDS)
+    rows = ranked.filter("section_kind <> 'references'").filter(F.col("heuristic_score") >= least_score(min_confidence) if min_confidence > 0 else F.lit(True))
+    rows = rows.select("doc_id", "rank", *FIELDS, _key_hash(F.col("normal")).alias("key")).join(pages.select("doc_id", d.budget_column(F.col("pages")).alias("budget")), "doc_id")
+    grouped = _grouped(rows.withColumn("cap", S.section_cap(F.col("section_kind"), F.col("budget"))), [F.col("rank")])
+    taken = grouped.select("doc_id", F.explode(_at(places(F.col("rows.page_index"), F.col("rows.section_kind"), F.col("rows.key"), F.col("rows.cap"), F.col("rows")[0]["budget"]))).alias("x"))
+    return taken.select("doc_id", *[F.col(f"x.{c}").alias(c) for c in FIELDS])
 
 
 def repaired(span_text: Column, start: Column, end: Column, source: Column) -> Column:

@@ -13,20 +13,36 @@ from glosswork.session import kept
 from glosswork.sources.pages import page_counts
 
 
+def documents(cands: DataFrame, heads: DataFrame, density: str = "balanced", papers: DataFrame | None = None) -> DataFrame:
+    """One row a document: doc_id, query (its pseudo-query) and short (its shortlist). Candidates are shuffled once, by document; shortlist, leads and top terms are taken from their array."""
+    rows = select.by_document(lexical.with_tokens(cands))
+    leads = F.transform(F.filter("rows", lambda x: x["section_kind"].isin(*lexical.LEADS)), lambda x: x["text"])
+    return select.with_shortlist(lexical.asked(rows.withColumns({"tokens": F.flatten("rows.tokens"), "leads": leads}), heads, papers), density)
+
+
+def ranked(pages: DataFrame, density: str = "balanced", focus: str = "balanced", method: str = "bm25", papers: DataFrame | None = None) -> DataFrame:
+    """Shortlisted candidates of pages, blended and ordered without a neural score, in one job without a cut."""
+    pages = pages.filter(X.trim(F.col("text")) != "")
+    found = documents(candidates.candidates(pages, density, focus), segment.headings(pages), density, papers)
+    return rank.rank_documents(rank.exploded(found), None, method)
+
+
 def prepare(pages: DataFrame, density: str = "balanced", focus: str = "balanced", papers: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Candidates, shortlist, pseudo-queries and page counts of documents given as pages (doc_id, page_index, text)."""
     pages = pages.filter(X.trim(F.col("text")) != "")
-    cands = kept(candidates.candidates(pages, density, focus))
-    return cands, kept(select.shortlist(cands, density)), lexical.document_queries(cands, segment.headings(pages), papers), page_counts(pages)
+    cands = kept(lexical.with_tokens(candidates.candidates(pages, density, focus)))
+    found = kept(documents(cands, segment.headings(pages), density, papers))
+    return cands, found.select("doc_id", F.inline("short")), found.select("doc_id", "query"), page_counts(pages)
 
 
 def highlight_documents(pages: DataFrame, density: str = "balanced", focus: str = "balanced", method: str = "bm25", min_confidence: float = 0.0, papers: DataFrame | None = None, neural: DataFrame | None = None, scorer: rank.Scorer | None = None) -> DataFrame:
     """The highlights of each document in no particular row order; order them by doc_id, page_index, start for reading."""
+    if neural is None and scorer is None:
+        return select.finalised(ranked(pages, density, focus, method, papers), page_counts(pages), density, min_confidence)
     _, short, queries, counts = prepare(pages, density, focus, papers)
-    if scorer is not None and neural is None:
+    if neural is None:
         neural = rank.scored_by(short, queries, scorer)
-    ranked = rank.rank_documents(short, queries, method, neural)
-    return select.finalise(short, ranked.select("doc_id", "id", "rank", "reason"), counts, density, min_confidence)
+    return select.finalised(rank.rank_documents(short, queries, method, neural), counts, density, min_confidence)
 
 
 def reading_order(highlights: DataFrame) -> DataFrame:

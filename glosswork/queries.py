@@ -56,10 +56,6 @@ def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT doc_id, concat('  Notes on ', doc_id % 7, ' things ') AS title, array(coalesce(lang, ''), 'deep nets', concat('x', doc_id % 5)) AS keywords FROM paper_rows")
 
 
-def _queries(cands: DataFrame, pages: DataFrame) -> DataFrame:
-    return lexical.document_queries(cands, segment.headings(pages))
-
-
 def _inline(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     """Rows of a VALUES list, which both engines read alike."""
     return spark.sql(f"SELECT * FROM (VALUES {rows}) AS t({columns})")
@@ -165,8 +161,7 @@ def shortlist_greedy(spark, sf_dir):
 def _lexical(method):
     def run(spark, sf_dir):
         pages = _pages(spark, sf_dir)
-        cands = kept(C.candidates(pages))
-        rows = lexical.lexical_scores(lexical.with_tokens(select.shortlist(cands)), lexical.query_terms(_queries(cands, pages)), method)
+        rows = lexical.lexical_scores(rank.exploded(H.documents(C.candidates(pages), segment.headings(pages))).select("doc_id", "id", "tokens", "n", "avgdl", "qtf", "squares"), None, method)
         return rows.select("doc_id", "id", F.round("lexical_score", 9).alias("lexical_score"))
 
     run.__name__ = f"{method}_scores"
@@ -177,10 +172,6 @@ _lexical("bm25")
 _lexical("tfidf")
 
 
-def _ranked(cands: DataFrame, short: DataFrame, pages: DataFrame, method: str = "bm25", scores: DataFrame | None = None) -> DataFrame:
-    return rank.rank_documents(short, _queries(cands, pages), method, scores)
-
-
 def _logits(short: DataFrame) -> DataFrame:
     logit = F.pmod(F.length("text") * 7 + F.col("start") * 3, F.lit(100)) / F.lit(25.0) - 2
     return short.select("doc_id", "id", rank.normalised_logits(logit, "doc_id").alias("score"))
@@ -188,9 +179,7 @@ def _logits(short: DataFrame) -> DataFrame:
 
 @query(f"{oracle.ranked('bm25')} SELECT doc_id, id, CAST(rank AS INTEGER) AS rank, round(final_score, 6) AS final_score, reason FROM ordered")
 def blend_rank_global(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    cands = kept(C.candidates(pages))
-    return _ranked(cands, select.shortlist(cands), pages).select("doc_id", "id", "rank", F.round("final_score", 6).alias("final_score"), "reason")
+    return H.ranked(_pages(spark, sf_dir)).select("doc_id", "id", "rank", F.round("final_score", 6).alias("final_score"), "reason")
 
 
 @query(f"{oracle.SHORT}, {oracle.NEURAL} SELECT doc_id, id, round(neural_score, 9) AS neural_score FROM neural")
@@ -200,20 +189,15 @@ def neural_norm(spark, sf_dir):
 
 @query(f"{oracle.ranked('tfidf', True)} SELECT doc_id, id, round(final_score, 6) AS final_score FROM ordered")
 def blend_rank_neural(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    cands = kept(C.candidates(pages))
-    short = kept(select.shortlist(cands))
-    return _ranked(cands, short, pages, "tfidf", _logits(short)).select("doc_id", "id", F.round("final_score", 6).alias("final_score"))
+    _, short, queries, _ = H.prepare(_pages(spark, sf_dir))
+    return rank.rank_documents(short, queries, "tfidf", _logits(short)).select("doc_id", "id", F.round("final_score", 6).alias("final_score"))
 
 
 @query(f'{oracle.ranked("bm25")}, {oracle.FINAL} SELECT doc_id, id, page_index, start, "end", text, section_kind, reason, heuristic_score FROM final')
 def finalize_greedy(spark, sf_dir):
     """Shortlist, ranking and the capped greedy choice."""
     pages = _pages(spark, sf_dir)
-    cands = kept(C.candidates(pages))
-    short = kept(select.shortlist(cands))
-    chosen = _ranked(cands, short, pages).select("doc_id", "id", "rank", "reason")
-    return select.finalise(short, chosen, G.page_counts(pages)).drop("normal", "section_title")
+    return select.finalised(H.ranked(pages), G.page_counts(pages)).drop("normal", "section_title")
 
 
 @query(f'{oracle.ranked("bm25")}, {oracle.FINAL} SELECT doc_id, id, page_index, start, "end", text, section_title, section_kind, reason, heuristic_score FROM final')

@@ -165,3 +165,33 @@ def test_no_measure_is_taken_twice(spark, sf):
     plan = engine._candidates(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     for pattern, _ in (*P.POSITIVE, *P.NEGATIVE):
         assert plan.count(P.java(pattern)) == 1 + (pattern in (P.CITATION_SQUARE, P.CITATION_YEAR))
+
+
+def test_ranking_shuffles_candidates_once(spark, sf):
+    """Behind the candidates every exchange is by document: their arrays, headings and page counts; no rows are joined back."""
+    size = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "-1")
+    try:
+        pages = G.pages_of_documents(G.read_documents(spark, sf))
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (engine._candidates(spark, sf), H.highlight_documents(pages), H.highlight_documents(pages, method="tfidf"))]
+        cands, *whole = [re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", p) for p in plans]
+        for found in whole:
+            behind = Counter(re.sub(r"#\w+", "", x) for x in found) - Counter(re.sub(r"#\w+", "", x) for x in cands)
+            assert behind == {"doc_id": 3}, behind
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_terms_and_queries_of_edge_rows(spark):
+    from glosswork.operators import lexical
+
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None)], "id long, tokens array<string>")
+    assert {r.id: r.terms and [tuple(x) for x in r.terms] for r in lexical.with_terms(rows).collect()} == {1: [("a", 1), ("b", 2)], 2: [], 3: None}
+    items = spark.createDataFrame([(1, "x", ["cat", "dog"]), (1, "y", []), (2, "z", ["cat"])], "doc_id long, id string, tokens array<string>")
+    asked = spark.createDataFrame([(1, "Cat bird cat")], "doc_id long, query string")
+    for method in ("bm25", "tfidf"):
+        got = {(r.doc_id, r.id): r.lexical_score for r in lexical.lexical_scores(items, asked, method).collect()}
+        assert got == {(1, "x"): 1.0, (1, "y"): 0.0, (2, "z"): 0.0}
+    twice = spark.createDataFrame([(1, "x", 0.5), (1, "x", 0.7), (2, "z", 0.1)], "doc_id long, id string, score double")
+    assert {(r.doc_id, r.id): r.neural_score for r in rank.usable_neural(items, twice, "doc_id", "id").collect()} == {(1, "x"): None, (1, "y"): None, (2, "z"): 0.1}
