@@ -68,10 +68,13 @@ def blend_documents(rows: DataFrame, neural: DataFrame | None = None) -> DataFra
 
 
 def exploded(documents: DataFrame) -> DataFrame:
-    """The shortlists of documents (doc_id, query, short) as rows with what lexical scores need of the whole document, taken from its array in place."""
+    """The shortlists of documents (doc_id, query, short) as rows with what lexical scores need of the whole document, taken from its array in place.
+
+    Python functions (places, normal forms) hide from the planner how rows are dealt, so shortlists are dealt by document once more here; else each step below would be.
+    """
     sizes = F.transform("short.tokens", F.size)
     rows = lexical.counted_queries(documents.select("doc_id", "query", "short")).withColumns({"n": F.size("short").cast("long"), "avgdl": F.aggregate(sizes, F.lit(0).cast("long"), lambda s, x: s + x) / F.size("short")})
-    return rows.select("doc_id", "n", "avgdl", "qtf", "squares", F.inline("short"))
+    return rows.repartition("doc_id").select("doc_id", "n", "avgdl", "qtf", "squares", F.inline("short"))
 
 
 def rank_documents(short: DataFrame, queries: DataFrame | None, method: str = "bm25", neural: DataFrame | None = None) -> DataFrame:
