@@ -31,13 +31,14 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import documents, frugal
+from glosswork.llm.common import documents, frugal, released, slices, text_buffers
 
 # Fixed: the pattern of the byte-level pre-tokenizer with use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF_CHARS = 1024
 LONG_BYTES = 4_096
 LEAF_BYTES = 1_024
+SLICE = 1 << 20  # bytes of text whose ids and decoded texts a task holds at once, one row at least
 PARALLEL = 64  # leaves from which on they are encoded by several threads
 
 
@@ -190,9 +191,21 @@ def codec(definition: str, *options: int) -> Codec:
     key = (hash(definition), len(definition), *options)
     if key not in _codecs:
         _codecs[key] = Codec(definition, *options)
+        released()  # what parsing the vocabulary took
     return _codecs[key]
 
 
+def _encoded(own: Codec, batch: pa.RecordBatch, decode: bool) -> pa.RecordBatch:
+    """doc_id, ids, n_tokens, decoded of rows (doc_id, text)."""
+    ids, sizes, back = [], [], []
+    for text in batch.column(1):
+        encoded = own.encode(text.as_py() or "")
+        ids.append(np.array(encoded, "<u4").tobytes())
+        sizes.append(len(encoded))
+        back.append(own.decode(encoded) if decode else None)
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(back, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", leaf_chars: int = LEAF_CHARS, long_bytes: int = LONG_BYTES, leaf_bytes: int = LEAF_BYTES, decode: bool = True) -> DataFrame:
     """doc_id, ids (little-endian uint32), n_tokens, decoded (if asked for) for each row of docs.
 
@@ -204,13 +217,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary.value, leaf_chars, long_bytes, leaf_bytes)
         for batch in batches:
-            ids, sizes, back = [], [], []
-            for text in batch.column(1).to_pylist():
-                encoded = own.encode(text or "")
-                ids.append(np.array(encoded, "<u4").tobytes())
-                sizes.append(len(encoded))
-                back.append(own.decode(encoded) if decode else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(back, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
+            for i, j in slices(text_buffers(batch.column(1))[1], SLICE):
+                yield _encoded(own, batch.slice(i, j - i), decode)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, ids binary, n_tokens long, decoded string")
 

@@ -79,3 +79,22 @@ def test_every_document_through_the_tree(spark, monkeypatch):
         codec.encode(t)
         assert len(joins) > before
     assert len(long) > 300
+
+
+def test_tasks_hold_slices(spark):
+    """A batch of many rows is encoded in slices of bounded bytes, a row of more bytes on its own; ids and texts are those of one pass."""
+    import pyarrow as pa
+
+    from glosswork.llm import bpe
+
+    rows = spark.createDataFrame([(i, None if i == 3 else f"word{i} " * (150_000 if i == 5 else 20_000)) for i in range(12)], "doc_id long, text string").coalesce(1)
+    encoded = bpe.encode_documents(rows, bpe.default_tokenizer())
+
+    own = bpe.codec(open(bpe.default_tokenizer(), encoding="utf-8").read(), bpe.LEAF_CHARS, bpe.LONG_BYTES, bpe.LEAF_BYTES)
+    for r in encoded.collect():
+        text = "" if r.doc_id == 3 else f"word{r.doc_id} " * (150_000 if r.doc_id == 5 else 20_000)
+        assert r.decoded == text and r.n_tokens == len(r.ids) // 4
+    texts = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(["x" * 300_000] * 8 + [None])], ["doc_id", "text"])
+    cut = [j - i for i, j in bpe.slices(bpe.text_buffers(texts.column(1))[1], bpe.SLICE)]
+    assert sum(cut) == 9 and max(cut) <= 4  # three texts of 300 KB, an empty one with them
+    assert bpe._encoded(own, texts.slice(7, 2), True).column(2).to_pylist()[1] == 0
