@@ -1,5 +1,6 @@
 """Worked examples of segmentation, labels, text functions and geometry."""
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -252,3 +253,44 @@ def test_first_terms(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(rows)), "id int, tokens array<string>")
     got = {r.id: [(x.term, x.tf) for x in r["first"] or []] for r in lexical.with_first_terms(df, 3).collect()}
     assert got == {0: [("a", 2), ("zz", 1), ("b", 1)], 1: [], 2: [], 3: [("x", 1)], 4: [("t0", 8), ("long", 7), ("t1", 7)]}
+
+
+def test_latin_texts_take_the_same_results_from_tables_of_characters(spark):
+    """Text below U+0100 is looked up in other classes; counts, terms, keys and normal forms are those of the general ones."""
+    every = [chr(i) for i in range(256)]
+    texts = [f"a{c}b" for c in every] + [f"{c}x {c}{c} -{c}'{c}" for c in every] + ["Ça  va -\tl'été d'où 5½% « x »", " ", "", "  a\n\nb  "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("n", F.lower("t"))
+    space = f"{P.SPACE}+"
+    general = F.filter(F.regexp_extract_all("n", F.lit(f"({P.TOKEN})"), F.lit(1)), lambda t: (F.length(t) > 1) & ~t.isin(*P.STOPWORDS))
+    old_key = X.trim(F.regexp_replace(F.regexp_replace("n", space, " "), r"[^\p{L}\p{N}% ]", ""))
+    pairs = {"words": (X.word_count(F.col("t")), F.regexp_count("t", F.lit(P.TOKEN))), "tokens": (X.tokens(F.col("n")), general), "key": (X.dedup_key(F.col("t")), old_key), "blanks": (X.squeeze(F.col("t")), F.regexp_replace("t", space, " "))}
+    for r in rows.select("t", X.nfkc(F.col("t")).alias("normal"), *[c.alias(f"{k}{j}") for k, both in pairs.items() for j, c in enumerate(both)]).collect():
+        assert r.normal == unicodedata.normalize("NFKC", r.t)
+        for k in pairs:
+            assert r[f"{k}0"] == r[f"{k}1"], (k, r.t)
+
+
+def test_no_pattern_is_compiled_for_a_line(spark):
+    """Headings count words by a fixed pattern; splitting by one compiled it for each line."""
+    pages = spark.createDataFrame([(1, 0, "2 Methods\nthe plain words\nRelated Work Of Others\nEnd of it.\nA.\u0085\nResults And More Words Than Twelve Are No Heading At All Here Now")], "doc_id long, page_index int, text string")
+    found = segment.headings(pages)
+    assert [r.title for r in found.orderBy("start").collect()] == ["2 Methods", "Related Work Of Others"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1, plan
+
+
+def test_candidates_are_dealt_by_document_once(spark, sf):
+    from glosswork import queries as engine
+
+    plan = engine.highlights_full(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id" in plan
+    size = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "-1")
+    try:
+        plan = engine.highlights_full(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        # Sections are joined by page; numbers of candidates follow behind the exchange by document.
+        assert len(re.findall(r"Exchange hashpartitioning\(doc_id#\w+, page_index#\w+, \d+\)", plan)) <= 2
+        assert len(re.findall(r"Exchange hashpartitioning\(doc_id#\w+, \d+\)", plan)) <= 5
+    finally:
+        spark.conf.set(size, before)
