@@ -39,6 +39,8 @@ GLYPH = "struct<c:string,u:string,rect:array<double>,inline_rect:array<double>,r
 ITEM = "struct<str:string,transform:array<double>,width:double,height:double,has_eol:boolean,chars:array<struct<transform:array<double>,width:double>>>"
 SCHEMAS = {"chars": f"doc_id bigint, page_index int, chars array<{GLYPH}>", "items": f"doc_id bigint, page_index int, items array<{ITEM}>"}
 POSITION = "array<struct<char:string,rect:array<double>,at:int>>"
+#: The same with all characters of one rect and place together.
+RUN = "array<struct<text:string,rect:array<double>,at:int>>"
 #: Layers in the order in which pages ask them, and what their files hold.
 LAYERS = {"cached": "chars", "page_data": "chars", "text": "items"}
 FILE_BYTES = 64 << 20
@@ -189,9 +191,16 @@ class Glyphs(DataSource):
         return GlyphWriter(self.options["path"], overwrite)
 
 
-def write_layer(pages: DataFrame, path: str, kind: str) -> None:
+def in_ranges(pages: DataFrame) -> DataFrame:
+    """Pages dealt by ranges of their keys, in order."""
+    return pages.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
+
+
+def write_layer(pages: DataFrame, path: str, kind: str, dealt: bool = False) -> None:
     """Adds pages (doc_id, page_index, chars or items) to a layer, dealt by document so that files hold narrow ranges. Pages without a document or page number are left out.
 
+    Ranges are found by a first pass over the rows. Pages that are made of less than their glyphs are better dealt with in_ranges() before that, and written as they are dealt.
+
     The JVM writes the JSON and counts characters; tasks only store lines, and beside them the catalogue, which the same commit makes visible.
     """
     spark = pages.sparkSession
@@ -199,7 +208,7 @@ def write_layer(pages: DataFrame, path: str, kind: str) -> None:
     cast = [F.col(f.name).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], SCHEMAS[kind]).schema]
     rows = pages.select(*cast).dropna(subset=list(KEYS))
     rows = rows.select(*KEYS, COUNTS[kind](F.col(kind)).cast("int").alias("n_units"), F.to_json(F.struct(*rows.columns)).alias("line"))
-    rows.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).write.format(NAME).mode("append").save(path)
+    (rows if dealt else in_ranges(rows)).write.format(NAME).mode("append").save(path)
 
 
 def _inside(within: dict[str, list[tuple[int, int]]] | None) -> Column:
@@ -270,20 +279,33 @@ def item_count(items: Column) -> Column:
 COUNTS = {"chars": char_count, "items": item_count}
 
 
-def char_units(chars: Column, line_breaks: bool = True) -> Column:
-    """Positions of glyphs: each character with its glyph's highlight rect and place, and a separator behind glyphs that end a word, line or paragraph. Glyphs without a usable rect, and separators, have a rect of zeros."""
+def char_runs(chars: Column, line_breaks: bool = True) -> Column:
+    """Positions of glyphs, a run for each: its text with its highlight rect and place, and a separator behind glyphs that end a word, line or paragraph. Glyphs without a usable rect, and separators, have a rect of zeros."""
     zero = F.array(*[F.lit(0.0)] * 4)
+    run = lambda text, rect, at: F.array(F.struct(text.alias("text"), rect.alias("rect"), at.alias("at")))
+    none = F.array().cast(RUN)
 
     def one(g: Column, at: Column) -> Column:
         rect = F.coalesce(geometry.highlight_rect(g["rect"], F.coalesce(g["inline_rect"], g["rect"]), g["rotation"]), zero)
-        units = F.transform(F.filter(F.split(F.coalesce(g["u"], g["c"], F.lit("")), ""), lambda x: x != ""), lambda x: F.struct(x.alias("char"), rect.alias("rect"), at.alias("at")))
+        text = F.coalesce(g["u"], g["c"], F.lit(""))
         ends_line = F.coalesce(g["line_break_after"], F.lit(False)) | F.coalesce(g["paragraph_break_after"], F.lit(False))
         mark = F.when(ends_line, F.lit("\n" if line_breaks else " ")).when(g["space_after"], F.lit(" "))
-        return F.concat(units, F.when(mark.isNotNull(), F.array(F.struct(mark.alias("char"), zero.alias("rect"), at.alias("at")))).otherwise(F.array().cast(POSITION)))
+        return F.concat(F.when(text != "", run(text, rect, at)).otherwise(none), F.when(mark.isNotNull(), run(mark, zero, at)).otherwise(none))
 
     return F.flatten(F.transform(F.coalesce(chars, F.array().cast(f"array<{GLYPH}>")), one))
 
 
+def spread(runs: Column) -> Column:
+    """The characters of runs, each with its run's rect and place."""
+    letters = lambda r: F.filter(F.split(r["text"], ""), lambda x: x != "")
+    return F.flatten(F.transform(runs, lambda r: F.transform(letters(r), lambda x: F.struct(x.alias("char"), r["rect"].alias("rect"), r["at"].alias("at")))))
+
+
+def char_units(chars: Column, line_breaks: bool = True) -> Column:
+    """Positions of glyphs, a character each."""
+    return spread(char_runs(chars, line_breaks))
+
+
 def item_units(items: Column, line_breaks: bool = True) -> Column:
     """Positions of text items that place each of their characters; none for a page with an item that doesn't.
 
@@ -311,6 +333,8 @@ def item_units(items: Column, line_breaks: bool = True) -> Column:
     return F.when(F.forall(every, _placed), F.flatten(F.transform(every, one))).otherwise(F.array().cast(POSITION))
 
 
+#: Items place each of their characters, so their runs are single ones.
+RUNS = {"chars": char_runs, "items": lambda items, line_breaks=True: item_units(items, line_breaks).cast(RUN)}
 UNITS = {"chars": char_units, "items": item_units}
 
 
@@ -325,23 +349,24 @@ def sources_of(wanted: DataFrame, root: str, layers: Iterable[str] = tuple(LAYER
     return rows.select(*KEYS, source.alias("source"))
 
 
-def page_glyphs(wanted: DataFrame, root: str, layers: Iterable[str] = tuple(LAYERS), line_breaks: bool = True, within: dict[str, list[tuple[int, int]]] | None = None) -> DataFrame:
-    """doc_id, page_index, source, units of the wanted pages (null keys go, repeated ones count once); units are empty and the source null where no layer has any.
+def page_glyphs(wanted: DataFrame, root: str, layers: Iterable[str] = tuple(LAYERS), line_breaks: bool = True, within: dict[str, list[tuple[int, int]]] | None = None, by_run: bool = False) -> DataFrame:
+    """doc_id, page_index, source, units (runs, where asked for by run: far less to make, and spread() gives their units) of the wanted pages (null keys go, repeated ones count once); units are empty and the source null where no layer has any.
 
     Each layer is read once and joined with the pages that are its to give. Of several dumps of a page that with most characters counts,
     of equal numbers the largest by value. within narrows the pages and the files that are opened.
     """
     spark, layers = wanted.sparkSession, list(layers)
+    column, kind_of, made = ("runs", RUN, RUNS) if by_run else ("units", POSITION, UNITS)
     # Each layer's branch reads the choice, which is keys only: it is made once.
     path = shared_folder(spark, "sources")
     sources_of(wanted.filter(_inside(within)).dropna(subset=list(KEYS)), root, layers).write.parquet(path)
     chosen = spark.read.parquet(path)
-    out = chosen.filter("source IS NULL").select(*KEYS, "source", F.array().cast(POSITION).alias("units"))
+    out = chosen.filter("source IS NULL").select(*KEYS, "source", F.array().cast(kind_of).alias(column))
     for name in layers:
         kind = LAYERS[name]
         rows = read_layer(spark, f"{root}/{name}", kind, within).withColumn("n", COUNTS[kind](F.col(kind)))
         own = rows.join(chosen.filter(F.col("source") == name).select(*KEYS), list(KEYS))
         # Characters are spread out behind the shuffle; what is shuffled is as compact as the dump.
         best = own.groupBy(*KEYS).agg(F.max(F.struct("n", kind))[kind].alias(kind))
-        out = out.unionByName(best.select(*KEYS, F.lit(name).alias("source"), UNITS[kind](F.col(kind), line_breaks).alias("units")))
+        out = out.unionByName(best.select(*KEYS, F.lit(name).alias("source"), made[kind](F.col(kind), line_breaks).alias(column)))
     return out

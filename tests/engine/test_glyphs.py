@@ -41,6 +41,9 @@ def test_layers(spark, tmp_path):
         (2, 0): (None, []), (2, 1): (None, []), (3, 0): (None, []),
         (4, 0): ("cached", [(c, ab, 0) for c in "xyz"]),
     }
+    runs = {(r.doc_id, r.page_index): r for r in glyphs.page_glyphs(wanted, root, by_run=True).select("*", glyphs.spread(F.col("runs")).alias("units")).collect()}
+    assert {k: (r.source, [(u.char, u.rect, u.at) for u in r.units]) for k, r in runs.items()} == got
+    assert [(x.text, x.rect, x.at) for x in runs[1, 0].runs] == [("ab", ab, 0), (" ", zero, 0), ("c", [3.0, 0.0, 4.0, 2.0], 1), ("\n", zero, 1), ("d", zero, 2)]
     near = glyphs.page_glyphs(wanted, root, within={"doc_id": [(2, 3)]})
     assert sorted((r.doc_id, r.page_index) for r in near.collect()) == [(2, 0), (2, 1), (3, 0)]
     flat = glyphs.page_glyphs(wanted.filter("doc_id = 1"), root, ["page_data", "cached"], line_breaks=False).filter("page_index = 0").first()
@@ -79,3 +82,19 @@ def test_failed_writes_are_not_seen(spark, tmp_path):
         glyphs.write_layer(bad, path, "chars")
     assert [r.doc_id for r in glyphs.read_layer(spark, path, "chars").collect()] == [1]
     assert len(os.listdir(f"{path}/data")) == 1
+
+
+def test_pages_dealt_before_are_not_shuffled_again(spark, tmp_path):
+    """Pages in ranges are written as they are dealt, in one pass: each row is made once, files hold narrow ranges, and the layer reads as one dealt by the write."""
+    seen = spark.sparkContext.accumulator(0)
+    told = F.udf(lambda n: seen.add(1) or n, "long").asNondeterministic()
+    ids = spark.range(0, 200, 1, 4).select(F.col("id").alias("doc_id"), F.lit(0).alias("page_index"))
+    of = lambda rows: rows.select("doc_id", "page_index", F.array(F.struct(F.lit(None).cast("string").alias("c"), told("doc_id").cast("string").alias("u"), *[F.lit(None).cast(t).alias(n) for n, t in (
+        ("rect", "array<double>"), ("inline_rect", "array<double>"), ("rotation", "int"), ("space_after", "boolean"), ("line_break_after", "boolean"), ("paragraph_break_after", "boolean"))])).alias("chars"))
+    glyphs.write_layer(of(glyphs.in_ranges(ids)), f"{tmp_path}/a", "chars", dealt=True)
+    assert seen.value == 200
+    glyphs.write_layer(of(ids), f"{tmp_path}/b", "chars")
+    read = [sorted((r.doc_id, r.chars[0].u) for r in glyphs.read_layer(spark, f"{tmp_path}/{x}", "chars").collect()) for x in "ab"]
+    assert read[0] == read[1] == [(i, str(i)) for i in range(200)]
+    spans = sorted(e["doc_id"] for e in glyphs._entries(f"{tmp_path}/a"))
+    assert all(a[1] < b[0] for a, b in zip(spans[:-1], spans[1:], strict=True))
